@@ -28,8 +28,8 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """Apply a function over column lists. ``make`` runs once a task and returns the function.
 
-    The function takes ``{column: list}`` and gives ``{column: list}`` of ``schema``;
-    the number of rows may change.
+    The function takes ``{column: list}`` and gives ``{column: list}`` of ``schema``
+    (or an Arrow array in a list's place); the number of rows may change.
     """
     struct = _parse_datatype_string(schema)
     assert isinstance(struct, StructType)
@@ -40,6 +40,16 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
         for batch in batches:
             for part in slices(batch):
                 out = function({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+                columns = [x if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([x if x.type == f.type else x.cast(f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
     return df.mapInArrow(run, struct)
+
+
+def nested(sizes: list[int], **fields: tuple[list, pa.DataType]) -> pa.ListArray:
+    """``array<struct<…>>`` from flat columns: far cheaper than lists of dictionaries. ``sizes``: entries of every row."""
+    offsets = [0]
+    for n in sizes:
+        offsets.append(offsets[-1] + n)
+    values = pa.StructArray.from_arrays([pa.array(v, type=t) for v, t in fields.values()], names=list(fields))
+    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), values)

@@ -15,13 +15,15 @@ lines; a null host is a host of its own; repeated rows count as pages.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import lines as L
-from .arrow import map_rows
+from .arrow import map_rows, nested
 from .joins import bounded_join
 from .lexicon import LANGUAGES, function_sets
 from .repeated_lines import key64, source_name
@@ -42,87 +44,88 @@ _NUMBER = re.compile(r"\d+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _SEPARATOR = re.compile(r"\s+[|·>»/→]\s+|\s{2,}|\t")
 _TAG = re.compile(r"#\w[\w'’\-]*(?:\s+#\w[\w'’\-]*)*")
-_MASKS = re.compile(r"[PST0]")
+_RUN = re.compile(r"(?<![^\W_])[A-ZÀ-ÖØ-Þ][\w'’\-]*(?: [A-ZÀ-ÖØ-Þ][\w'’\-]*)*")
+#: Masks of the site's name, of proper names and of tags.
+SITE, NAME, TAG = "\x01", "\x02", "\x03"
 
 
 def page_language(text: str) -> str:
     """Language by grammatical words (first of equals)."""
-    words = [w.lower() for w in _TOKEN.findall(text)]
-    return max(LANGUAGES, key=lambda lang: sum(1 for w in words if w in _FUNCTION[lang]))
-
-
-def mask(line: str, label: str) -> tuple[str, str]:
-    """The line with numbers and the site's name masked, and with other proper names masked as well."""
-    s = _NUMBER.sub("0", _TAG.sub("T", line))
-    upper = s.isupper()
-    out: list[str] = []
-    named: list[str] = []
-    at = 0
-    run: list[tuple[str, int]] = []
-
-    def close() -> None:
-        if not run:
-            return
-        first = run[0][1] == 0
-        keep = 1 if first and len(run) != 2 else 0
-        for w, _ in run[:keep]:
-            named.append(w.lower())
-        if len(run) > keep:
-            named.append((" " if keep else "") + "P")
-        run.clear()
-
-    for m in _TOKEN.finditer(s):
-        gap, w = s[at : m.start()], m.group()
-        low = w.lower()
-        if w == "T":
-            piece = "T"
-        elif len(low) >= 4 and 2 * len(low) > len(label) and label.startswith(low):
-            piece = "S"
-        else:
-            piece = low
-        out += [gap, piece]
-        proper = not upper and w[0].isupper() and piece not in "TS"
-        if proper and run and gap == " ":
-            run.append((w, m.start()))
-        else:
-            close()
-            named.append(gap)
-            if proper:
-                run.append((w, m.start()))
-            else:
-                named.append(piece)
-        at = m.end()
-    close()
-    tail = s[at:]
-    return " ".join(("".join(out) + tail).split()), " ".join(("".join(named) + tail).split())
+    seen = Counter(text.lower().split())
+    return max(LANGUAGES, key=lambda lang: sum(seen[w] for w in _FUNCTION[lang]))
+
+
+def _is_site(word: str, label: str) -> bool:
+    return len(word) >= 4 and 2 * len(word) > len(label) and label.startswith(word)
+
+
+def _mask_site(line: str, label: str) -> str:
+    if len(label) < 4 or label[:4] not in line.lower():
+        return line
+    return _TOKEN.sub(lambda m: SITE if _is_site(m.group().lower(), label) else m.group(), line)
+
+
+def plain_mask(line: str, label: str) -> str:
+    """The line in lower case, with numbers and the site's name masked."""
+    return " ".join(_mask_site(_NUMBER.sub("0", line), label).lower().split())
+
+
+def _mask_run(m: re.Match) -> str:
+    words = m.group().split(" ")
+    if m.start() == 0 and len(words) != 2:  # a line's first word has a capital anyway
+        return words[0] if len(words) == 1 else words[0] + " " + NAME
+    return NAME
+
+
+def named_mask(line: str, label: str) -> str:
+    """The line with runs of capitalised words and tags masked as well."""
+    s = _mask_site(_NUMBER.sub("0", _TAG.sub(TAG, line) if "#" in line else line), label)
+    return " ".join((s if s.isupper() else _RUN.sub(_mask_run, s)).lower().split())
 
 
 def real_words(masked: str) -> int:
-    return sum(1 for w in _TOKEN.findall(masked) if w not in ("P", "S", "T"))
+    return len(_TOKEN.findall(masked))
 
 
 def line_nodes(line: str, label: str) -> tuple[str, list[str], list[str]]:
-    """Masked line, further subtrees that stand for the line, and its menu items."""
+    """Masked line, further subtrees that stand for the line, and its menu items.
+
+    Sentences stand for themselves only: names are masked and items split in the
+    other lines, and in lines that join a headline and a sentence by a dash.
+    """
     s = line.strip()
-    full, named = mask(s, label)
+    full = plain_mask(s, label)
+    if len(s) > 24 and L._END.search(s[-6:]) and " — " not in s:
+        return full, [], []
+    named = named_mask(s, label)
     whole: list[str] = []
-    if named != full and real_words(named) + ("S" in named.split()) >= 2:
+    if named == TAG:
+        whole.append("n:" + named)
+    if named != full and real_words(named) + (SITE in named) >= 2:
         whole.append("n:" + named)
     head, dash, _ = named.partition(" — ")
     if dash and real_words(head) >= 2:
         whole.append("n:" + head)
     head, colon, rest = (head if dash else named).partition(":")
-    if colon and rest.startswith(" ") and real_words(head) >= 1:
+    if colon and rest.startswith(" ") and real_words(head):
         whole.append("p:" + head)
-    if full == "T":
-        whole.append("n:T")
-    items = [mask(x, label)[0] for x in _SEPARATOR.split(s) if x.strip()]
-    return full, whole, items if len(items) > 1 and all(_TOKEN.search(x) for x in items) else []
+    items = [x for x in _SEPARATOR.split(s) if x]
+    if len(items) < 2 or not all(_TOKEN.search(x) for x in items):
+        return full, whole, []
+    return full, whole, [plain_mask(x, label) for x in items]
 
 
 def _pages():
     def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"tabla": cols["tabla"], "id": cols["id"], "nodos": [], "lineas": [], "idioma": [], "sitio": cols["sitio"]}
+        langs: list[str] = []
+        nodes_n: list[int] = []
+        node_h: list[int] = []
+        node_of: list[int] = []
+        lines_n: list[int] = []
+        line: list[int] = []
+        line_h: list[int] = []
+        line_part: list[bool] = []
+        line_parts: list[int] = []
         for text, site in zip(cols["texto_"], cols["sitio"]):
             label = site.partition(".")[0]
             cleaned = L.clean(text or "")
@@ -130,26 +133,41 @@ def _pages():
             lang = page_language(cleaned)
             prefix = f"{lang}\x00"
             distinct: dict[int, int] = {}
-            own = []
-            counted = sum(len(x) for x in lines if L._END.search(x.rstrip()))
+            counted = sum(len(x) for x in lines if L._END.search(x[-8:].rstrip()))
             spam = 2 * counted < len(cleaned) and L.text_class(cleaned) == "spam"
-            for n, line in enumerate(lines, 1):
-                if not line.strip():
+            first, before = True, len(line)
+            for n, raw in enumerate(lines, 1):
+                if not raw or raw.isspace():
                     continue
-                full, whole, items = line_nodes(line, label)
-                nodes = [key64(f"{site}\x01{full}")] + [key64(prefix + x) for x in (full, *whole)]
+                full, whole, items = line_nodes(raw, label)
+                at_host = key64(f"{site}\x01{full}")
+                distinct[at_host] = HOST
+                nodes = [key64(prefix + x) for x in (full, *whole)]
                 parts = [key64(prefix + x) for x in items]
-                distinct[nodes[0]] = HOST
-                for h in (*nodes[1:], *parts):
+                for h in (*nodes, *parts):
                     distinct[h] = LANGUAGE
-                if not own:
+                nodes.append(at_host)
+                if first:
                     nodes.append(key64(f"{prefix}first:{full}"))
                     distinct[nodes[-1]] = FIRST
-                own.append({"linea": n, "nodos": nodes, "partes": parts})
-            out["nodos"].append([{"h": h, "grado": v} for h, v in distinct.items()])
-            out["lineas"].append([] if spam else own)
-            out["idioma"].append(lang)
-        return out
+                    first = False
+                if not spam:
+                    k = len(nodes) + len(parts)
+                    line += [n] * k
+                    line_h += nodes
+                    line_h += parts
+                    line_part += [False] * len(nodes) + [True] * len(parts)
+                    line_parts += [len(parts)] * k
+            lines_n.append(len(line) - before)
+            nodes_n.append(len(distinct))
+            node_h += distinct.keys()
+            node_of += distinct.values()
+            langs.append(lang)
+        return {
+            "tabla": cols["tabla"], "id": cols["id"], "sitio": cols["sitio"], "idioma": langs,
+            "nodos": nested(nodes_n, h=(node_h, pa.int64()), grado=(node_of, pa.int32())),
+            "lineas": nested(lines_n, linea=(line, pa.int32()), h=(line_h, pa.int64()), parte=(line_part, pa.bool_()), partes=(line_parts, pa.int32())),
+        }
 
     return run
 
@@ -162,7 +180,7 @@ def host_of(url: Column) -> Column:
 def page_trees(pages: DataFrame) -> DataFrame:
     """Hashed subtrees of ``tabla, id, sitio, texto_`` rows. Spam pages count, but report no lines."""
     kind = dict(pages.dtypes)["id"]
-    return map_rows(pages, _pages, f"tabla string, id {kind}, sitio string, idioma string, nodos array<struct<h:long,grado:int>>, lineas array<struct<linea:int,nodos:array<long>,partes:array<long>>>")
+    return map_rows(pages, _pages, f"tabla string, id {kind}, sitio string, idioma string, nodos array<struct<h:long,grado:int>>, lineas array<struct<linea:int,h:long,parte:boolean,partes:int>>")
 
 
 def templates(trees: DataFrame) -> DataFrame:
@@ -181,10 +199,8 @@ def templates(trees: DataFrame) -> DataFrame:
 def template_lines(trees: DataFrame) -> DataFrame:
     """``tabla, id, linea`` of the lines that are templates: whole, or in all but one of their items."""
     known = materialize(templates(trees), "templates").withColumn("plantilla", F.lit(1))
-    lines = trees.select("tabla", "id", F.inline("lineas"))
-    nodes = lines.select("tabla", "id", "linea", F.size("partes").alias("partes_n"), F.explode(F.concat(F.transform("nodos", lambda x: F.struct(x.alias("h"), F.lit(False).alias("parte"))), F.transform("partes", lambda x: F.struct(x.alias("h"), F.lit(True).alias("parte"))))).alias("x"))
-    hits = bounded_join(nodes.select("tabla", "id", "linea", "partes_n", "x.h", "x.parte"), known, ["h"], "id")
-    per_line = hits.groupBy("tabla", "id", "linea").agg(F.max(~F.col("parte")).alias("entera"), F.sum(F.col("parte").cast("int")).alias("k"), F.max("partes_n").alias("n"))
+    hits = bounded_join(trees.select("tabla", "id", F.inline("lineas")), known, ["h"], "id")
+    per_line = hits.groupBy("tabla", "id", "linea").agg(F.max(~F.col("parte")).alias("entera"), F.sum(F.col("parte").cast("int")).alias("k"), F.max("partes").alias("n"))
     return per_line.where(F.col("entera") | ((F.col("n") >= 2) & (F.col("k") >= F.col("n") - 1))).select("tabla", "id", "linea")
 
 

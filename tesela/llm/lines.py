@@ -26,7 +26,7 @@ from .lexicon import FUNCTION_WORDS, LANGUAGES, SEARCH_WORDS, function_sets, sea
 KINDS = ("vacia", "prosa", "lista", "tabla", "basura", "spam", "otra")
 _FUNCTION = function_sets()
 _SEARCH = search_sets()
-_ALL_SEARCH = frozenset().union(*_SEARCH.values())
+_GRAMMAR = frozenset().union(*_FUNCTION.values())
 
 INVISIBLE = re.compile("[​‌‍⁠﻿­]")
 _PIECE = re.compile(r"[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+(?![a-zß-öø-ÿ])")
@@ -91,6 +91,13 @@ def redundancy(block: str) -> float:
     return len(raw) / size / (a + b * math.log(len(raw) + 1))
 
 
+def is_plain(s: str) -> bool:
+    """Several grammatical words and hardly a sign of a wrong encoding: certainly undamaged."""
+    if len(_GRAMMAR.intersection(s.lower().split())) < 2:
+        return False
+    return s.isascii() or (s.count("\ufffd") + s.count("Ã") + s.count("Â")) * 25 <= len(s)
+
+
 def is_damaged(s: str) -> bool:
     n = len(s)
     if n < 8:
@@ -136,8 +143,8 @@ def line_kind(line: str) -> str:
     s = line.strip()
     if not s:
         return "vacia"
-    ends = _END.search(s) is not None
-    if ends and len(s) > 24 and s.count(" ") >= 3 and not is_damaged(s):
+    ends = _END.search(s[-8:]) is not None
+    if ends and len(s) > 24 and s.count(" ") >= 3 and (is_plain(s) or not is_damaged(s)):
         return "prosa"
     if len(s) >= 20 and is_spam(s):
         return "spam"
@@ -176,10 +183,34 @@ def classify(lines: dict[str, int], chars: dict[str, int]) -> str | None:
 
 def text_class(text: str) -> str | None:
     """Class of a whole text."""
-    n: dict[str, int] = {}
-    c: dict[str, int] = {}
-    for line in clean(text).split("\n"):
-        k = line_kind(line)
+    return lines_class(clean(text).split("\n"))
+
+
+def is_sentence(s: str) -> bool:
+    """Certainly a sentence (of a stripped line)."""
+    return len(s) > 24 and _END.search(s[-8:]) is not None and s.count(" ") >= 3 and is_plain(s)
+
+
+def lines_class(lines: list[str]) -> str | None:
+    """Class of cleaned lines; the same as classifying every line, but lines are looked into only if they can matter."""
+    prose_n = prose_c = 0
+    rest: list[str] = []
+    for x in lines:
+        s = x.strip()
+        if not s:
+            continue
+        if is_sentence(s):
+            prose_n += 1
+            prose_c += len(s)
+        else:
+            rest.append(x)
+    rest_c = sum(len(x.strip()) for x in rest)
+    if prose_n and rest_c < MAJORITY * (rest_c + prose_c) and len(rest) < MAJORITY * (len(rest) + prose_n):
+        return "prosa"
+    n: dict[str, int] = {"prosa": prose_n}
+    c: dict[str, int] = {"prosa": prose_c}
+    for x in rest:
+        k = line_kind(x)
         n[k] = n.get(k, 0) + 1
-        c[k] = c.get(k, 0) + len(line)
+        c[k] = c.get(k, 0) + len(x.strip())
     return classify(n, c)

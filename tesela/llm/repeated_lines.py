@@ -15,13 +15,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import lines as L
-from .arrow import map_rows
+from .arrow import map_rows, nested
 from .joins import bounded_join
 
 #: Documents a repeated line stands in at least, and their share of the source's documents.
@@ -52,16 +53,18 @@ def source_name(dominio: Column) -> Column:
 
 def _lines():
     def run(cols: dict[str, list]) -> dict[str, list]:
-        lines = []
+        sizes: list[int] = []
+        line: list[int] = []
+        keys: list[int] = []
         for text in cols["texto_"]:
-            own = []
-            if text:
-                for n, raw in enumerate(L.clean(text).split("\n"), 1):
-                    s = normal_line(raw)
-                    if len(s) >= LEAST_CHARS:
-                        own.append({"linea": n, "h": key64(s)})
-            lines.append(own)
-        return {"doc_id": cols["doc_id"], "fuente": cols["fuente"], "lineas": lines}
+            before = len(line)
+            for n, raw in enumerate(L.clean(text).split("\n") if text else (), 1):
+                s = normal_line(raw)
+                if len(s) >= LEAST_CHARS:
+                    line.append(n)
+                    keys.append(key64(s))
+            sizes.append(len(line) - before)
+        return {"doc_id": cols["doc_id"], "fuente": cols["fuente"], "lineas": nested(sizes, linea=(line, pa.int32()), h=(keys, pa.int64()))}
 
     return run
 
