@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -41,7 +42,7 @@ def normal_words(text: str | None) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def myers(pattern: list, text: list, limit: int) -> int:
+def myers(pattern: Sequence, text: Sequence, limit: int) -> int:
     """Least edit distance between the pattern and any part of the text, or ``limit`` + 1 if above the limit."""
     m = len(pattern)
     peq: dict = {}
@@ -76,9 +77,15 @@ class Matcher:
     def __init__(self, items: list[tuple[int, list[str]]]):
         self.items = [(i, w) for i, w in items if len(w) >= WINDOW]
         places: dict[str, list[tuple[int, int]]] = {}
+        ids: dict[tuple[str, ...], int] = {}
+        #: Number of every window of every item (equal windows share one), the windows and their distinct words.
+        self.numbers: list[list[int]] = []
         for n, (_, words) in enumerate(self.items):
+            self.numbers.append([ids.setdefault(tuple(words[o : o + WINDOW]), len(ids)) for o in range(len(words) - WINDOW + 1)])
             for q in range(len(words) - PIECE + 1):
                 places.setdefault(" " + " ".join(words[q : q + PIECE]) + " ", []).append((n, q))
+        self.windows = list(ids)
+        self.distinct = [frozenset(w) for w in ids]
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (piece, where))
@@ -104,19 +111,26 @@ class Matcher:
         runs: dict[tuple[int, int], tuple[int, int]] = {}
         longest: dict[int, int] = {}
         tried: set[tuple[int, int, int]] = set()
+        known: dict[tuple[int, int], int] = {}
         for end, (piece, where) in hits:
             d = starts[end - len(piece) + 1]
             for n, q in where:
-                item = self.items[n][1]
+                numbers = self.numbers[n]
                 last, length = runs.get((n, d - q), (-2, 0))
                 length = length + 1 if last == d - 1 else PIECE
                 runs[n, d - q] = (d, length)
                 for o in range(q, max(-1, q - WINDOW + PIECE - 1), -PIECE):
-                    if o + WINDOW > len(item) or (n, o, d - q) in tried:
+                    if o >= len(numbers) or (n, o, d - q) in tried:
                         continue
                     tried.add((n, o, d - q))
                     a = d - q + o
-                    dist = myers(item[o : o + WINDOW], words[max(0, a - ERRORS) : a + WINDOW + ERRORS], ERRORS)
+                    w = numbers[o]
+                    dist = known.get((w, a))
+                    if dist is None:
+                        region = words[max(0, a - ERRORS) : a + WINDOW + ERRORS]
+                        # more missing words than errors: certainly above the budget
+                        hopeless = len(self.distinct[w].difference(region)) > ERRORS
+                        dist = known[w, a] = ERRORS + 1 if hopeless else myers(self.windows[w], region, ERRORS)
                     if dist <= ERRORS:
                         f = found.setdefault(n, {"distancia": dist, "ventanas": set(), "posicion": max(0, a)})
                         f["distancia"] = min(f["distancia"], dist)
