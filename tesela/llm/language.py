@@ -17,11 +17,12 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lines as L
-from .arrow import map_rows
+from .arrow import map_rows, nested
 from .lexicon import LANGUAGES, function_sets
 
 K = len(LANGUAGES)
@@ -44,6 +45,8 @@ LINE_CHARS = 60
 LINE_WORDS = 3
 #: Words of a block the chain runs over; blocks end at line ends where they can.
 BLOCK_WORDS = 256
+#: Blocks the chain runs over at once.
+GROUP = 256
 #: Entries of a worker's memo of word scores; it is emptied when full (no effect on results).
 MEMO = 200_000
 
@@ -217,39 +220,43 @@ class Labeller:
         """For each document (lines of words) the summed marginals per line, (lines, K)."""
         if len(self.memo) > MEMO:
             self.memo, self.table = {}, np.zeros((1024, K), np.float32)
-        blocks: list[tuple[list[int], list[int], list[tuple[int, int, int]]]] = []
-        sums = [np.zeros((len(d), K)) for d in docs]
-        for d, doc in enumerate(docs):
+        blocks: list[tuple[list[int], list[int], list[int]]] = []
+        bounds = [0]
+        for doc in docs:
+            at_line = bounds[-1]
             idx: list[int] = []
             starts: list[int] = []
-            spans: list[tuple[int, int, int]] = []
-            for n, words in enumerate(doc):
+            own: list[int] = []
+            for n, words in enumerate(doc, at_line):
                 for at in range(0, len(words), BLOCK_WORDS):
                     part = words[at : at + BLOCK_WORDS]
                     if idx and len(idx) + len(part) > BLOCK_WORDS:
-                        blocks.append((idx, starts, spans))
-                        idx, starts, spans = [], [], []
+                        blocks.append((idx, starts, own))
+                        idx, starts, own = [], [], []
                     starts.append(len(idx))
-                    spans.append((d, n, len(idx)))
-                    idx = idx + self._index(part)
+                    own.append(n)
+                    idx += self._index(part)
             if idx:
-                blocks.append((idx, starts, spans))
+                blocks.append((idx, starts, own))
+            bounds.append(at_line + len(doc))
+        sums = np.zeros((bounds[-1], K))
         blocks.sort(key=lambda x: len(x[0]))
-        group = 256
-        for g in range(0, len(blocks), group):
-            own = blocks[g : g + group]
-            t = len(own[-1][0])
-            index, breaks = np.zeros((len(own), t), np.int64), np.zeros((len(own), t), bool)
-            sizes = np.array([len(x[0]) for x in own])
-            for i, (idx, starts, _) in enumerate(own):
-                index[i, : len(idx)] = idx
-                breaks[i, starts[1:]] = True
+        for g in range(0, len(blocks), GROUP):
+            group = blocks[g : g + GROUP]
+            sizes = np.array([len(x[0]) for x in group])
+            t = int(sizes[-1])
+            alive = np.arange(t)[None, :] < sizes[:, None]
+            index, breaks = np.zeros((len(group), t), np.int64), np.zeros((len(group), t), bool)
+            index[alive] = [i for x in group for i in x[0]]
+            firsts = np.cumsum(sizes) - sizes
+            starts = np.array([f + s for f, x in zip(firsts, group) for s in x[1]])
+            flat = np.zeros(int(sizes.sum()), bool)
+            flat[starts] = True
+            flat[firsts] = False
+            breaks[alive] = flat
             post, _, _ = Crf._run(self.table[index], breaks, sizes, self.model.within, self.model.across, False)
-            post[np.arange(t)[None, :] >= sizes[:, None]] = 0
-            for i, (_, starts, spans) in enumerate(own):
-                for (d, n, _), part in zip(spans, np.add.reduceat(post[i], starts, axis=0)):
-                    sums[d][n] += part
-        return sums
+            np.add.at(sums, [n for x in group for n in x[2]], np.add.reduceat(post[alive], starts, axis=0))
+        return [sums[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def training_sequences(rows: list[tuple[str, str]], bound: TrainingBound) -> list[list[tuple[str, int, bool]]]:
@@ -323,41 +330,44 @@ def label_texts(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
 
         def run(cols: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {c: cols[c] for c in ("id_", *extra)}
-            out |= {"idioma": [], "confianza": [], "clase": [], "mixto": [], "segmentos": []}
-            texts = [L.clean(t or "").split("\n") for t in cols["texto_"]]
+            out |= {"idioma": [], "confianza": [], "clase": [], "mixto": []}
+            sizes: list[int] = []
+            number: list[int] = []
+            chars: list[int] = []
+            count: list[int] = []
+            which: list[str] = []
+            sure: list[float] = []
+            texts = [L.clean(t).split("\n") if t else [] for t in cols["texto_"]]
             words = [[_WORD.findall(x) for x in t] for t in texts]
             for lines, parts, sums in zip(texts, words, labeller.line_sums(words)):
-                n: dict[str, int] = {}
-                c: dict[str, int] = {}
-                kinds_: list[str] = []
-                for x in lines:
-                    k = L.line_kind(x)
-                    kinds_.append(k)
-                    n[k] = n.get(k, 0) + 1
-                    c[k] = c.get(k, 0) + len(x.strip())
-                clase = L.classify(n, c)
+                before, mixed, code = len(number), False, None
                 total = sums.sum(axis=0)
                 weight = float(total.sum())
-                if not weight:
-                    for name, v in (("idioma", None), ("confianza", None), ("clase", clase), ("mixto", False), ("segmentos", [])):
-                        out[name].append(v)
-                    continue
-                best = int(total.argmax())
-                segments = []
-                for i, (x, ws, s, k) in enumerate(zip(lines, parts, sums, kinds_), 1):
-                    size = len(x.strip())
-                    if size < LINE_CHARS or k in ("basura", "tabla") or sum(1 for w in ws if w.islower()) < LINE_WORDS:
+                best = int(total.argmax()) if weight else -1
+                tops = sums.argmax(axis=1) if weight else ()
+                for i, x in enumerate(lines if weight else ()):
+                    if len(x) < LINE_CHARS or (size := len(x.strip())) < LINE_CHARS:
                         continue
-                    if not any(w.lower() in known for w in ws):
+                    ws = parts[i]
+                    if known.isdisjoint(map(str.lower, ws)) or sum(map(str.islower, ws)) < LINE_WORDS:
                         continue
-                    j = int(s.argmax())
-                    segments.append({"linea": i, "n_caracteres": size, "n_palabras": len(ws), "idioma": LANGUAGES[j], "confianza": float(s[j] / s.sum())})
-                out["idioma"].append(LANGUAGES[best])
-                out["confianza"].append(float(total[best]) / weight)
-                out["clase"].append(clase)
-                out["mixto"].append(any(s["idioma"] != LANGUAGES[best] for s in segments))
-                out["segmentos"].append(segments)
-            return out
+                    j = int(tops[i])
+                    if j != best and L.line_kind(x) in ("basura", "tabla"):
+                        continue
+                    mixed |= j != best
+                    number.append(i + 1)
+                    chars.append(size)
+                    count.append(len(ws))
+                    which.append(LANGUAGES[j])
+                    sure.append(float(sums[i, j] / sums[i].sum()))
+                if weight:
+                    code = LANGUAGES[best]
+                sizes.append(len(number) - before)
+                out["idioma"].append(code)
+                out["confianza"].append(float(total[best]) / weight if weight else None)
+                out["clase"].append(L.lines_class(lines))
+                out["mixto"].append(mixed)
+            return out | {"segmentos": nested(sizes, linea=(number, pa.int32()), n_caracteres=(chars, pa.int32()), n_palabras=(count, pa.int32()), idioma=(which, pa.string()), confianza=(sure, pa.float64()))}
 
         return run
 
