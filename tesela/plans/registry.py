@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Core modules with ``queries()`` and ``oracle_sql()``.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("tesela.plans.retrieval", "tesela.plans.storage")
 
 
 def collect(modules: tuple[str, ...] = MODULES) -> tuple[dict[str, Query], dict[str, str]]:
