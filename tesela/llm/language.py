@@ -28,6 +28,7 @@ from .lexicon import LANGUAGES, function_sets
 K = len(LANGUAGES)
 _FUNCTION = function_sets()
 _WORD = re.compile(r"[^\W\d_]+")
+_PIECE = re.compile(r"[^\W\d_]+|\n")
 
 #: Notations of the languages (lower case, before any ``-`` or ``_``). FIXED VALUES.
 NOTATIONS = {
@@ -45,8 +46,6 @@ LINE_CHARS = 60
 LINE_WORDS = 3
 #: Words of a block the chain runs over; blocks end at line ends where they can.
 BLOCK_WORDS = 256
-#: Blocks the chain runs over at once.
-GROUP = 256
 #: Entries of a worker's memo of word scores; it is emptied when full (no effect on results).
 MEMO = 200_000
 
@@ -98,46 +97,54 @@ class Crf:
     def __init__(self, features: dict[str, int], weights: np.ndarray, within: np.ndarray, across: np.ndarray):
         self.features, self.weights, self.within, self.across = features, weights, within, across
 
-    # -- forward-backward over a padded batch ------------------------------------------------
+    # -- forward-backward over a batch --------------------------------------------------------
     @staticmethod
     def _run(emission: np.ndarray, breaks: np.ndarray, sizes: np.ndarray, within: np.ndarray, across: np.ndarray, pairs: bool):
-        """Marginals (B, T, K); with ``pairs`` also expected transition counts and the log likelihood's norm.
+        """Marginals (T, B, K) of emissions (T, B, K); with ``pairs`` also expected transition counts.
 
-        ``breaks[b, t]``: a line end lies between t - 1 and t.
+        Sequences are sorted by falling size, so those alive at a step are the first
+        ones. ``breaks[t, b]``: a line end lies between t - 1 and t.
         """
-        b, t, k = emission.shape
-        top = emission.max(axis=2, keepdims=True)
-        e = np.exp(emission - top)
+        t, b, k = emission.shape
+        e = np.exp(emission - emission.max(axis=2, keepdims=True))
         a_in, a_out = np.exp(within).astype(e.dtype), np.exp(across).astype(e.dtype)
-        alive = np.arange(t)[None, :] < sizes[:, None]
-        alpha = np.empty_like(e)
-        x = e[:, 0] / e[:, 0].sum(1, keepdims=True)
-        alpha[:, 0] = x
+        alive = np.searchsorted(-sizes, -np.arange(t), side="left")
+        cuts = [np.flatnonzero(breaks[i, : alive[i]]) for i in range(t)]
+        alpha = np.zeros_like(e)
+        alpha[0] = e[0] / e[0].sum(1, keepdims=True)
         for i in range(1, t):
-            y = np.where(breaks[:, i, None], x @ a_out, x @ a_in) * e[:, i]
+            m, cut = alive[i], cuts[i]
+            x = alpha[i - 1, :m]
+            y = x @ a_in
+            if len(cut):
+                y[cut] = x[cut] @ a_out
+            y *= e[i, :m]
             y /= y.sum(1, keepdims=True)
-            x = np.where(alive[:, i, None], y, x)
-            alpha[:, i] = x
+            alpha[i, :m] = y
         beta = np.ones((b, k), e.dtype)
-        out = np.empty_like(e)
         exp_in, exp_out = np.zeros((k, k)), np.zeros((k, k))
         for i in range(t - 1, -1, -1):
-            m = alpha[:, i] * beta
-            out[:, i] = m / m.sum(1, keepdims=True)
-            if not i:
-                break
-            live, cut = alive[:, i], breaks[:, i]
-            eb = e[:, i] * beta
-            if pairs:
-                for mask, a, acc in ((live & ~cut, a_in, exp_in), (live & cut, a_out, exp_out)):
-                    if mask.any():
-                        p, q = alpha[mask, i - 1], eb[mask]
-                        norm = np.einsum("bi,ij,bj->b", p, a, q)
-                        acc += a * np.einsum("bi,bj->ij", p / norm[:, None], q)
-            nb = np.where(cut[:, None], eb @ a_out.T, eb @ a_in.T)
-            nb /= nb.sum(1, keepdims=True)
-            beta = np.where(live[:, None], nb, beta)
-        return out, exp_in, exp_out
+            m, cut = alive[i], cuts[i]
+            post = alpha[i, :m]
+            back = beta[:m]
+            if i:
+                eb = e[i, :m] * back
+                if pairs:
+                    keep = np.ones(m, bool)
+                    keep[cut] = False
+                    for rows, trans, acc in ((keep, a_in, exp_in), (~keep, a_out, exp_out)):
+                        p, q = alpha[i - 1, :m][rows], eb[rows]
+                        norm = np.einsum("bi,ij,bj->b", p, trans, q)
+                        acc += trans * np.einsum("bi,bj->ij", p / norm[:, None], q)
+                before = eb @ a_in.T
+                if len(cut):
+                    before[cut] = eb[cut] @ a_out.T
+                before /= before.sum(1, keepdims=True)
+            post *= back
+            post /= post.sum(1, keepdims=True)
+            if i:
+                beta[:m] = before
+        return alpha, exp_in, exp_out
 
     # -- training ----------------------------------------------------------------------------
     @classmethod
@@ -146,7 +153,7 @@ class Crf:
         vocabulary: dict[str, int] = {}
         features: dict[str, int] = {}
         rows: list[list[int]] = []
-        sequences = [s for s in sequences if s] or [[("", 0, False)]]
+        sequences = sorted((s for s in sequences if s), key=len, reverse=True) or [[("", 0, False)]]
         for s in sequences:
             for w, _, _ in s:
                 if w not in vocabulary:
@@ -157,20 +164,20 @@ class Crf:
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         t = max(map(len, sequences))
         b = len(sequences)
-        index, label = np.zeros((b, t), np.int64), np.zeros((b, t), np.int64)
-        breaks, sizes = np.zeros((b, t), bool), np.array([len(s) for s in sequences])
+        index, label = np.zeros((t, b), np.int64), np.zeros((t, b), np.int64)
+        breaks, sizes = np.zeros((t, b), bool), np.array([len(s) for s in sequences])
         for i, s in enumerate(sequences):
-            index[i, : len(s)] = [vocabulary[w] for w, _, _ in s]
-            label[i, : len(s)] = [y for _, y, _ in s]
-            breaks[i, : len(s)] = [z for _, _, z in s]
-        alive = np.arange(t)[None, :] < sizes[:, None]
+            index[: len(s), i] = [vocabulary[w] for w, _, _ in s]
+            label[: len(s), i] = [y for _, y, _ in s]
+            breaks[: len(s), i] = [z for _, _, z in s]
+        alive = np.arange(t)[:, None] < sizes[None, :]
         n_words, n = len(rows), int(alive.sum())
         seen = np.zeros((n_words, K))
         np.add.at(seen, (index[alive], label[alive]), 1.0)
         got_in, got_out = np.zeros((K, K)), np.zeros((K, K))
-        step = alive[:, 1:]
-        for mask, acc in ((step & ~breaks[:, 1:], got_in), (step & breaks[:, 1:], got_out)):
-            np.add.at(acc, (label[:, :-1][mask], label[:, 1:][mask]), 1.0)
+        step = alive[1:]
+        for mask, acc in ((step & ~breaks[1:], got_in), (step & breaks[1:], got_out)):
+            np.add.at(acc, (label[:-1][mask], label[1:][mask]), 1.0)
         weights = np.zeros((len(features), K))
         within, across = np.zeros((K, K)), np.zeros((K, K))
         sq = [np.full_like(x, 1e-8) for x in (weights, within, across)]
@@ -195,67 +202,77 @@ class Crf:
 
 
 class Labeller:
-    """Labels documents in batches; keeps a memo of word scores."""
+    """Labels documents in batches; keeps a memo of word scores. Entry 0 of the memo is the line end."""
 
     def __init__(self, model: Crf):
         self.model = model
-        self.memo: dict[str, int] = {}
-        self.table = np.zeros((1024, K), np.float32)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.memo: dict[str, int] = {"\n": 0}
+        self.table = np.zeros((4096, K), np.float32)
 
-    def _index(self, words: list[str]) -> list[int]:
+    def _index(self, pieces: list[str]) -> list[int]:
         memo = self.memo
         try:
-            return [memo[w] for w in words]
+            return list(map(memo.__getitem__, pieces))
         except KeyError:
-            for w in words:
+            for w in pieces:
                 if w not in memo:
                     i = len(memo)
                     if i >= len(self.table):
                         self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                     self.table[i] = self.model.score(w)
                     memo[w] = i
-            return [memo[w] for w in words]
+            return list(map(memo.__getitem__, pieces))
 
-    def line_sums(self, docs: list[list[list[str]]]) -> list[np.ndarray]:
-        """For each document (lines of words) the summed marginals per line, (lines, K)."""
+    def line_sums(self, texts: list[str]) -> list[np.ndarray]:
+        """For each cleaned text the summed marginals per line, (lines, K)."""
         if len(self.memo) > MEMO:
-            self.memo, self.table = {}, np.zeros((1024, K), np.float32)
-        blocks: list[tuple[list[int], list[int], list[int]]] = []
+            self._clear()
+        words: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        sizes: list[int] = []
         bounds = [0]
-        for doc in docs:
-            at_line = bounds[-1]
-            idx: list[int] = []
-            starts: list[int] = []
-            own: list[int] = []
-            for n, words in enumerate(doc, at_line):
-                for at in range(0, len(words), BLOCK_WORDS):
-                    part = words[at : at + BLOCK_WORDS]
-                    if idx and len(idx) + len(part) > BLOCK_WORDS:
-                        blocks.append((idx, starts, own))
-                        idx, starts, own = [], [], []
-                    starts.append(len(idx))
-                    own.append(n)
-                    idx += self._index(part)
-            if idx:
-                blocks.append((idx, starts, own))
-            bounds.append(at_line + len(doc))
+        for text in texts:
+            flat = np.array(self._index(_PIECE.findall(text)), np.int64)
+            ends = flat == 0
+            line = np.cumsum(ends)[~ends]
+            flat = flat[~ends]
+            first = bounds[-1]
+            bounds.append(first + text.count("\n") + 1)
+            if not len(flat):
+                continue
+            words.append(flat)
+            owners.append(line + first)
+            # greedy blocks of whole lines; a line longer than a block is cut
+            start, n = 0, len(flat)
+            while n - start > BLOCK_WORDS:
+                cut = start + BLOCK_WORDS
+                back = int(np.searchsorted(line, line[cut]))
+                cut = back if back > start else cut
+                sizes.append(cut - start)
+                start = cut
+            sizes.append(n - start)
         sums = np.zeros((bounds[-1], K))
-        blocks.sort(key=lambda x: len(x[0]))
-        for g in range(0, len(blocks), GROUP):
-            group = blocks[g : g + GROUP]
-            sizes = np.array([len(x[0]) for x in group])
-            t = int(sizes[-1])
-            alive = np.arange(t)[None, :] < sizes[:, None]
-            index, breaks = np.zeros((len(group), t), np.int64), np.zeros((len(group), t), bool)
-            index[alive] = [i for x in group for i in x[0]]
-            firsts = np.cumsum(sizes) - sizes
-            starts = np.array([f + s for f, x in zip(firsts, group) for s in x[1]])
-            flat = np.zeros(int(sizes.sum()), bool)
-            flat[starts] = True
-            flat[firsts] = False
-            breaks[alive] = flat
-            post, _, _ = Crf._run(self.table[index], breaks, sizes, self.model.within, self.model.across, False)
-            np.add.at(sums, [n for x in group for n in x[2]], np.add.reduceat(post[alive], starts, axis=0))
+        if words:
+            flat, owner = np.concatenate(words), np.concatenate(owners)
+            length = np.array(sizes)
+            firsts = np.cumsum(length) - length
+            order = np.argsort(-length, kind="stable")
+            column = np.empty_like(order)
+            column[order] = np.arange(len(order))
+            at_b = np.repeat(column, length)
+            at_t = np.arange(len(flat)) - np.repeat(firsts, length)
+            new = np.r_[True, owner[1:] != owner[:-1]]
+            shape = (int(length.max()), len(order))
+            index, breaks = np.zeros(shape, np.int64), np.zeros(shape, bool)
+            index[at_t, at_b] = flat
+            breaks[at_t, at_b] = new
+            breaks[0] = False
+            post, _, _ = Crf._run(self.table[index], breaks, length[order], self.model.within, self.model.across, False)
+            starts = np.flatnonzero(new)
+            sums[owner[starts]] = np.add.reduceat(post[at_t, at_b], starts, axis=0)
         return [sums[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
@@ -313,10 +330,12 @@ def fit_model(labelled: list[DataFrame], bound: TrainingBound = TrainingBound())
 _SEGMENT = "struct<linea:int,n_caracteres:int,n_palabras:int,idioma:string,confianza:double>"
 
 
-def label_texts(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "texto", extra: tuple[str, ...] = ()) -> DataFrame:
+def label_texts(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "texto", extra: tuple[str, ...] = (), declared_col: str | None = None, every: bool = True) -> DataFrame:
     """``id_col, extra…, idioma, confianza, clase, mixto, segmentos`` per row.
 
-    ``segmentos`` holds every sizable line with words of a language. Null and
+    ``segmentos`` holds every sizable line with words of a language. Without ``every``
+    they are given for mixed texts only, and ``clase`` is left null where the text is
+    not mixed and the code in ``declared_col`` is right. Null and
     empty texts, and texts without words, get a null language and no segments;
     spam, tables and damaged text are labelled too, and ``clase`` names them.
     """
@@ -337,35 +356,39 @@ def label_texts(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
             count: list[int] = []
             which: list[str] = []
             sure: list[float] = []
-            texts = [L.clean(t).split("\n") if t else [] for t in cols["texto_"]]
-            words = [[_WORD.findall(x) for x in t] for t in texts]
-            for lines, parts, sums in zip(texts, words, labeller.line_sums(words)):
-                before, mixed, code = len(number), False, None
+            texts = [L.clean(t) if t else "" for t in cols["texto_"]]
+            declared = cols[declared_col] if declared_col else [None] * len(texts)
+            for text, code, sums in zip(texts, declared, labeller.line_sums(texts)):
+                lines = text.split("\n")
+                before, mixed, best = len(number), False, -1
                 total = sums.sum(axis=0)
                 weight = float(total.sum())
-                best = int(total.argmax()) if weight else -1
-                tops = sums.argmax(axis=1) if weight else ()
-                for i, x in enumerate(lines if weight else ()):
-                    if len(x) < LINE_CHARS or (size := len(x.strip())) < LINE_CHARS:
-                        continue
-                    ws = parts[i]
-                    if known.isdisjoint(map(str.lower, ws)) or sum(map(str.islower, ws)) < LINE_WORDS:
-                        continue
-                    j = int(tops[i])
-                    if j != best and L.line_kind(x) in ("basura", "tabla"):
-                        continue
-                    mixed |= j != best
-                    number.append(i + 1)
-                    chars.append(size)
-                    count.append(len(ws))
-                    which.append(LANGUAGES[j])
-                    sure.append(float(sums[i, j] / sums[i].sum()))
                 if weight:
-                    code = LANGUAGES[best]
+                    best = int(total.argmax())
+                    tops = sums.argmax(axis=1).tolist()
+                    long = [i for i, x in enumerate(lines) if len(x) >= LINE_CHARS and len(x.strip()) >= LINE_CHARS]
+                    if every or any(tops[i] != best for i in long):
+                        for i in long:
+                            x, j = lines[i], tops[i]
+                            ws = _WORD.findall(x)
+                            if known.isdisjoint(map(str.lower, ws)) or sum(map(str.islower, ws)) < LINE_WORDS:
+                                continue
+                            if j != best and L.line_kind(x) in ("basura", "tabla"):
+                                continue
+                            mixed |= j != best
+                            number.append(i + 1)
+                            chars.append(len(x.strip()))
+                            count.append(len(ws))
+                            which.append(LANGUAGES[j])
+                            sure.append(float(sums[i, j] / sums[i].sum()))
+                        if not mixed and not every:
+                            for column in (number, chars, count, which, sure):
+                                del column[before:]
                 sizes.append(len(number) - before)
-                out["idioma"].append(code)
+                language = LANGUAGES[best] if weight else None
+                out["idioma"].append(language)
                 out["confianza"].append(float(total[best]) / weight if weight else None)
-                out["clase"].append(L.lines_class(lines))
+                out["clase"].append(L.lines_class(lines) if every or mixed or code is None or code != language else None)
                 out["mixto"].append(mixed)
             return out | {"segmentos": nested(sizes, linea=(number, pa.int32()), n_caracteres=(chars, pa.int32()), n_palabras=(count, pa.int32()), idioma=(which, pa.string()), confianza=(sure, pa.float64()))}
 
@@ -381,20 +404,21 @@ def labels_in_force(etiquetas: DataFrame) -> DataFrame:
     return latest.select("doc_id", F.col("m.idioma").alias("declarado"))
 
 
-def p1_labelled(coleccion: DataFrame, etiquetas: DataFrame, documents: DataFrame, bound: TrainingBound = TrainingBound()) -> DataFrame:
+def p1_labelled(coleccion: DataFrame, etiquetas: DataFrame, documents: DataFrame, bound: TrainingBound = TrainingBound(), every: bool = True) -> DataFrame:
     """Both tables labelled: ``tabla, doc_id, declarado, idioma, confianza, clase, mixto, segmentos``."""
-    declared = labels_in_force(etiquetas)
-    sample = documents.select(F.concat(F.lit("d"), F.col("doc_id")).alias("clave"), F.col("text").alias("texto"), declared_language(F.col("lang")).alias("codigo"))
-    pages = coleccion.join(declared, "doc_id").select(F.concat(F.lit("c"), F.col("doc_id")).alias("clave"), "texto", declared_language(F.col("declarado")).alias("codigo"))
+    declared = labels_in_force(etiquetas).withColumn("declarado", declared_language(F.col("declarado")))
+    theirs = documents.select("doc_id", F.col("text").alias("texto"), declared_language(F.col("lang")).alias("declarado"))
+    sample = theirs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("clave"), "texto", F.col("declarado").alias("codigo"))
+    pages = coleccion.join(declared, "doc_id").select(F.concat(F.lit("c"), F.col("doc_id")).alias("clave"), "texto", F.col("declarado").alias("codigo"))
     model = fit_model([sample, pages], bound)
-    ours = label_texts(coleccion.select("doc_id", "texto"), model).join(declared, "doc_id", "left").withColumn("tabla", F.lit("coleccion"))
-    theirs = label_texts(documents.select("doc_id", F.col("text").alias("texto"), F.col("lang").alias("declarado")), model, extra=("declarado",)).withColumn("tabla", F.lit("documents"))
-    return ours.unionByName(theirs).withColumn("declarado", declared_language(F.col("declarado")))
+    a = label_texts(coleccion.select("doc_id", "texto"), model, every=every).join(declared, "doc_id", "left").withColumn("tabla", F.lit("coleccion"))
+    b = label_texts(theirs, model, extra=("declarado",), declared_col="declarado", every=every).withColumn("tabla", F.lit("documents"))
+    return a.unionByName(b)
 
 
 def p1_found(coleccion: DataFrame, etiquetas: DataFrame, documents: DataFrame, bound: TrainingBound = TrainingBound()) -> DataFrame:
     """``tabla, doc_id, linea, idioma``: wrong or missing labels (linea 0) and the lines of mixed texts."""
-    texts = p1_labelled(coleccion, etiquetas, documents, bound).where(F.col("idioma").isNotNull() & F.col("clase").isin("prosa", "lista"))
+    texts = p1_labelled(coleccion, etiquetas, documents, bound, every=False).where(F.col("idioma").isNotNull() & F.col("clase").isin("prosa", "lista"))
     wrong = F.when(F.col("declarado").isNull() | (F.col("declarado") != F.col("idioma")), F.array(F.struct(F.lit(0).alias("linea"), F.col("idioma").alias("idioma")))).otherwise(F.array().cast("array<struct<linea:int,idioma:string>>"))
     lines = F.when(F.col("mixto"), F.transform("segmentos", lambda s: F.struct(s["linea"].alias("linea"), s["idioma"].alias("idioma")))).otherwise(F.array().cast("array<struct<linea:int,idioma:string>>"))
     return texts.select("tabla", "doc_id", F.explode(F.concat(wrong, lines)).alias("c")).select("tabla", "doc_id", "c.linea", "c.idioma")
