@@ -29,6 +29,7 @@ K = len(LANGUAGES)
 _FUNCTION = function_sets()
 _WORD = re.compile(r"[^\W\d_]+")
 _PIECE = re.compile(r"[^\W\d_]+|\n")
+_ADDRESS = re.compile(r"\S*://\S+")
 
 #: Notations of the languages (lower case, before any ``-`` or ``_``). FIXED VALUES.
 NOTATIONS = {
@@ -370,7 +371,7 @@ def label_texts(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
                     if every or any(tops[i] != best for i in long):
                         for i in long:
                             x, j = lines[i], tops[i]
-                            ws = _WORD.findall(x)
+                            ws = _WORD.findall(_ADDRESS.sub(" ", x) if "://" in x else x)
                             if known.isdisjoint(map(str.lower, ws)) or sum(map(str.islower, ws)) < LINE_WORDS:
                                 continue
                             if j != best and L.line_kind(x) in ("basura", "tabla"):
@@ -409,9 +410,10 @@ def p1_labelled(coleccion: DataFrame, etiquetas: DataFrame, documents: DataFrame
     declared = labels_in_force(etiquetas).withColumn("declarado", declared_language(F.col("declarado")))
     theirs = documents.select("doc_id", F.col("text").alias("texto"), declared_language(F.col("lang")).alias("declarado"))
     sample = theirs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("clave"), "texto", F.col("declarado").alias("codigo"))
+    coleccion = coleccion.select("doc_id", "texto")
     pages = coleccion.join(declared, "doc_id").select(F.concat(F.lit("c"), F.col("doc_id")).alias("clave"), "texto", F.col("declarado").alias("codigo"))
     model = fit_model([sample, pages], bound)
-    a = label_texts(coleccion.select("doc_id", "texto"), model, every=every).join(declared, "doc_id", "left").withColumn("tabla", F.lit("coleccion"))
+    a = label_texts(coleccion, model, every=every).join(declared, "doc_id", "left").withColumn("tabla", F.lit("coleccion"))
     b = label_texts(theirs, model, extra=("declarado",), declared_col="declarado", every=every).withColumn("tabla", F.lit("documents"))
     return a.unionByName(b)
 

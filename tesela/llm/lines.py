@@ -46,6 +46,8 @@ _SENTENCE_END = re.compile(r"[.!?…]+(?=['\"»”’)\]]*(?:\s|$))")
 BLOCK_CHARS = 1024
 #: A block is extremely redundant from this multiple of the ratio expected of prose.
 REDUNDANCY = 1.2
+#: Bytes of words below which a ratio says nothing.
+LEAST_BYTES = 18
 #: Sentence ends per word up to which redundancy counts as confirmed.
 SENTENCE_DENSITY = 0.03
 
@@ -85,6 +87,8 @@ def redundancy(block: str) -> float:
         return 0.0
     lang = block_language(words)
     raw = " ".join(words).encode()
+    if len(raw) < LEAST_BYTES:
+        return 0.0
     c = zlib.compressobj(6, zlib.DEFLATED, -12, 3, zlib.Z_DEFAULT_STRATEGY, _ZDICT[lang])
     size = len(c.compress(raw)) + len(c.flush())
     a, b = EXPECTED[lang]

@@ -41,8 +41,9 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats
     rest = budget - full * total
     if full == max_repeats or not rest:
         return full, take
-    take = (counts.astype(object) * rest // total).astype(np.int64)
-    rest -= int((lengths * take).sum())
+    if rest > RESERVE:
+        take = (counts.astype(object) * (rest - RESERVE) // total).astype(np.int64)
+        rest -= int((lengths * take).sum())
     for i in np.argsort(-lengths, kind="stable"):
         if rest - lengths[i] >= RESERVE and take[i] < counts[i]:
             take[i] += 1

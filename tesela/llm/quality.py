@@ -6,7 +6,7 @@ counts add up, the open end of one chunk and the head of the next make a line
 that is counted then. Merging goes through a tree of two levels, and the ratios
 and rules are derived from the merged counts.
 
-Results for odd input: a null text gives null statistics and a null class; an
+Characters are counted without line ends. Results for odd input: a null text gives null statistics and a null class; an
 empty text zero counts and null ratios; repeated rows give repeated results; a
 null id is carried through.
 """

@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import table, text_table
 from . import boilerplate, language, leaks, mixing, quality, repeated_lines, spam, splitting, terms
 
+#: Tables whose texts are worked on in Python.
+TEXTS = ("coleccion", "documents", "resultado_html")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _over(function: Callable[..., DataFrame], *tables: str) -> Query:
-    return lambda spark, sf_dir: function(*[table(spark, sf_dir, t) for t in tables])
+    return lambda spark, sf_dir: function(*[(text_table if t in TEXTS else table)(spark, sf_dir, t) for t in tables])
 
 
 def p1_documentos(coleccion: DataFrame, etiquetas: DataFrame, documents: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def rebuild(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     """``id_col, texto_limpio`` of the documents that hold one of the found places; the others need no change."""
     drop = found.groupBy(F.col("doc_id").alias("id_")).agg(F.collect_set("linea").alias("quitar"))
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("quitar", (i + 1).cast("int")))
-    return df.join(drop, F.col(id_col) == F.col("id_")).select(id_col, F.array_join(kept, "\n").alias("texto_limpio"))
+    return df.select(id_col, text_col).join(drop, F.col(id_col) == F.col("id_")).select(id_col, F.array_join(kept, "\n").alias("texto_limpio"))
 
 
 def p4_state(coleccion: DataFrame) -> tuple[DataFrame, LineState]:
@@ -154,6 +154,7 @@ def p4_incremental(base: DataFrame, added: DataFrame) -> DataFrame:
     A document of ``base`` is rebuilt only if one of its lines crossed a threshold;
     added documents are built if they hold a repeated line.
     """
+    base, added = (df.select("doc_id", "dominio", "texto") for df in (base, added))
     old_lines = materialize(document_lines(base), "lines")
     new_lines = materialize(document_lines(added), "lines")
     before = merge_delta(None, old_lines)
