@@ -30,10 +30,9 @@ class Index:
     model: Model
 
 
-def occurrences(docs: DataFrame, policy: Policy, text_col: str = "texto") -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, num_tokens``, ``termino, doc_id, tf``) of ``doc_id, texto`` rows."""
+def occurrences(docs: DataFrame, policy: Policy, text_col: str = "texto") -> DataFrame:
+    """``termino, doc_id, tf`` of ``doc_id, texto`` rows."""
     split = normalize.tokens(docs.select("doc_id", F.col(text_col).alias("texto")), policy)
-    sizes = split.select("doc_id", F.size("tokens").alias("num_tokens"))
     words = split.select("doc_id", "idioma_doc", F.explode("tokens").alias("termino"))
     if not policy.stemming:
         tf = words.groupBy("termino", "doc_id").agg(F.count("*").alias("tf"))
@@ -41,7 +40,7 @@ def occurrences(docs: DataFrame, policy: Policy, text_col: str = "texto") -> tup
         raw = words.groupBy("termino", "idioma_doc", "doc_id").agg(F.count("*").alias("tf"))
         stems = normalize.stem_vocabulary(raw)
         tf = raw.join(stems, ["termino", "idioma_doc"]).groupBy(F.col("raiz").alias("termino"), "doc_id").agg(F.sum("tf").alias("tf"))
-    return sizes, tf.where(F.octet_length("termino") <= TERM_LIMIT)
+    return tf.where(F.octet_length("termino") <= TERM_LIMIT)
 
 
 def build_index(docs: DataFrame, policy: Policy, model: Model = Model(), text_col: str = "texto", keep: bool = False) -> Index:
@@ -49,7 +48,7 @@ def build_index(docs: DataFrame, policy: Policy, model: Model = Model(), text_co
 
     ``keep`` writes the term counts to the shared folder, so that the tables share one pass over the texts.
     """
-    sizes, tf = occurrences(docs, policy, text_col)
+    tf = occurrences(docs, policy, text_col)
     if keep:
         tf = materialize(tf, "term-frequencies")
     n_docs = docs.agg(F.count("*").alias("n_docs"))
@@ -57,8 +56,9 @@ def build_index(docs: DataFrame, policy: Policy, model: Model = Model(), text_co
     terms = terms.select("termino", "df", weighting.idf_weight(F.col("n_docs"), F.col("df"), model.esquema_idf, model.suavizado_idf).alias("idf"))
     weight = weighting.tf_weight(F.col("tf"), model.esquema_tf) * F.col("idf")
     postings = tf.join(terms, "termino").select("termino", "doc_id", "tf", weight.alias("peso"))
-    norms = postings.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("peso") * F.col("peso"))).alias("norma"))
-    documents = docs.select("doc_id", "hash_url").join(sizes, "doc_id").join(norms, "doc_id", "left").select("doc_id", "hash_url", "num_tokens", F.coalesce("norma", F.lit(0.0)).alias("norma"))
+    # every token that passed the filters is one of its term's occurrences, so the counts add up to num_tokens
+    norms = postings.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("peso") * F.col("peso"))).alias("norma"), F.sum("tf").cast("int").alias("num_tokens"))
+    documents = docs.select("doc_id", "hash_url").join(norms, "doc_id", "left").select("doc_id", "hash_url", F.coalesce("num_tokens", F.lit(0)).alias("num_tokens"), F.coalesce("norma", F.lit(0.0)).alias("norma"))
     totals = terms.agg(F.count("*").alias("total_terminos"), F.coalesce(F.sum("df"), F.lit(0)).alias("total_postings"), F.coalesce(F.sum(F.octet_length("termino")), F.lit(0)).alias("bytes_terminos"))
     meta = totals.crossJoin(n_docs).select(
         F.lit("ENCUADRE").alias("magic"), F.lit(1).alias("version"), F.lit(policy.flags()).alias("flags"), F.col("n_docs").alias("total_docs"), "total_terminos", "total_postings",

@@ -49,6 +49,7 @@ def decide(arrivals: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
     their URL and their content are taken, and what conflicts with them is answered,
     until no row is open. A URL is revisited once a batch; a later row of it is a duplicate.
     """
+    arrivals = arrivals.select("secuencia", "hash_url", "hash_contenido", "ruta_relativa")
     s = stored.select("hash_url", F.col("hash_contenido").alias("contenido_viejo"), F.col("ruta_relativa").alias("ruta_vieja"), F.col("fecha_revisitacion").alias("vence"), F.lit(True).alias("hay"))
     # content is "elsewhere" if two URLs hold it, or one other URL does
     holders = stored.groupBy("hash_contenido").agg(F.count_distinct("hash_url").alias("n_url"), F.min("hash_url").alias("una_url"))
@@ -56,23 +57,36 @@ def decide(arrivals: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
     fresh = F.col("hay") & F.col("vence").isNotNull() & (F.col("vence") > now)
     elsewhere = F.coalesce((F.col("n_url") > 1) | (F.col("una_url") != F.col("hash_url")), F.lit(False))
     first = materialize(known.select("secuencia", "hash_url", "hash_contenido", "ruta_relativa", "ruta_vieja", F.coalesce("hay", F.lit(False)).alias("hay"), F.when(fresh, SAME_URL).when(elsewhere, SAME_CONTENT).alias("accion")), "arrivals")
-    done = first.where(F.col("accion").isNotNull()).select("secuencia", "accion", F.lit(None).cast("string").alias("ruta_anterior"))
+    known_url = first.where(F.col("accion") == SAME_URL).select("secuencia", F.lit(SAME_URL).alias("accion"), F.lit(None).cast("string").alias("ruta_anterior"))
+    refused = [first.where(F.col("accion") == SAME_CONTENT).select("secuencia", "hash_url")]
+    accepted = []
     rest = first.where(F.col("accion").isNull()).drop("accion")
     while rest.limit(1).count():
         by_url = rest.groupBy("hash_url").agg(F.min("secuencia").alias("p_url"))
         by_content = rest.groupBy("hash_contenido").agg(F.min("secuencia").alias("p_contenido"))
         ranked = rest.join(by_url, "hash_url").join(by_content, "hash_contenido")
         taken = materialize(ranked.where((F.col("secuencia") == F.col("p_url")) & (F.col("secuencia") == F.col("p_contenido"))).drop("p_url", "p_contenido"), "taken")
-        old = F.when(F.col("hay") & (F.col("ruta_vieja") != F.col("ruta_relativa")), F.col("ruta_vieja"))
-        done = done.unionByName(taken.select("secuencia", F.when(F.col("hay"), REVISITED).otherwise(STORED).alias("accion"), old.alias("ruta_anterior")))
-        urls = taken.select("hash_url", F.col("secuencia").alias("s_url"))
-        contents = taken.select("hash_contenido", F.col("secuencia").alias("s_contenido"))
+        accepted.append(taken)
+        urls = taken.select("hash_url", F.lit(True).alias("url_tomada"))
+        contents = taken.select("hash_contenido", F.lit(True).alias("contenido_tomado"))
         hit = rest.join(taken.select("secuencia"), "secuencia", "left_anti").join(urls, "hash_url", "left").join(contents, "hash_contenido", "left")
-        verdict = F.when(F.col("s_url") < F.col("secuencia"), SAME_URL).when(F.col("s_contenido") < F.col("secuencia"), SAME_CONTENT)
-        answered = materialize(hit.withColumn("accion", verdict).drop("s_url", "s_contenido"), "answered")
-        done = done.unionByName(answered.where(F.col("accion").isNotNull()).select("secuencia", "accion", F.lit(None).cast("string").alias("ruta_anterior")))
-        rest = answered.where(F.col("accion").isNull()).drop("accion")
-    return done
+        answered = materialize(hit.withColumn("fuera", F.coalesce("url_tomada", "contenido_tomado", F.lit(False))).drop("url_tomada", "contenido_tomado"), "answered")
+        refused.append(answered.where("fuera").select("secuencia", "hash_url"))
+        rest = answered.where(~F.col("fuera")).drop("fuera")
+    out = known_url
+    owners = None
+    for taken in accepted:
+        old = F.when(F.col("hay") & (F.col("ruta_vieja") != F.col("ruta_relativa")), F.col("ruta_vieja"))
+        out = out.unionByName(taken.select("secuencia", F.when(F.col("hay"), REVISITED).otherwise(STORED).alias("accion"), old.alias("ruta_anterior")))
+        own = taken.select("hash_url", F.col("secuencia").alias("s_url"))
+        owners = own if owners is None else owners.unionByName(own)
+    lost = refused[0]
+    for more in refused[1:]:
+        lost = lost.unionByName(more)
+    # the address is looked up before the content: whose address was taken by then is a duplicate of that
+    label = F.when(F.col("s_url") < F.col("secuencia"), SAME_URL).otherwise(SAME_CONTENT)
+    lost = lost.join(owners, "hash_url", "left").select("secuencia", label.alias("accion")) if owners is not None else lost.select("secuencia", F.lit(SAME_CONTENT).alias("accion"))
+    return out.unionByName(lost.withColumn("ruta_anterior", F.lit(None).cast("string")))
 
 
 def needs_visit(keys: DataFrame, documentos: DataFrame, now: Column) -> DataFrame:

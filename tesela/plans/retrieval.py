@@ -11,14 +11,14 @@ from ..functions import lexicon, normalize, weighting
 from ..functions.policy import FLAGS, PRESETS, Model, Policy
 from ..operators import index as ix
 from ..operators import search as se
-from ..session import table
+from ..session import table, text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _MINIMAL = PRESETS["minimo"]
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "coleccion").select("doc_id", "hash_url", "texto")
+    return text_table(spark, d, "coleccion").select("doc_id", "hash_url", "texto")
 
 
 def _index(spark: SparkSession, d: str, policy: str = "minimo", model: Model = Model(), keep: bool = True) -> ix.Index:
@@ -119,7 +119,7 @@ def m5_similarity(spark, d):
 
 
 def i1_frequencies(spark, d):
-    return ix.occurrences(_docs(spark, d), _MINIMAL)[1]
+    return ix.occurrences(_docs(spark, d), _MINIMAL)
 
 
 def i2_dictionary(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, urls
 from ..operators import acquisition, frontier, reports, store
-from ..session import materialize, table
+from ..session import materialize, table, text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The instant that freshness is judged at.
@@ -94,7 +94,7 @@ def u14_hubs(spark, d):
 
 
 def _pages(spark, d):
-    return table(spark, d, "resultado_html")
+    return text_table(spark, d, "resultado_html")
 
 
 def h1_parse(spark, d):
@@ -129,7 +129,7 @@ def h5_h7_quality(spark, d):
 
 def h7_collection(spark, d):
     none = F.lit(None).cast("string")
-    c = table(spark, d, "coleccion")
+    c = text_table(spark, d, "coleccion")
     return c.select("doc_id", html.rejection(F.col("texto"), html.is_list(F.col("texto"), none, F.col("url")), none, F.col("url")).alias("rechazo"))
 
 
@@ -141,7 +141,7 @@ def h8_responses(spark, d):
 
 
 def d1_content(spark, d):
-    return table(spark, d, "coleccion").select("doc_id", store.content_hash(F.col("texto")).alias("normal"), store.content_hash(F.col("texto"), False).alias("cruda"))
+    return text_table(spark, d, "coleccion").select("doc_id", store.content_hash(F.col("texto")).alias("normal"), store.content_hash(F.col("texto"), False).alias("cruda"))
 
 
 def d2_raw_hash(spark, d):
@@ -255,7 +255,7 @@ def r1_domains(spark, d):
 
 
 def _ranked(spark, d):
-    return materialize(reports.word_frequency(table(spark, d, "coleccion").select("texto")), "words")
+    return materialize(reports.word_frequency(text_table(spark, d, "coleccion").select("texto")), "words")
 
 
 def r2_words(spark, d):

@@ -34,6 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on: spread over all cores if its files give too few splits."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir``; a temporary folder only in local mode without it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
