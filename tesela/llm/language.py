@@ -43,8 +43,9 @@ NOTATIONS = {
 
 #: Characters from which a line is sizable.
 LINE_CHARS = 60
-#: Known words a sizable line needs to count as a line of a language.
+#: Words in lower case a sizable line needs to count as a line of a language; words that one in capitals needs.
 LINE_WORDS = 3
+CAPITAL_WORDS = 5
 #: Words of a block the chain runs over; blocks end at line ends where they can.
 BLOCK_WORDS = 256
 #: Entries of a worker's memo of word scores; it is emptied when full (no effect on results).
@@ -346,8 +347,6 @@ def label_texts(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
 
     def make():
         labeller = Labeller(Crf(*shared.value))
-        known = frozenset().union(*_FUNCTION.values())
-
         def run(cols: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {c: cols[c] for c in ("id_", *extra)}
             out |= {"idioma": [], "confianza": [], "clase": [], "mixto": []}
@@ -372,7 +371,7 @@ def label_texts(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
                         for i in long:
                             x, j = lines[i], tops[i]
                             ws = _WORD.findall(_ADDRESS.sub(" ", x) if "://" in x else x)
-                            if known.isdisjoint(map(str.lower, ws)) or sum(map(str.islower, ws)) < LINE_WORDS:
+                            if len(ws) < CAPITAL_WORDS if x.isupper() else sum(map(str.islower, ws)) < LINE_WORDS:
                                 continue
                             if j != best and L.line_kind(x) in ("basura", "tabla"):
                                 continue

@@ -61,8 +61,10 @@ def clean(text: str) -> str:
 
 
 _ZDICT = {k: ((FUNCTION_WORDS[k] + " ") + (SEARCH_WORDS[k] + " ") * 2).encode() for k in LANGUAGES}
-#: Expected ratio of prose as intercept + slope * ln(bytes), by language, measured with the same compressor.
-EXPECTED = {"es": (0.62, 0.17), "en": (0.62, 0.17), "pt": (0.62, 0.17), "fr": (0.62, 0.17), "it": (0.62, 0.17), "de": (0.62, 0.17)}
+#: Expected ratio of prose as intercept + slope * ln(bytes), by language: least squares over blocks of
+#: 60 to 1000 bytes of the prose pages, with the same compressor. Shorter blocks are held against EXPECTED_LEAST.
+EXPECTED = {"es": (-0.35, 0.37), "en": (-0.39, 0.39), "pt": (-0.50, 0.41), "fr": (-0.62, 0.44), "it": (-0.60, 0.43), "de": (-0.54, 0.42)}
+EXPECTED_LEAST = 1.25
 
 
 def pieces(block: str) -> list[str]:
@@ -92,7 +94,7 @@ def redundancy(block: str) -> float:
     c = zlib.compressobj(6, zlib.DEFLATED, -12, 3, zlib.Z_DEFAULT_STRATEGY, _ZDICT[lang])
     size = len(c.compress(raw)) + len(c.flush())
     a, b = EXPECTED[lang]
-    return len(raw) / size / (a + b * math.log(len(raw) + 1))
+    return len(raw) / size / max(EXPECTED_LEAST, a + b * math.log(len(raw) + 1))
 
 
 def is_plain(s: str) -> bool:
