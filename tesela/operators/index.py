@@ -13,6 +13,8 @@ from ..session import materialize
 
 #: Sizes of the records of the single-file form. FIXED VALUES.
 HEADER_BYTES, DOC_BYTES, TERM_BYTES, POSTING_BYTES = 64, 44, 22, 12
+#: Signature of the single-file form, 8 bytes; files of other programs carry their own (see ``sources.idx``).
+SIGNATURE = "TESELAIX"
 #: Longest term in UTF-8 bytes.
 TERM_LIMIT = 65535
 
@@ -61,7 +63,7 @@ def build_index(docs: DataFrame, policy: Policy, model: Model = Model(), text_co
     documents = docs.select("doc_id", "hash_url").join(norms, "doc_id", "left").select("doc_id", "hash_url", F.coalesce("num_tokens", F.lit(0)).alias("num_tokens"), F.coalesce("norma", F.lit(0.0)).alias("norma"))
     totals = terms.agg(F.count("*").alias("total_terminos"), F.coalesce(F.sum("df"), F.lit(0)).alias("total_postings"), F.coalesce(F.sum(F.octet_length("termino")), F.lit(0)).alias("bytes_terminos"))
     meta = totals.crossJoin(n_docs).select(
-        F.lit("ENCUADRE").alias("magic"), F.lit(1).alias("version"), F.lit(policy.flags()).alias("flags"), F.col("n_docs").alias("total_docs"), "total_terminos", "total_postings",
+        F.lit(SIGNATURE).alias("firma"), F.lit(1).alias("version"), F.lit(policy.flags()).alias("flags"), F.col("n_docs").alias("total_docs"), "total_terminos", "total_postings",
         F.lit(HEADER_BYTES).cast("long").alias("offset_docs"), (HEADER_BYTES + DOC_BYTES * F.col("n_docs")).alias("offset_diccionario"),
         (HEADER_BYTES + DOC_BYTES * F.col("n_docs") + TERM_BYTES * F.col("total_terminos") + F.col("bytes_terminos")).alias("offset_postings"),
         F.lit(model.esquema_tf).alias("esquema_tf"), F.lit(model.esquema_idf).alias("esquema_idf"), F.lit(model.normalizacion_coseno).alias("coseno"), F.lit(model.suavizado_idf).alias("suavizado"),

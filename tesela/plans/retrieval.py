@@ -319,7 +319,7 @@ def oracle_sql() -> dict[str, str]:
         "i2_s6_dictionary": f"WITH {_IX} SELECT termino, df, round(idf, 9) AS idf FROM te",
         "i3_postings": f"WITH {_IX} SELECT termino, doc_id, tf, round(peso, 6) AS peso FROM po",
         "i4_i5_s5_documents": f"WITH {_IX} SELECT doc_id, hash_url, num_tokens, round(norma, 6) AS norma FROM dc",
-        "i6_q9_totals": f"WITH {_IX} SELECT 'ENCUADRE' AS magic, 1 AS version, {_MINIMAL.flags()} AS flags, total_docs, total_terminos, total_postings, 64::BIGINT AS offset_docs, od AS offset_diccionario, op AS offset_postings, 'logaritmico' AS esquema_tf, 'estandar' AS esquema_idf, true AS coseno, true AS suavizado FROM me",
+        "i6_q9_totals": f"WITH {_IX} SELECT '{ix.SIGNATURE}' AS firma, 1 AS version, {_MINIMAL.flags()} AS flags, total_docs, total_terminos, total_postings, 64::BIGINT AS offset_docs, od AS offset_diccionario, op AS offset_postings, 'logaritmico' AS esquema_tf, 'estandar' AS esquema_idf, true AS coseno, true AS suavizado FROM me",
         "i11_probabilistic": f"WITH {_TF}, n AS (SELECT count(*) AS n FROM coleccion), te AS (SELECT termino, coalesce(greatest(0, ln(CASE WHEN n > count(*) THEN (n - count(*))::DOUBLE / count(*) END)), 0) AS idf FROM tf, n GROUP BY termino, n) SELECT termino, doc_id, round(idf, 6) AS peso FROM tf JOIN te USING (termino)",
         "i12_minimal": f"WITH {_IX} SELECT 'minimo' AS politica, total_docs, total_terminos, total_postings, op + 12 * total_postings AS bytes, round(total_postings::DOUBLE / total_terminos, 6) AS postings_por_termino, round((op + 12 * total_postings)::DOUBLE / total_docs, 6) AS bytes_por_documento FROM me",
         "s4_document": f"WITH {_IX} SELECT doc_id, hash_url, num_tokens FROM dc WHERE doc_id IN (0, 7, 77)",

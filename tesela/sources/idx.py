@@ -3,7 +3,9 @@
 Layout (little-endian): a header of 64 bytes, documents of 44 bytes, dictionary
 entries of 22 bytes and the term, postings of 12 bytes. The native form of an
 index are the Parquet tables of ``operators.index``; this file is for exchange,
-and is written serially because every offset depends on what lies before it.
+and is written serially because every offset depends on what lies before it. The 8 bytes
+of the signature are a parameter, so that files of other programs with this layout
+can be read and written too.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.policy import Model, Policy
-from ..operators.index import Index, layout
+from ..operators.index import SIGNATURE, Index, layout
 
 # FIXED VALUES: the record formats.
-MAGIC, VERSION = b"ENCUADRE", 1
+VERSION = 1
 HEADER = struct.Struct("<8sHHIIQQQQ12s")
 DOCUMENT = struct.Struct("<I32sIf")
 ENTRY = struct.Struct("<IfQI")
 POSTING = struct.Struct("<IIf")
-FIELDS = ("magic", "version", "flags", "total_docs", "total_terminos", "total_postings", "offset_docs", "offset_diccionario", "offset_postings", "reservado")
+FIELDS = ("firma", "version", "flags", "total_docs", "total_terminos", "total_postings", "offset_docs", "offset_diccionario", "offset_postings", "reservado")
 
 
 def hash_bytes(value: str | bytes) -> bytes:
@@ -66,17 +68,17 @@ def unpack_term(raw: bytes, at: int = 0) -> tuple[str, int, float, int, int, int
     return (raw[at + 2 : end].decode("utf-8"), *_unpack(ENTRY, raw[end : end + ENTRY.size]), end + ENTRY.size)
 
 
-def read_header(path: str | Path) -> dict:
+def read_header(path: str | Path, signature: str = SIGNATURE) -> dict:
     with open(path, "rb") as f:
         head = dict(zip(FIELDS, _unpack(HEADER, f.read(HEADER.size))))
-    if head["magic"] != MAGIC:
-        raise ValueError("not an index file")
+    if head["firma"] != signature.encode("ascii"):
+        raise ValueError(f"not an index file signed {signature}")
     if head["version"] != VERSION:
         raise ValueError(f"version {head['version']} is not supported")
     return head
 
 
-def write_idx(index: Index, path: str | Path) -> dict:
+def write_idx(index: Index, path: str | Path, signature: str = SIGNATURE) -> dict:
     """Write the file through a temporary one beside it; rows stream in order, none is kept. Returns the header."""
     path = Path(path)
     meta = index.meta.first()
@@ -97,7 +99,7 @@ def write_idx(index: Index, path: str | Path) -> dict:
         for p in index.postings.orderBy("termino", "doc_id").toLocalIterator(prefetchPartitions=True):
             f.write(POSTING.pack(p.doc_id, p.tf, p.peso))
             count += 1
-        values = (MAGIC, VERSION, index.policy.flags(), meta.total_docs, total, count, HEADER.size, dictionary, postings, index.model.reserved_bytes())
+        values = (signature.encode("ascii"), VERSION, index.policy.flags(), meta.total_docs, total, count, HEADER.size, dictionary, postings, index.model.reserved_bytes())
         f.seek(0)
         f.write(HEADER.pack(*values))
         f.flush()
@@ -106,9 +108,9 @@ def write_idx(index: Index, path: str | Path) -> dict:
     return dict(zip(FIELDS, values))
 
 
-def verify_file(path: str | Path) -> list[str]:
+def verify_file(path: str | Path, signature: str = SIGNATURE) -> list[str]:
     """Problems of a file's structure: offsets, term order, posting blocks, totals."""
-    head, size = read_header(path), Path(path).stat().st_size
+    head, size = read_header(path, signature), Path(path).stat().st_size
     out = []
     if head["offset_docs"] != HEADER.size:
         out.append("offset_docs")
@@ -156,11 +158,11 @@ class _Reader(DataSourceReader):
 
     BLOCK = 1 << 20
 
-    def __init__(self, path: str, section: str):
-        self.path, self.section = path, section
+    def __init__(self, path: str, section: str, signature: str):
+        self.path, self.section, self.signature = path, section, signature
 
     def partitions(self) -> list[InputPartition]:
-        head = read_header(self.path)
+        head = read_header(self.path, self.signature)
         if self.section == "documentos":
             step = self.BLOCK
             return [_Range(i, min(i + step, head["total_docs"])) for i in range(0, head["total_docs"], step)] or [_Range(0, 0)]
@@ -175,7 +177,7 @@ class _Reader(DataSourceReader):
         return [*parts, _Range(start, head["total_terminos"])]
 
     def read(self, partition: _Range) -> Iterator:
-        head = read_header(self.path)
+        head = read_header(self.path, self.signature)
         with open(self.path, "rb") as f:
             if self.section == "documentos":
                 f.seek(head["offset_docs"] + DOCUMENT.size * partition.start)
@@ -195,7 +197,7 @@ class _Reader(DataSourceReader):
 
 
 class IdxSource(DataSource):
-    """``spark.read.format("idx").option("section", "postings").load(path)``."""
+    """``spark.read.format("idx").option("section", "postings").option("signature", …).load(path)``."""
 
     _SCHEMAS = {"documentos": "doc_id long, hash_url string, num_tokens int, norma double", "terminos": "termino string, df long, idf double", "postings": "termino string, doc_id long, tf long, peso double"}
 
@@ -210,17 +212,17 @@ class IdxSource(DataSource):
         return self._SCHEMAS[self._section()]
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], self._section())
+        return _Reader(self.options["path"], self._section(), self.options.get("signature", SIGNATURE))
 
 
-def read_idx(spark: SparkSession, path: str | Path) -> Index:
+def read_idx(spark: SparkSession, path: str | Path, signature: str = SIGNATURE) -> Index:
     """Index over a file: normalisation and model come from its header."""
     spark.dataSource.register(IdxSource)
-    head = read_header(path)
-    load = lambda s: spark.read.format("idx").option("section", s).load(str(path))
+    head = read_header(path, signature)
+    load = lambda s: spark.read.format("idx").option("section", s).option("signature", signature).load(str(path))
     model = Model.from_reserved(head["reservado"])
     row = {k: head[k] for k in FIELDS[1:9]} | {"esquema_tf": model.esquema_tf, "esquema_idf": model.esquema_idf, "coseno": model.normalizacion_coseno, "suavizado": model.suavizado_idf}
-    meta = spark.createDataFrame(pa.Table.from_pylist([{"magic": MAGIC.decode()} | row]).to_pandas())
+    meta = spark.createDataFrame(pa.Table.from_pylist([{"firma": signature} | row]).to_pandas())
     return Index(load("documentos"), load("terminos"), load("postings"), meta, Policy.from_flags(head["flags"]), model)
 
 

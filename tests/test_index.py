@@ -106,6 +106,11 @@ def test_file_round_trip(spark, index, tmp_path):
     assert {r.hash_url for r in again.documentos.collect()} == {d[1] for d in DOCS}
     assert again.terminos.where("termino = 'cine'").first().idf == pytest.approx(math.log(3), rel=1e-6)
     assert [r.doc_id for r in se.search(_ask(spark, "cine guion"), again).collect()] == [r.doc_id for r in se.search(_ask(spark, "cine guion"), index).collect()]
+    other = tmp_path / "other.idx"
+    idx.write_idx(index, other, "FIRMADOS")
+    assert idx.verify_file(other, "FIRMADOS") == [] and idx.read_idx(spark, other, "FIRMADOS").postings.count() == 10
+    with pytest.raises(ValueError, match="signed"):
+        idx.read_header(other)
     raw = bytearray(path.read_bytes())
     raw[-1:] = b""
     path.write_bytes(raw)
