@@ -48,6 +48,9 @@ LINE_WORDS = 3
 CAPITAL_WORDS = 5
 #: Words of a block the chain runs over; blocks end at line ends where they can.
 BLOCK_WORDS = 256
+#: Rows read for every training row wanted; some are too short to train on.
+OVERSAMPLE = 3
+LEAST_SAMPLE_CHARS = 200
 #: Entries of a worker's memo of word scores; it is emptied when full (no effect on results).
 MEMO = 200_000
 
@@ -311,16 +314,26 @@ def training_sequences(rows: list[tuple[str, str]], bound: TrainingBound) -> lis
 
 
 def training_rows(labelled: DataFrame, bound: TrainingBound) -> list[tuple[str, str]]:
-    """Bounded sample of ``texto, codigo`` rows: per language the ``rows`` smallest hashes (distributed top-k)."""
-    base = labelled.where(F.col("codigo").isNotNull() & (F.length("texto") > 200)).select(F.xxhash64("clave", "codigo").alias("h"), "clave", "codigo")
-    picked = None
-    for code in LANGUAGES:
-        part = base.where(F.col("codigo") == code).orderBy("h", "clave").limit(bound.rows)
-        picked = part if picked is None else picked.unionByName(part)
-    # bounded: rows * languages keys; the second scan then reads only those texts
-    keys = [r.clave for r in picked.select("clave").collect()]
-    sample = labelled.where(F.col("clave").isin(keys)).select("clave", F.substring("texto", 1, 40 * bound.words).alias("texto"), "codigo").collect() if keys else []
-    return [(r.texto, r.codigo) for r in sorted(sample, key=lambda r: (r.codigo or "", r.clave)) if r.codigo]
+    """Bounded sample of ``clave, texto, codigo`` rows: about the ``rows`` smallest hashes of every language.
+
+    The labels are counted first; the texts are then read once, and only rows whose hash
+    lies under OVERSAMPLE times the share wanted of their language leave the executors.
+    """
+    known = labelled.where(F.col("codigo").isNotNull())
+    sizes = {r.codigo: r.n for r in known.groupBy("codigo").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return []
+    steps = 1_000_000
+    place = F.pmod(F.xxhash64("clave", "codigo"), F.lit(steps))
+    chance = F.lit(0)
+    for code, n in sizes.items():
+        chance = F.when(F.col("codigo") == code, min(steps, OVERSAMPLE * bound.rows * steps // n + 1)).otherwise(chance)
+    sample = known.where(place < chance).select("clave", "codigo", place.alias("lugar"), F.substring("texto", 1, 40 * bound.words).alias("texto")).where(F.length("texto") > LEAST_SAMPLE_CHARS).collect()
+    out: list[tuple[str, str]] = []
+    for code in sorted(sizes):
+        own = sorted((r for r in sample if r.codigo == code), key=lambda r: (r.lugar, r.clave))
+        out += [(r.texto, code) for r in own[: bound.rows]]
+    return out
 
 
 def fit_model(labelled: list[DataFrame], bound: TrainingBound = TrainingBound()) -> Crf:
