@@ -36,6 +36,8 @@ FIRST_SHARE = 0.012
 LEAST_PAGES = 3
 LEAST_HOST_PAGES = 4
 
+#: Characters of a sentence up to which it may be a notice with a site's name.
+LONGEST_NOTICE = 200
 #: What a subtree is counted over: its language, its host, the opening lines of its language.
 LANGUAGE, HOST, FIRST = 0, 1, 2
 
@@ -45,6 +47,7 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _SEPARATOR = re.compile(r"\s+[|·>»/→]\s+|\s{2,}|\t")
 _TAG = re.compile(r"#\w[\w'’\-]*(?:\s+#\w[\w'’\-]*)*")
 _RUN = re.compile(r"(?<![^\W_])[A-ZÀ-ÖØ-Þ][\w'’\-]*(?: [A-ZÀ-ÖØ-Þ][\w'’\-]*)*")
+_NAMES = re.compile("\x02(?: \x02)+")
 #: Masks of the site's name, of proper names and of tags.
 SITE, NAME, TAG = "\x01", "\x02", "\x03"
 
@@ -78,30 +81,32 @@ def _mask_run(m: re.Match) -> str:
 
 
 def named_mask(line: str, label: str) -> str:
-    """The line with runs of capitalised words and tags masked as well."""
+    """The line with runs of capitalised words, the site's name among them, and tags masked."""
     s = _mask_site(_NUMBER.sub("0", _TAG.sub(TAG, line) if "#" in line else line), label)
-    return " ".join((s if s.isupper() else _RUN.sub(_mask_run, s)).lower().split())
+    s = (s if s.isupper() else _RUN.sub(_mask_run, s)).lower().replace(SITE, NAME)
+    return _NAMES.sub(NAME, " ".join(s.split()))
 
 
 def real_words(masked: str) -> int:
     return len(_TOKEN.findall(masked))
 
 
-def line_nodes(line: str, label: str) -> tuple[str, list[str], list[str]]:
+def line_nodes(line: str, label: str, alien: bool = False) -> tuple[str, list[str], list[str]]:
     """Masked line, further subtrees that stand for the line, and its menu items.
 
-    Sentences stand for themselves only: names are masked and items split in the
-    other lines, and in lines that join a headline and a sentence by a dash.
+    Names are masked and items split in lines that are no sentences, and in lines that
+    join a headline and a sentence by a dash. Sentences stand for themselves, unless
+    they hold the site's name. ``alien``: the page never names its site, as one stored
+    under another address; then any name may be a site's.
     """
     s = line.strip()
     full = plain_mask(s, label)
+    own = SITE in full or alien
     if len(s) > 24 and L._END.search(s[-6:]) and " — " not in s:
-        return full, [], []
+        return full, ["n:" + named_mask(s, label)] if own and len(s) <= LONGEST_NOTICE else [], []
     named = named_mask(s, label)
     whole: list[str] = []
-    if named == TAG:
-        whole.append("n:" + named)
-    if named != full and real_words(named) + (SITE in named) >= 2:
+    if named == TAG or named != full and real_words(named) + own >= 2 and real_words(named):
         whole.append("n:" + named)
     head, dash, _ = named.partition(" — ")
     if dash and real_words(head) >= 2:
@@ -132,6 +137,7 @@ def _pages():
             lines = cleaned.split("\n")
             lang = page_language(cleaned)
             prefix = f"{lang}\x00"
+            alien = label[:4] not in cleaned.lower()
             distinct: dict[int, int] = {}
             counted = sum(len(x) for x in lines if L._END.search(x[-8:].rstrip()))
             spam = 2 * counted < len(cleaned) and L.text_class(cleaned) == "spam"
@@ -139,7 +145,7 @@ def _pages():
             for n, raw in enumerate(lines, 1):
                 if not raw or raw.isspace():
                     continue
-                full, whole, items = line_nodes(raw, label)
+                full, whole, items = line_nodes(raw, label, alien)
                 at_host = key64(f"{site}\x01{full}")
                 distinct[at_host] = HOST
                 nodes = [key64(prefix + x) for x in (full, *whole)]

@@ -86,79 +86,91 @@ def fold_ends(ends: list[dict]) -> tuple[list[int], bool, str, str | None]:
     return counts, seen, "".join(head), "".join(tail) if seen else None
 
 
-def _partials():
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"row": cols["row"], "chunk": cols["chunk"], "many": [n > 1 for n in cols["n_chunks"]], "has_nl": [], "head": [], "tail": [], "counts": []}
-        for text, n in zip(cols["piece"], cols["n_chunks"]):
-            counts, nl, head, tail = chunk_state(text, n == 1)
-            for name, v in (("has_nl", nl), ("head", head), ("tail", tail), ("counts", counts)):
-                out[name].append(v)
-        return out
-
-    return run
-
-
-def _folds():
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"row": cols["row"], "chunk": cols["chunk"], "many": cols["many"], "has_nl": [], "head": [], "tail": [], "counts": []}
-        for ends, counts in zip(cols["ends"], cols["counts"]):
-            extra, nl, head, tail = fold_ends(sorted(ends, key=lambda e: e["chunk"])) if ends else ([0] * len(COUNTS), True, None, None)
-            for name, v in (("has_nl", nl), ("head", head), ("tail", tail), ("counts", [a + b for a, b in zip(counts, extra)])):
-                out[name].append(v)
-        return out
-
-    return run
-
-
-def _finish():
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"row": cols["row"], "clase": [], "stats": []}
-        for ends, counts in zip(cols["ends"], cols["counts"]):
-            counts = list(counts)
-            if ends:
-                extra, nl, head, tail = fold_ends(sorted(ends, key=lambda e: e["chunk"]))
-                counts = [a + b for a, b in zip(counts, extra)]
-                for rest in (head, tail) if nl else (head,):
-                    add_line(counts, rest or "")
-            by = dict(zip(COUNTS, counts))
-            out["clase"].append(L.classify({k: by.get(f"l_{k}", 0) for k in L.KINDS}, {k: by.get(f"c_{k}", 0) for k in L.KINDS}))
-            out["stats"].append(counts)
-        return out
-
-    return run
+def _zero(counts: list | None) -> bool:
+    return counts is None or counts[0] is None
 
 
-def _sum_counts() -> Column:
-    return F.array(*[F.sum(F.col("counts")[i]) for i in range(len(COUNTS))]).alias("counts")
+def _partials(carried: list[str]):
+    def make():
+        def run(cols: dict[str, list]) -> dict[str, list]:
+            out: dict[str, list] = {c: cols[c] for c in ("row", "chunk", *carried)} | {"many": [n > 1 for n in cols["n_chunks"]], "has_nl": [], "head": [], "tail": [], "counts": []}
+            for text, n in zip(cols["piece"], cols["n_chunks"]):
+                state = ([None] * len(COUNTS), True, None, None) if text is None else chunk_state(text, n == 1)
+                for name, v in zip(("counts", "has_nl", "head", "tail"), state):
+                    out[name].append(v)
+            return out
+
+        return run
+
+    return make
+
+
+def _folds(carried: list[str]):
+    def make():
+        def run(cols: dict[str, list]) -> dict[str, list]:
+            out: dict[str, list] = {c: cols[c] for c in ("row", "chunk", "many", *carried)} | {"has_nl": [], "head": [], "tail": [], "counts": []}
+            for ends, counts in zip(cols["ends"], cols["counts"]):
+                nl, head, tail = True, None, None
+                if ends:
+                    extra, nl, head, tail = fold_ends(sorted(ends, key=lambda e: e["chunk"]))
+                    counts = [a + b for a, b in zip(counts, extra)]
+                for name, v in (("has_nl", nl), ("head", head), ("tail", tail), ("counts", counts)):
+                    out[name].append(v)
+            return out
+
+        return run
+
+    return make
 
 
-_STATE = "row long, chunk long, many boolean, has_nl boolean, head string, tail string, counts array<long>"
+def _finish(carried: list[str]):
+    def make():
+        def run(cols: dict[str, list]) -> dict[str, list]:
+            out: dict[str, list] = {c: cols[c] for c in carried} | {"clase": [], "stats": []}
+            for ends, counts in zip(cols["ends"], cols["counts"]):
+                if ends:
+                    extra, nl, head, tail = fold_ends(sorted(ends, key=lambda e: e["chunk"]))
+                    counts = [a + b for a, b in zip(counts, extra)]
+                    for rest in (head, tail) if nl else (head,):
+                        add_line(counts, rest or "")
+                by = {} if _zero(counts) else dict(zip(COUNTS, counts))
+                out["clase"].append(L.classify({k: by.get(f"l_{k}", 0) for k in L.KINDS}, {k: by.get(f"c_{k}", 0) for k in L.KINDS}))
+                out["stats"].append(counts)
+            return out
+
+        return run
+
+    return make
+
+
+def _sum_counts() -> Column:
+    return F.array(*[F.sum(F.col("counts")[i]) for i in range(len(COUNTS))]).alias("counts")
 
 
 def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "texto", keep: tuple[str, ...] = (), chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """One row per input row: ``id_col``, ``keep``, counts, ratios and ``clase``.
 
-    ``clase`` is prosa, lista, tabla, basura, spam or null (no text).
+    ``clase`` is prosa, lista, tabla, basura, spam or null (no text). Rows get a number of
+    their own, so that null and repeated ids stay apart; what else is kept travels with it.
     """
-    size = F.greatest(F.lit(1), F.ceil(F.char_length("texto_") / F.lit(chunk_chars))).cast("int")
-    base = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id_"), F.col(text_col).alias("texto_"), *[F.col(c).alias(f"k_{c}") for c in keep])
-    pieces = base.where(F.col("texto_").isNotNull()).withColumn("n_chunks", size).select(
-        "row",
-        "n_chunks",
-        F.explode(
-            F.when(F.col("n_chunks") == 1, F.array(F.struct(F.lit(0).cast("long").alias("chunk"), F.col("texto_").alias("piece")))).otherwise(
-                F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - F.lit(1).cast("long")), lambda i: F.struct(i.alias("chunk"), F.substring(F.col("texto_"), (i * chunk_chars + 1).cast("int"), F.lit(chunk_chars)).alias("piece")))
-            )
-        ).alias("p"),
-    )
-    partial = map_rows(pieces.select("row", "n_chunks", "p.chunk", "p.piece"), _partials, _STATE)
+    base = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id_"), *[F.col(c).alias(f"k_{c}") for c in keep], F.col(text_col).alias("texto_"))
+    kinds = dict(base.dtypes)
+    carried = ["id_", *[f"k_{c}" for c in keep]]
+    size = F.greatest(F.lit(1), F.ceil(F.coalesce(F.char_length("texto_"), F.lit(0)) / F.lit(chunk_chars))).cast("int")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("chunk"), F.col("texto_").alias("piece")))
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - F.lit(1).cast("long")), lambda i: F.struct(i.alias("chunk"), F.substring(F.col("texto_"), (i * chunk_chars + 1).cast("int"), F.lit(chunk_chars)).alias("piece")))
+    pieces = base.withColumn("n_chunks", size).select("row", *carried, "n_chunks", F.explode(F.when(F.col("n_chunks") == 1, whole).otherwise(cut)).alias("p"))
+    along = "".join(f", {c} {kinds[c]}" for c in carried)
+    state = f"row long, chunk long{along}, many boolean, has_nl boolean, head string, tail string, counts array<long>"
+    partial = map_rows(pieces.select("row", *carried, "n_chunks", "p.chunk", "p.piece"), _partials(carried), state)
     ends = F.collect_list(F.when(F.col("many"), F.struct("chunk", "has_nl", "head", "tail"))).alias("ends")
-    first = partial.groupBy("row", F.floor(F.col("chunk") / FAN_IN).alias("chunk")).agg(F.max("many").alias("many"), ends, _sum_counts())
-    second = map_rows(first, _folds, _STATE).groupBy("row").agg(ends, _sum_counts())
-    done = map_rows(second, _finish, "row long, clase string, stats array<long>")
+    firsts = [F.first(c).alias(c) for c in carried]
+    first = partial.groupBy("row", F.floor(F.col("chunk") / FAN_IN).alias("chunk")).agg(F.max("many").alias("many"), *firsts, ends, _sum_counts())
+    second = map_rows(first, _folds(carried), state).groupBy("row").agg(*firsts, ends, _sum_counts())
+    done = map_rows(second.drop("row"), _finish(carried), f"{along[2:]}, clase string, stats array<long>")
     c = lambda name: F.col("stats")[_INDEX[name]]
     ratio = lambda a, b: F.when(c(b) > 0, c(a) / c(b))
-    return base.drop("texto_").join(done, "row", "left").select(
+    return done.select(
         F.col("id_").alias(id_col),
         *[F.col(f"k_{k}").alias(k) for k in keep],
         c("n_chars").alias("n_caracteres"),

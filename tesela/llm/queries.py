@@ -29,6 +29,12 @@ def p2_estadisticas(coleccion: DataFrame) -> DataFrame:
     return quality.text_statistics(coleccion.select("doc_id", "texto"))
 
 
+def p2_cuentas(coleccion: DataFrame) -> DataFrame:
+    """The statistics that SQL can express."""
+    stats = quality.text_statistics(coleccion.select("doc_id", "texto"))
+    return stats.select("doc_id", "n_caracteres", "n_palabras", *[F.round(c, 6).alias(c) for c in ("largo_medio", "proporcion_simbolos", "lineas_con_punto", "palabras_comunes")])
+
+
 def p2_tamanos(coleccion: DataFrame, documentos: DataFrame) -> DataFrame:
     return quality.size_mismatches(coleccion, documentos)
 
@@ -43,6 +49,7 @@ def queries() -> dict[str, Query]:
         "p1_documentos": _over(p1_documentos, "coleccion", "etiquetas_idioma", "documents"),
         "p2_found": _over(quality.p2_found, "coleccion", "documentos"),
         "p2_estadisticas": _over(p2_estadisticas, "coleccion"),
+        "p2_cuentas": _over(p2_cuentas, "coleccion"),
         "p2_tamanos": _over(p2_tamanos, "coleccion", "documentos"),
         "p3_found": _over(terms.p3_found, "postings"),
         "p3_ppmi": _over(p3_ppmi, "postings"),
@@ -102,8 +109,27 @@ WHERE g.guardado <> strlen(c.texto)
 """
 
 
+def _statistics_sql() -> str:
+    common = "[" + ", ".join(f"'{w}'" for w in sorted(quality._COMMON)) + "]"
+    blank = r"[\s\x{0B}\x{85}\x{a0}\x{1c}-\x{1f}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    clean = "replace(regexp_replace(nfc_normalize(s), '[\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}\\x{AD}]', '', 'g'), chr(160), ' ')"
+    return f"""
+WITH e AS (SELECT doc_id, unnest(string_split(texto, chr(10))) AS s FROM coleccion),
+l AS (SELECT doc_id, length(s) AS c, {clean} AS s FROM e),
+k AS (SELECT doc_id, c, regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]+(?:[''’\\-][\\p{{L}}\\p{{N}}_]+)*') AS w, regexp_replace(s, '{blank}', '', 'g') AS solid FROM l),
+n AS (SELECT doc_id, c, len(w) AS words, list_sum(list_transform(w, lambda x: length(x))) AS chars, length(solid) AS solid_n, (solid <> '')::INTEGER AS lines,
+        length(regexp_replace(solid, '[\\p{{L}}\\p{{N}}_.,;:!?¡¿''"()«»“”‘’…\\-]+', '', 'g')) AS symbols, regexp_matches(solid, '[.!?…。][''"»”’)\\]]*$')::INTEGER AS ends,
+        len(list_filter(w, lambda x: list_contains({common}, lower(x)))) AS common FROM k)
+SELECT doc_id, sum(c)::BIGINT AS n_caracteres, sum(words)::BIGINT AS n_palabras, CASE WHEN sum(words) > 0 THEN round(sum(chars)::DOUBLE / sum(words), 6) END AS largo_medio,
+       CASE WHEN sum(solid_n) > 0 THEN round(sum(symbols)::DOUBLE / sum(solid_n), 6) END AS proporcion_simbolos, CASE WHEN sum(lines) > 0 THEN round(sum(ends)::DOUBLE / sum(lines), 6) END AS lineas_con_punto,
+       CASE WHEN sum(words) > 0 THEN round(sum(common)::DOUBLE / sum(words), 6) END AS palabras_comunes FROM n GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_cuentas": _statistics_sql(),
+        "p4_textos": _LINES + ", q AS (SELECT DISTINCT k.doc_id, k.linea FROM k JOIN r USING (fuente, s)) SELECT doc_id, string_agg(s, chr(10) ORDER BY linea) FILTER (q.linea IS NULL) AS texto_limpio FROM e LEFT JOIN q USING (doc_id, linea) GROUP BY doc_id",
         "p2_tamanos": _SIZES,
         "p3_found": f"SELECT doc_id, termino FROM ({_PPMI}) WHERE tf >= 4 AND df BETWEEN 2 AND 6 AND regexp_matches(termino, '^[a-z''\\-]{{6,}}$')",
         "p3_ppmi": f"SELECT termino, doc_id, tf, df, round(ppmi, 6) AS ppmi FROM ({_PPMI})",
