@@ -299,7 +299,13 @@ def oracle_sql() -> dict[str, str]:
     idf = lambda e: f"round(CASE WHEN df <= 0 OR n <= 0 THEN 0.0 ELSE {e} END, 9)"
     flags = ", ".join(f"(mascara & {bit}) > 0 AS {name}" for name, bit in FLAGS.items())
     posting = "SELECT 'posting' AS clase, po.termino, doc_id, tf, round(peso, 6) AS peso, df FROM po JOIN te USING (termino) WHERE po.termino = 'guion' ORDER BY doc_id LIMIT 10"
+    wrong = _KEPT.format(t=_LOWER.format(t=_TOKENS.format(t=_CLEAN.format(t="substr(lower(texto), 1, 5) || 'qzx'"))))
     return {
+        "q8_suggestions": f"""WITH {_IX}, w AS (SELECT item_id AS consulta_id, unnest({wrong}) AS token, generate_subscripts({wrong}, 1) AS pos FROM evaluacion),
+t AS (SELECT consulta_id, token, min(pos) AS pos FROM w GROUP BY ALL), l AS (SELECT * FROM t WHERE consulta_id NOT IN (SELECT consulta_id FROM t JOIN te ON termino = token)),
+f AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY encode(termino)) AS k FROM (SELECT DISTINCT substr(token, 1, 4) AS x FROM l) JOIN te ON starts_with(termino, x) QUALIFY k <= 5),
+o AS (SELECT consulta_id, termino, min((pos, k)) AS o FROM l JOIN f ON x = substr(token, 1, 4) GROUP BY ALL)
+SELECT consulta_id, puesto::INTEGER AS puesto, termino FROM (SELECT *, row_number() OVER (PARTITION BY consulta_id ORDER BY o, encode(termino)) AS puesto FROM o) WHERE puesto <= 5""",
         "n1_clean": f"SELECT doc_id, md5({_CLEAN.format(t='texto')}) AS huella FROM coleccion",
         "n2_n4_tags": f"SELECT o_orderkey, md5({tagged}) AS fechas, md5(regexp_replace({tagged}, '\\b{number}\\b', ' <NUM> ', 'g')) AS numeros, md5(regexp_replace({tagged}, '\\b{number}\\b', ' ', 'g')) AS sin_numeros FROM ({strings})",
         "n5_n6_tokens": f"SELECT doc_id, len(t)::INTEGER AS n, md5(array_to_string(t, ' ')) AS tokens, md5(array_to_string({_LOWER.format(t='t')}, ' ')) AS minusculas FROM (SELECT doc_id, {raw} AS t FROM coleccion)",

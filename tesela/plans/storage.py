@@ -347,7 +347,22 @@ def oracle_sql() -> dict[str, str]:
     now = f"TIMESTAMPTZ '{NOW}+00'"
     open_ = "(estado = 'pendiente' OR (estado = 'error' AND intentos < 3))"
     safe = lambda t: f"(SELECT CASE WHEN z = '' THEN 'documento' ELSE z END FROM (SELECT rtrim(substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents({t}), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9._-]', '-', 'g'), '-+', '-', 'g'), '\\.{{2,}}', '.', 'g'), '._-'), 1, 120), '._-') AS z))"
+    dirty = "regexp_replace(trim(regexp_replace(x, '[ \\t\\f\\x0B\\r\\x{a0}]+', ' ', 'g')), '^\\s+|\\s+$', '', 'g')"
+    kept_lines = f"list_filter(list_transform(string_split(coalesce(texto, ''), chr(10)), lambda x: {dirty}), lambda x: x <> '')"
+    body = f"CASE WHEN lower({kept_lines}[1]) = 'apariencia' THEN {kept_lines}[2:] ELSE {kept_lines} END"
+    encode = "replace(url_encode(nfc_normalize({t})), '%2F', '/')"
+    pairs = "list_transform(string_split(q, '&'), lambda p: string_split(p, '='))"
+    query = f"array_to_string(list_transform(list_sort(list_transform({pairs}, lambda p: [p[1], p[2]])), lambda p: url_encode(p[1]) || '=' || url_encode(p[2])), '&')"
+    address = f"s || '://' || h || {encode.format(t='p')} || CASE WHEN q <> '' THEN '?' || {query} ELSE '' END"
+    admitted = "length({u}) <= " + str(urls.MAX_URL) + " AND NOT contains({u}, '.pdf') AND {u} IS NOT NULL"
     return {
+        "h1_h3_parse": f"SELECT pagina_id, trim(regexp_replace(coalesce(titulo, ''), '\\s+', ' ', 'g')) AS titulo, len(list_distinct(coalesce(enlaces, [])))::INTEGER AS enlaces, md5(array_to_string({body}, chr(10) || chr(10))) AS texto, list_sort(list_distinct(list_transform(coalesce(directivas_robots, []), lambda x: lower(trim(x))))) AS directivas_robots FROM resultado_html",
+        "u1_u7_canonical": f"SELECT url, c AS canonica, sha256(c) AS huella FROM (SELECT url, {address} AS c FROM (SELECT url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS s, {_HOST} AS h, CASE WHEN regexp_extract(url, '^[^?#]*?://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[^?#]*?://[^/?#]*([^?#]*)', 1) END AS p, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM {_TARGETS}))",
+        "f6_a6_crawl": f"""WITH RECURSIVE p AS (SELECT url, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/' AS raiz, enlaces FROM resultado_html),
+e AS (SELECT url AS origen, unnest(enlaces) AS url FROM p UNION SELECT raiz, url FROM p),
+c AS (SELECT DISTINCT origen AS url, 0 AS d FROM e WHERE ends_with(origen, '/') UNION SELECT e.url, d + 1 FROM c JOIN e ON e.origen = c.url WHERE d < {frontier.MAX_DEPTH} AND {admitted.format(u='e.url')}),
+m AS (SELECT url, min(d) AS profundidad FROM c GROUP BY url)
+SELECT m.url, m.profundidad, min(e.origen) AS url_origen FROM m LEFT JOIN (SELECT e.url, e.origen, o.profundidad FROM e JOIN m o ON o.url = e.origen) e ON e.url = m.url AND e.profundidad = m.profundidad - 1 GROUP BY m.url, m.profundidad""",
         "s1_scan": "SELECT row_number() OVER (ORDER BY id) - 1 AS doc_id, id, hash_url, strlen(texto)::INTEGER AS bytes FROM (SELECT DISTINCT d.id, d.hash_url, c.texto FROM documentos d JOIN coleccion c ON c.db_id = d.id)",
         "s2_count": "SELECT count(DISTINCT id) AS total, least(count(DISTINCT id), 100) AS con_limite FROM documentos",
         "s15_hash_bytes": f"SELECT id, upper(trim(hash_url)) AS bytes FROM {_DOCS}",
