@@ -39,6 +39,16 @@ def p2_tamanos(coleccion: DataFrame, documentos: DataFrame) -> DataFrame:
     return quality.size_mismatches(coleccion, documentos)
 
 
+def p4_incremental(coleccion: DataFrame, documentos: DataFrame) -> DataFrame:
+    """The later half of the downloads joins the earlier half: texts to rebuild."""
+    dates = documentos.groupBy(F.col("id").alias("db_id")).agg(F.max("fecha_descarga").alias("f"))
+    span = documentos.agg(F.min("fecha_descarga").cast("double").alias("a"), F.max("fecha_descarga").cast("double").alias("b")).first()
+    cut = F.timestamp_seconds(F.lit(((span.a or 0.0) + (span.b or 0.0)) / 2))
+    dated = coleccion.select("doc_id", "db_id", "dominio", "texto").join(dates, "db_id", "left")
+    late = F.coalesce(F.col("f") >= cut, F.lit(False))
+    return repeated_lines.p4_incremental(dated.where(~late), dated.where(late))
+
+
 def p3_ppmi(postings: DataFrame) -> DataFrame:
     return terms.ppmi(postings).select("termino", "doc_id", "tf", "df", F.round("ppmi", 6).alias("ppmi"))
 
@@ -54,6 +64,7 @@ def queries() -> dict[str, Query]:
         "p3_found": _over(terms.p3_found, "postings"),
         "p3_ppmi": _over(p3_ppmi, "postings"),
         "p4_found": _over(repeated_lines.p4_found, "coleccion"),
+        "p4_incremental": _over(p4_incremental, "coleccion", "documentos"),
         "p4_textos": _over(repeated_lines.p4_clean, "coleccion"),
         "p5_found": _over(terms.p5_found, "postings", "coleccion"),
         "p5_frecuencias": _over(terms.p5_counts, "postings", "coleccion"),
