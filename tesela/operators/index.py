@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize, weighting
 from ..functions.policy import Model, Policy
 from ..session import materialize
+from .joins import skew_join
 
 #: Sizes of the records of the single-file form. FIXED VALUES.
 HEADER_BYTES, DOC_BYTES, TERM_BYTES, POSTING_BYTES = 64, 44, 22, 12
@@ -57,7 +58,9 @@ def build_index(docs: DataFrame, policy: Policy, model: Model = Model(), text_co
     terms = tf.groupBy("termino").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))
     terms = terms.select("termino", "df", weighting.idf_weight(F.col("n_docs"), F.col("df"), model.esquema_idf, model.suavizado_idf).alias("idf"))
     weight = weighting.tf_weight(F.col("tf"), model.esquema_tf) * F.col("idf")
-    postings = tf.join(terms, "termino").select("termino", "doc_id", "tf", weight.alias("peso"))
+    # a term of every document would make one huge partition: written counts allow for a join that splits hot terms
+    joined = skew_join(tf, terms, "termino", "df", tf.count(), "doc_id") if keep else tf.join(terms, "termino")
+    postings = joined.select("termino", "doc_id", "tf", weight.alias("peso"))
     # every token that passed the filters is one of its term's occurrences, so the counts add up to num_tokens
     norms = postings.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("peso") * F.col("peso"))).alias("norma"), F.sum("tf").cast("int").alias("num_tokens"))
     documents = docs.select("doc_id", "hash_url").join(norms, "doc_id", "left").select("doc_id", "hash_url", F.coalesce("num_tokens", F.lit(0)).alias("num_tokens"), F.coalesce("norma", F.lit(0.0)).alias("norma"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import _icu, nfc
 from ..session import materialize
+from .joins import skew_join
 from .ranking import global_position
 
 STORED, REVISITED, SAME_URL, SAME_CONTENT = "ALMACENADO", "REVISITADO", "DUPLICADO_URL", "DUPLICADO_CONTENIDO"
@@ -62,10 +63,11 @@ def decide(arrivals: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
     accepted = []
     rest = first.where(F.col("accion").isNull()).drop("accion")
     while rest.limit(1).count():
-        by_url = rest.groupBy("hash_url").agg(F.min("secuencia").alias("p_url"))
-        by_content = rest.groupBy("hash_contenido").agg(F.min("secuencia").alias("p_contenido"))
-        ranked = rest.join(by_url, "hash_url").join(by_content, "hash_contenido")
-        taken = materialize(ranked.where((F.col("secuencia") == F.col("p_url")) & (F.col("secuencia") == F.col("p_contenido"))).drop("p_url", "p_contenido"), "taken")
+        by_url = rest.groupBy("hash_url").agg(F.min("secuencia").alias("p_url"), F.count("*").alias("n_url"))
+        by_content = rest.groupBy("hash_contenido").agg(F.min("secuencia").alias("p_contenido"), F.count("*").alias("n_contenido"))
+        n = rest.count()
+        ranked = skew_join(skew_join(rest, by_url, "hash_url", "n_url", n, "secuencia"), by_content, "hash_contenido", "n_contenido", n, "secuencia")
+        taken = materialize(ranked.where((F.col("secuencia") == F.col("p_url")) & (F.col("secuencia") == F.col("p_contenido"))).drop("p_url", "p_contenido", "n_url", "n_contenido"), "taken")
         accepted.append(taken)
         urls = taken.select("hash_url", F.lit(True).alias("url_tomada"))
         contents = taken.select("hash_contenido", F.lit(True).alias("contenido_tomado"))
