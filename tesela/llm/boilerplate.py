@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import lines as L
 from .arrow import map_rows, nested
-from .joins import bounded_join
+from ..operators.joins import bounded_join
 from .lexicon import LANGUAGES, function_sets
 from .repeated_lines import key64, source_name
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import bounded_join
+from ..operators.joins import bounded_join
 from .tokens import VOCABULARY, count_tokens
 
 #: Tokens left to the knapsack; what exceeds them is taken proportionally over the lengths.

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import lines as L
 from .arrow import map_rows, nested
-from .joins import bounded_join
+from ..operators.joins import bounded_join
 
 #: Documents a repeated line stands in at least, and their share of the source's documents.
 LEAST_DOCS = 4

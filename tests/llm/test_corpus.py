@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesela.llm import joins, leaks, mixing, splitting, terms
+from tesela.llm import leaks, mixing, splitting, terms
 from tesela.llm.tokens import encoding
+from tesela.operators import joins
 
 
 # -- joins -----------------------------------------------------------------------------------
