@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,7 @@ LONGEST_NOTICE = 200
 LANGUAGE, HOST, FIRST = 0, 1, 2
 
 _FUNCTION = function_sets()
+_SPOKEN = {w: [lang for lang in LANGUAGES if w in _FUNCTION[lang]] for w in frozenset().union(*_FUNCTION.values())}
 _NUMBER = re.compile(r"\d+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _SEPARATOR = re.compile(r"\s+[|·>»/→]\s+|\s{2,}|\t")
@@ -52,20 +54,28 @@ _NAMES = re.compile("\x02(?: \x02)+")
 SITE, NAME, TAG = "\x01", "\x02", "\x03"
 
 
-def page_language(text: str) -> str:
-    """Language by grammatical words (first of equals)."""
-    seen = Counter(text.lower().split())
-    return max(LANGUAGES, key=lambda lang: sum(seen[w] for w in _FUNCTION[lang]))
+def page_language(low: str) -> str:
+    """Language of a text in lower case by grammatical words (first of equals)."""
+    seen = Counter(low.split())
+    votes = dict.fromkeys(LANGUAGES, 0)
+    for w in seen.keys() & _SPOKEN.keys():
+        for lang in _SPOKEN[w]:
+            votes[lang] += seen[w]
+    return max(LANGUAGES, key=votes.__getitem__)
 
 
-def _is_site(word: str, label: str) -> bool:
-    return len(word) >= 4 and 2 * len(word) > len(label) and label.startswith(word)
+@lru_cache(maxsize=4096)
+def _site_pattern(label: str) -> re.Pattern | None:
+    """The site's name as a word: the host's first label, or what is left of it without an ending (up to half)."""
+    names = [label[:n] for n in range(len(label), max(3, len(label) // 2), -1)]
+    return re.compile(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, names))})(?![-'’]?[^\W_])", re.I) if names else None
 
 
 def _mask_site(line: str, label: str) -> str:
-    if len(label) < 4 or label[:4] not in line.lower():
+    if label[:4] not in line.lower():
         return line
-    return _TOKEN.sub(lambda m: SITE if _is_site(m.group().lower(), label) else m.group(), line)
+    pattern = _site_pattern(label)
+    return pattern.sub(SITE, line) if pattern else line
 
 
 def plain_mask(line: str, label: str) -> str:
@@ -135,9 +145,10 @@ def _pages():
             label = site.partition(".")[0]
             cleaned = L.clean(text or "")
             lines = cleaned.split("\n")
-            lang = page_language(cleaned)
+            low = cleaned.lower()
+            lang = page_language(low)
             prefix = f"{lang}\x00"
-            alien = label[:4] not in cleaned.lower()
+            alien = label[:4] not in low
             distinct: dict[int, int] = {}
             counted = sum(len(x) for x in lines if L._END.search(x[-8:].rstrip()))
             spam = 2 * counted < len(cleaned) and L.text_class(cleaned) == "spam"
