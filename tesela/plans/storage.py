@@ -350,7 +350,9 @@ def oracle_sql() -> dict[str, str]:
     dirty = "regexp_replace(trim(regexp_replace(x, '[ \\t\\f\\x0B\\r\\x{a0}]+', ' ', 'g')), '^\\s+|\\s+$', '', 'g')"
     kept_lines = f"list_filter(list_transform(string_split(coalesce(texto, ''), chr(10)), lambda x: {dirty}), lambda x: x <> '')"
     body = f"CASE WHEN lower({kept_lines}[1]) = 'apariencia' THEN {kept_lines}[2:] ELSE {kept_lines} END"
-    encode = "replace(url_encode(nfc_normalize({t})), '%2F', '/')"
+    encode = "url_encode(nfc_normalize({t}))"
+    for sign in "/:@!$&'()*+,;=":
+        encode = f"replace({encode}, '%{ord(sign):02X}', chr({ord(sign)}))"
     pairs = "list_transform(string_split(q, '&'), lambda p: string_split(p, '='))"
     query = f"array_to_string(list_transform(list_sort(list_transform({pairs}, lambda p: [p[1], p[2]])), lambda p: url_encode(p[1]) || '=' || url_encode(p[2])), '&')"
     address = f"s || '://' || h || {encode.format(t='p')} || CASE WHEN q <> '' THEN '?' || {query} ELSE '' END"
