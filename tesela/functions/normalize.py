@@ -148,7 +148,8 @@ def stem_udf(terms: pd.Series, languages: pd.Series) -> pd.Series:
 
 def stem_vocabulary(df: DataFrame, term_col: str = "termino", lang_col: str = "idioma_doc") -> DataFrame:
     """``term_col, lang_col, raiz`` of the distinct pairs only: each word is stemmed once."""
-    return df.select(term_col, lang_col).distinct().withColumn("raiz", stem_udf(term_col, lang_col))
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(term_col, lang_col).distinct().repartition(spread, term_col).withColumn("raiz", stem_udf(term_col, lang_col))
 
 
 def search_variants(token: Column, policy: Policy) -> Column:

@@ -27,29 +27,41 @@ def _regions(word: str, vowels: str, start: int = 0) -> tuple[int, int]:
     return r1, after(r1)
 
 
-def _longest(word: str, endings: tuple[str, ...] | list[str], least: int = 0) -> str:
+class _Endings(frozenset):
+    """A set of endings that knows its longest one."""
+
+    def __new__(cls, words):
+        own = super().__new__(cls, words)
+        own.reach = max(map(len, own), default=0)
+        return own
+
+
+def _longest(word: str, endings: _Endings, least: int = 0) -> str:
     """Longest of the endings the word has at or after position ``least``."""
-    best = ""
-    for e in endings:
-        if len(e) > len(best) and word.endswith(e) and len(word) - len(e) >= least:
-            best = e
-    return best
+    for n in range(min(endings.reach, len(word) - least), 0, -1):
+        if word[-n:] in endings:
+            return word[-n:]
+    return ""
 
 
-_ES_PRONOUNS = "me se sela selo selas selos la le lo las les los nos".split()
+_ES_PRONOUNS = _Endings("me se sela selo selas selos la le lo las les los nos".split())
 _ES_GERUND = {"iéndo": "iendo", "ándo": "ando", "ár": "ar", "ér": "er", "ír": "ir"}
 _ES_PLAIN = "ando iendo ar er ir".split()
 _ES_DELETE = "anza anzas ico ica icos icas ismo ismos able ables ible ibles ista istas oso osa osos osas amiento amientos imiento imientos".split()
 _ES_ATION = "adora ador ación adoras adores aciones ante antes ancia ancias acion".split()
 _ES_REPLACE = {"logía": "log", "logías": "log", "ución": "u", "uciones": "u", "ucion": "u", "encia": "ente", "encias": "ente"}
 _ES_AFTER = {"mente": ("ante", "able", "ible"), "idad": ("abil", "ic", "iv"), "idades": ("abil", "ic", "iv"), "iva": ("at",), "ivo": ("at",), "ivas": ("at",), "ivos": ("at",)}
-_ES_STEP1 = _ES_DELETE + _ES_ATION + list(_ES_REPLACE) + ["amente"] + list(_ES_AFTER)
-_ES_Y = "ya ye yan yen yeron yendo yo yó yas yes yais yamos".split()
+_ES_STEP1 = _Endings([*_ES_DELETE, *_ES_ATION, *_ES_REPLACE, "amente", *_ES_AFTER])
+_ES_BEFORE = {end: _Endings(("ic",) if end in _ES_ATION else _ES_AFTER.get(end, ())) for end in _ES_STEP1}
+_ES_VERB_BASE = _Endings([*_ES_GERUND, *_ES_PLAIN, "yendo"])
+_ES_REST = _Endings(("os", "a", "o", "á", "í", "ó", "e", "é"))
+_ES_Y = _Endings("ya ye yan yen yeron yendo yo yó yas yes yais yamos".split())
 _ES_GU = "en es éis emos".split()
 _ES_VERB = [f"{v}{e}" for v in ("ar", "er", "ir") for e in "ían ías án ás íais ía éis íamos emos á é".split()] + (
     "aba ada ida ía ara iera ad ed id ase iese aste iste an aban ían aran ieran asen iesen aron ieron ado ido ando iendo ió ar er ir as abas adas "
     "idas ías aras ieras ases ieses ís áis abais íais arais ierais aseis ieseis asteis isteis ados idos amos ábamos íamos imos áramos iéramos iésemos ásemos"
 ).split()
+_ES_GU_VERB = _Endings(_ES_GU + _ES_VERB)
 
 
 def _spanish_rv(w: str) -> int:
@@ -71,7 +83,7 @@ def spanish(word: str) -> str:
     pronoun = _longest(w, _ES_PRONOUNS, rv)
     if pronoun:
         base = w[: -len(pronoun)]
-        verb = _longest(base, list(_ES_GERUND) + _ES_PLAIN + ["yendo"], rv)
+        verb = _longest(base, _ES_VERB_BASE, rv)
         if verb in _ES_GERUND:
             w = base[: -len(verb)] + _ES_GERUND[verb]
         elif verb in _ES_PLAIN or verb == "yendo" and base.endswith("uyendo"):
@@ -82,7 +94,7 @@ def spanish(word: str) -> str:
     if changed is None:
         changed = _spanish_verb(w, rv)
     w = changed if changed is not None else w
-    rest = _longest(w, ("os", "a", "o", "á", "í", "ó", "e", "é"), rv)
+    rest = _longest(w, _ES_REST, rv)
     if rest:
         w = w[: -len(rest)]
         if rest in "eé" and w.endswith("gu") and len(w) - 1 >= rv:
@@ -108,7 +120,7 @@ def _spanish_standard(w: str, r1: int, r2: int) -> str | None:
     if end in _ES_REPLACE:
         return w[:at] + _ES_REPLACE[end]
     w = w[:at]
-    before = _longest(w, ("ic",) if end in _ES_ATION else _ES_AFTER.get(end, ()), r2)
+    before = _longest(w, _ES_BEFORE[end], r2)
     return w[: -len(before)] if before else w
 
 
@@ -118,7 +130,7 @@ def _spanish_y(w: str, rv: int) -> str | None:
 
 
 def _spanish_verb(w: str, rv: int) -> str | None:
-    end = _longest(w, _ES_GU + _ES_VERB, rv)
+    end = _longest(w, _ES_GU_VERB, rv)
     if not end:
         return None
     w = w[: -len(end)]
@@ -138,7 +150,9 @@ _EN_STEP2 = {
     "fulli": "ful", "lessli": "less",
 }
 _EN_STEP3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
-_EN_STEP4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
+_EN_STEP4 = _Endings("al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split())
+_EN_PAST = _Endings(("eed", "eedly", "ed", "edly", "ing", "ingly"))
+_EN_ENDS2, _EN_ENDS3 = _Endings([*_EN_STEP2, "ogi", "li"]), _Endings(_EN_STEP3)
 
 
 def _short_end(w: str) -> bool:
@@ -168,7 +182,7 @@ def english(word: str) -> str:
     if w in _EN_KEEP:
         return w.lower()
     # past and gerund
-    end = _longest(w, ["eed", "eedly", "ed", "edly", "ing", "ingly"])
+    end = _longest(w, _EN_PAST)
     if end in ("eed", "eedly"):
         w = w[: -len(end)] + "ee" if len(w) - len(end) >= r1 else w
     elif end and re.search("[aeiouy]", w[: -len(end)]):
@@ -181,7 +195,7 @@ def english(word: str) -> str:
             w += "e"
     if len(w) > 2 and w[-1] in "yY" and w[-2] not in _EN_VOWELS:
         w = w[:-1] + "i"
-    end = _longest(w, [*_EN_STEP2, "ogi", "li"])
+    end = _longest(w, _EN_ENDS2)
     if end and len(w) - len(end) >= r1:
         base = w[: -len(end)]
         if end == "ogi":
@@ -190,7 +204,7 @@ def english(word: str) -> str:
             w = base if base and base[-1] in "cdeghkmnrt" else w
         else:
             w = base + _EN_STEP2[end]
-    end = _longest(w, list(_EN_STEP3))
+    end = _longest(w, _EN_ENDS3)
     if end and len(w) - len(end) >= (r2 if end == "ative" else r1):
         w = w[: -len(end)] + _EN_STEP3[end]
     end = _longest(w, _EN_STEP4)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize, weighting
 from ..functions.policy import Model, Policy
 from ..session import materialize
-from .joins import skew_join
+from .joins import BROADCAST_ROWS, skew_join
 
 #: Sizes of the records of the single-file form. FIXED VALUES.
 HEADER_BYTES, DOC_BYTES, TERM_BYTES, POSTING_BYTES = 64, 44, 22, 12
@@ -33,14 +33,15 @@ class Index:
     model: Model
 
 
-def occurrences(docs: DataFrame, policy: Policy, text_col: str = "texto") -> DataFrame:
-    """``termino, doc_id, tf`` of ``doc_id, texto`` rows."""
+def occurrences(docs: DataFrame, policy: Policy, text_col: str = "texto", keep: bool = False) -> DataFrame:
+    """``termino, doc_id, tf`` of ``doc_id, texto`` rows. ``keep``: counts of unstemmed words are written, not made twice."""
     split = normalize.tokens(docs.select("doc_id", F.col(text_col).alias("texto")), policy)
     words = split.select("doc_id", "idioma_doc", F.explode("tokens").alias("termino"))
     if not policy.stemming:
         tf = words.groupBy("termino", "doc_id").agg(F.count("*").alias("tf"))
     else:
         raw = words.groupBy("termino", "idioma_doc", "doc_id").agg(F.count("*").alias("tf"))
+        raw = materialize(raw, "word-frequencies") if keep else raw
         stems = normalize.stem_vocabulary(raw)
         tf = raw.join(stems, ["termino", "idioma_doc"]).groupBy(F.col("raiz").alias("termino"), "doc_id").agg(F.sum("tf").alias("tf"))
     return tf.where(F.octet_length("termino") <= TERM_LIMIT)
@@ -51,15 +52,20 @@ def build_index(docs: DataFrame, policy: Policy, model: Model = Model(), text_co
 
     ``keep`` writes the term counts to the shared folder, so that the tables share one pass over the texts.
     """
-    tf = occurrences(docs, policy, text_col)
+    tf = occurrences(docs, policy, text_col, keep)
     if keep:
         tf = materialize(tf, "term-frequencies")
     n_docs = docs.agg(F.count("*").alias("n_docs"))
     terms = tf.groupBy("termino").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))
     terms = terms.select("termino", "df", weighting.idf_weight(F.col("n_docs"), F.col("df"), model.esquema_idf, model.suavizado_idf).alias("idf"))
     weight = weighting.tf_weight(F.col("tf"), model.esquema_tf) * F.col("idf")
-    # a term of every document would make one huge partition: written counts allow for a join that splits hot terms
-    joined = skew_join(tf, terms, "termino", "df", tf.count(), "doc_id") if keep else tf.join(terms, "termino")
+    if keep:
+        # a small written dictionary is broadcast; else terms of very many documents are split from the rest
+        terms = materialize(terms, "dictionary")
+        small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        joined = tf.join(F.broadcast(terms), "termino") if small else skew_join(tf, terms, "termino", "df", tf.count(), "doc_id")
+    else:
+        joined = tf.join(terms, "termino")
     postings = joined.select("termino", "doc_id", "tf", weight.alias("peso"))
     # every token that passed the filters is one of its term's occurrences, so the counts add up to num_tokens
     norms = postings.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("peso") * F.col("peso"))).alias("norma"), F.sum("tf").cast("int").alias("num_tokens"))

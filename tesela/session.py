@@ -16,7 +16,7 @@ _SCRATCH: list[tuple[SparkSession, str]] = []
 def get_spark(app: str = "tesela", master: str | None = None, shuffle_partitions: int = 8) -> SparkSession:
     """Local session for tests and the bench; clusters bring their own."""
     cpus = os.environ.get("BENCH_CPUS", "*")
-    return (
+    return reach_workers(
         SparkSession.builder.master(master or f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -29,6 +29,19 @@ def get_spark(app: str = "tesela", master: str | None = None, shuffle_partitions
     )
 
 
+def reach_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, wherever they are started.
+
+    Clusters without a shared file system ship the package their own way (``--py-files``).
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; the file may be one file or a folder of parts."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
