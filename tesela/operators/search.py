@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize, weighting
+from ..session import materialize
 from .index import Index
+from .joins import bounded_join
 
 SUGGESTIONS = 5
 PREFIX = 4
@@ -56,8 +58,10 @@ def query_weights(resolved: DataFrame, index: Index) -> DataFrame:
 
 def scores(weights: DataFrame, index: Index) -> DataFrame:
     """``consulta_id, doc_id, similitud`` of every document that shares a term."""
+    # a batch of queries is small beside the postings: written and counted, it is broadcast and the postings stay where they are
+    weights = materialize(weights, "query-weights")
     norms = weights.groupBy("consulta_id").agg(F.sqrt(F.sum(F.col("peso_q") * F.col("peso_q"))).alias("norma_q"))
-    dots = index.postings.join(weights, "termino").groupBy("consulta_id", "doc_id").agg(F.sum(F.col("peso") * F.col("peso_q")).alias("producto"))
+    dots = bounded_join(index.postings, weights, ["termino"], "doc_id").groupBy("consulta_id", "doc_id").agg(F.sum(F.col("peso") * F.col("peso_q")).alias("producto"))
     joined = dots.join(norms, "consulta_id").join(index.documentos, "doc_id")
     value = weighting.similarity(F.col("producto"), F.col("norma_q"), F.col("norma"), index.model.normalizacion_coseno)
     return joined.select("consulta_id", "doc_id", "hash_url", "num_tokens", F.round(value, 6).alias("similitud"))
