@@ -371,7 +371,7 @@ def label_texts(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
             sure: list[float] = []
             texts = [L.clean(t) if t else "" for t in cols["texto_"]]
             declared = cols[declared_col] if declared_col else [None] * len(texts)
-            for text, code, sums in zip(texts, declared, labeller.line_sums(texts)):
+            for raw, text, code, sums in zip(cols["texto_"], texts, declared, labeller.line_sums(texts)):
                 lines = text.split("\n")
                 before, mixed, best = len(number), False, -1
                 total = sums.sum(axis=0)
@@ -379,7 +379,8 @@ def label_texts(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
                 if weight:
                     best = int(total.argmax())
                     tops = sums.argmax(axis=1).tolist()
-                    long = [i for i, x in enumerate(lines) if len(x) >= LINE_CHARS and len(x.strip()) >= LINE_CHARS]
+                    # sizes are those of the text as it is stored; cleaning keeps the number of lines
+                    long = [i for i, x in enumerate(raw.split("\n")) if len(x) >= LINE_CHARS and len(x.strip()) >= LINE_CHARS]
                     if every or any(tops[i] != best for i in long):
                         for i in long:
                             x, j = lines[i], tops[i]
