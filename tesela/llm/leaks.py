@@ -29,7 +29,7 @@ PIECE = WINDOW // (ERRORS + 1)
 #: Items searched in one pass; more are searched in further passes.
 ITEMS_PER_PASS = 20_000
 
-_MARKS = re.compile(r"[̀-ͯ҃-҉֑-ֽً-ٟ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
+_MARKS = re.compile(r"[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -28,7 +28,7 @@ _FUNCTION = function_sets()
 _SEARCH = search_sets()
 _GRAMMAR = frozenset().union(*_FUNCTION.values())
 
-INVISIBLE = re.compile("[​‌‍⁠﻿­]")
+INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 _PIECE = re.compile(r"[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+(?![a-zß-öø-ÿ])")
 _END = re.compile(r"[.!?…。]['\"»”’)\]]*$")
 _BULLET = re.compile(r"^(?:[•◦▪‣*\-–]\s+\S|(?:\d{1,4}|[a-zA-Z])[.)]\s+\S)")
