@@ -218,7 +218,7 @@ def rejection(text: Column, listed: Column, title: Column, url: Column) -> Colum
     t = F.coalesce(text, F.lit(""))
     limit = lambda i: F.when(listed, LIMITS[True][i]).otherwise(LIMITS[False][i])
     words = F.regexp_count(t, F.lit(r"[\p{L}\p{N}]{2,}"))
-    solid = F.regexp_replace(t, r"[\s\u0085   -     　\u001c-\u001f]", "")
+    solid = F.regexp_replace(t, r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f]", "")
     density = F.when(F.char_length(solid) > 0, F.char_length(F.regexp_replace(solid, r"[^\p{L}\p{N}]", "")) / F.char_length(solid)).otherwise(0.0)
     return (
         F.when(is_disambiguation(text, title, url), "desambiguacion")
