@@ -20,6 +20,7 @@ import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 from .lexicon import FUNCTION_WORDS, LANGUAGES, SEARCH_WORDS, function_sets, search_sets
 
@@ -27,6 +28,7 @@ KINDS = ("vacia", "prosa", "lista", "tabla", "basura", "spam", "otra")
 _FUNCTION = function_sets()
 _SEARCH = search_sets()
 _GRAMMAR = frozenset().union(*_FUNCTION.values())
+_SOUGHT = frozenset().union(*_SEARCH.values()) - _GRAMMAR
 
 INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 _PIECE = re.compile(r"[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+(?![a-zß-öø-ÿ])")
@@ -41,6 +43,7 @@ _VOWEL = re.compile(r"[aeiouyáéíóúàèìòùâêîôûäëïöüãõåæœ
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
 _SENTENCE_END = re.compile(r"[.!?…]+(?=['\"»”’)\]]*(?:\s|$))")
+_BETWEEN = re.compile(r"(?<=[.!?…])\s+")
 
 #: Blocks of at most this many characters are compressed on their own.
 BLOCK_CHARS = 1024
@@ -50,6 +53,12 @@ REDUNDANCY = 1.2
 LEAST_BYTES = 18
 #: Sentence ends per word up to which redundancy counts as confirmed.
 SENTENCE_DENSITY = 0.03
+#: Multiples of the expected ratio that sentence ends do not excuse, and do not excuse under an address of search words.
+EXTREME = 1.4
+MODERATE = 1.3
+#: Share of search words from which a sentence is a search phrase, and how often any other may be repeated as a refrain or a copy.
+SEARCH_SHARE = 1 / 3
+MOST_COPIES = 8
 
 
 def clean(text: str) -> str:
@@ -144,6 +153,57 @@ def is_spam(s: str) -> bool:
     return 2 * spam > total
 
 
+def is_search_phrase(s: str) -> bool:
+    words = pieces(s)
+    return sum(1 for w in words if w in _SOUGHT) >= SEARCH_SHARE * max(1, len(words))
+
+
+def spam_chars(lines: list[str], kinds: list[str]) -> tuple[int, int]:
+    """Characters of a page in spam, and in spam or redundant sentences, from its cleaned lines and their kinds.
+
+    Sentences are joined to blocks over the lines. A block is spam from ``EXTREME`` on, however it is
+    punctuated, and redundant from ``MODERATE`` on. Copies of a sentence that is no search phrase are
+    measured once, up to ``MOST_COPIES``, and share the verdict of the first.
+    """
+    spam = redundant = 0
+    units: list[str] = []
+    for x, kind in zip(lines, kinds):
+        if kind == "spam":
+            spam += len(x.strip())
+        elif kind == "prosa":
+            units += _BETWEEN.split(x.strip())
+    redundant = spam
+    copies = Counter(units)
+    weights: dict[str, int] = {u: len(u) * n for u, n in copies.items() if 1 < n <= MOST_COPIES and is_plain(u) and not is_search_phrase(u)}
+    block: list[str] = []
+    size = counted = 0
+
+    def close() -> None:
+        nonlocal spam, redundant
+        ratio = redundancy(" ".join(block))
+        spam += counted if ratio >= EXTREME else 0
+        redundant += counted if ratio >= MODERATE else 0
+
+    seen: set[str] = set()
+    for u in units:
+        if u in seen:
+            continue
+        if u in weights:
+            seen.add(u)
+        share = weights.get(u, len(u)) / max(1, len(u))
+        for i in range(0, len(u), BLOCK_CHARS):
+            piece = u[i : i + BLOCK_CHARS]
+            if block and size + len(piece) > BLOCK_CHARS:
+                close()
+                block, size, counted = [], 0, 0
+            block.append(piece)
+            size += len(piece) + 1
+            counted += round(len(piece) * share)
+    if block:
+        close()
+    return spam, redundant
+
+
 def line_kind(line: str) -> str:
     """Kind of one line of cleaned text."""
     s = line.strip()
@@ -169,6 +229,11 @@ MAJORITY = 0.6
 LEAST_LINES = 5
 
 
+def counted_chars(chars: dict[str, int]) -> int:
+    """Characters that spam is held against."""
+    return sum(v for k, v in chars.items() if k not in ("vacia", "otra"))
+
+
 def classify(lines: dict[str, int], chars: dict[str, int]) -> str | None:
     """``spam``, ``lista``, ``tabla``, ``basura``, ``prosa`` or None (no text) from the counts per kind.
 
@@ -198,25 +263,14 @@ def is_sentence(s: str) -> bool:
 
 
 def lines_class(lines: list[str]) -> str | None:
-    """Class of cleaned lines; the same as classifying every line, but lines are looked into only if they can matter."""
-    prose_n = prose_c = 0
-    rest: list[str] = []
-    for x in lines:
-        s = x.strip()
-        if not s:
-            continue
-        if is_sentence(s):
-            prose_n += 1
-            prose_c += len(s)
-        else:
-            rest.append(x)
-    rest_c = sum(len(x.strip()) for x in rest)
-    if prose_n and rest_c < MAJORITY * (rest_c + prose_c) and len(rest) < MAJORITY * (len(rest) + prose_n):
-        return "prosa"
-    n: dict[str, int] = {"prosa": prose_n}
-    c: dict[str, int] = {"prosa": prose_c}
-    for x in rest:
-        k = line_kind(x)
+    """Class of cleaned lines."""
+    n: dict[str, int] = {}
+    c: dict[str, int] = {}
+    kinds = ["prosa" if is_sentence(x.strip()) else line_kind(x) for x in lines]
+    for x, k in zip(lines, kinds):
         n[k] = n.get(k, 0) + 1
         c[k] = c.get(k, 0) + len(x.strip())
+    counted = counted_chars(c)
+    if counted and spam_chars(lines, kinds)[0] >= MAJORITY * counted:
+        return "spam"
     return classify(n, c)

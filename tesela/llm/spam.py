@@ -3,9 +3,11 @@
 Every line is compressed in blocks, with the grammatical and search-phrase words
 of its language as preset dictionary; the ratio is divided by what prose of the
 same length and language reaches. Blocks far above it are extremely redundant,
-and count as spam when they also have hardly any sentence ends. A page is spam
-when most of its body characters stand in such blocks; a page nearly there is
-spam if its address is made of search words as well.
+and count as spam when they also have hardly any sentence ends. Sentences are
+compressed in blocks over the lines too; from a higher ratio on, their ends are
+no excuse. A page is spam when most of its body characters stand in such blocks;
+a page nearly there, in share or in ratio, is spam if its address is made of
+search words as well.
 
 Null and empty texts are no spam. Repeated rows give repeated results.
 """
@@ -40,17 +42,20 @@ def url_search_words(url: str | None) -> int:
 
 def _judge():
     def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"id_": cols["id_"], "enlace_": cols["enlace_"], "proporcion_spam": [], "redundancia": []}
+        out: dict[str, list] = {"id_": cols["id_"], "enlace_": cols["enlace_"], "proporcion_spam": [], "redundante_": [], "redundancia": []}
         for text in cols["texto_"]:
             chars: dict[str, int] = {}
             top = 0.0
-            for line in L.clean(text or "").split("\n"):
-                kind = L.line_kind(line)
+            lines = L.clean(text or "").split("\n")
+            kinds = [L.line_kind(line) for line in lines]
+            for line, kind in zip(lines, kinds):
                 chars[kind] = chars.get(kind, 0) + len(line.strip())
                 if kind == "spam":
                     top = max(top, L.redundancy(line[: L.BLOCK_CHARS]))
-            total = sum(v for k, v in chars.items() if k not in ("vacia", "otra"))
-            out["proporcion_spam"].append(chars.get("spam", 0) / total if total else 0.0)
+            total = L.counted_chars(chars)
+            spam, redundant = L.spam_chars(lines, kinds)
+            out["proporcion_spam"].append(min(1.0, spam / total) if total else 0.0)
+            out["redundante_"].append(min(1.0, redundant / total) if total else 0.0)
             out["redundancia"].append(top)
         return out
 
@@ -72,12 +77,12 @@ def spam_scores(pages: DataFrame, addresses: DataFrame, id_col: str = "doc_id",
     """
     rows = pages.select(F.col(id_col).alias("id_"), F.col(link_col).cast("long").alias("enlace_"), F.col(text_col).alias("texto_"))
     kind = dict(rows.dtypes)["id_"]
-    scores = map_rows(rows, _judge, f"id_ {kind}, enlace_ long, proporcion_spam double, redundancia double")
+    scores = map_rows(rows, _judge, f"id_ {kind}, enlace_ long, proporcion_spam double, redundante_ double, redundancia double")
     known = addresses.where(F.col(address_id).isNotNull()).select(F.col(address_id).cast("long").alias("enlace_"), F.col(address_col).alias("url_"))
     words = map_rows(known, _judge_urls, "enlace_ long, palabras_url int").groupBy("enlace_").agg(F.max("palabras_url").alias("palabras_url"))
     share, in_url = F.col("proporcion_spam"), F.coalesce("palabras_url", F.lit(0))
     return scores.join(words, "enlace_", "left").select(
-        F.col("id_").alias(id_col), share, "redundancia", in_url.alias("palabras_url"), ((share >= L.MAJORITY) | ((share >= DOUBTFUL) & (in_url >= URL_WORDS))).alias("es_spam")
+        F.col("id_").alias(id_col), share, "redundancia", in_url.alias("palabras_url"), ((share >= L.MAJORITY) | (((share >= DOUBTFUL) | (F.col("redundante_") >= L.MAJORITY)) & (in_url >= URL_WORDS))).alias("es_spam")
     )
 
 

@@ -211,3 +211,31 @@ def test_p7_found(spark):
     got = {r.doc_id: r for r in spam.p7_scores(pages, docs).collect()}
     assert got[1].palabras_url == 4 and not got[1].es_spam and got[2].proporcion_spam == 0 and got[0].redundancia > 2
     assert spam.p7_found(pages.limit(0), docs.limit(0)).count() == 0
+
+
+PHRASES = ["Buy anime Zulfalanren best price", "Download series best price", "Get box sets Pitita cheap"]
+DRESSED = "\n".join(f"{PHRASES[i % 3]} {verb} {PHRASES[(i + i // 3) % 3].lower()}, with patience. {PHRASES[(i + 1) % 3]} {PHRASES[i * i % 3].lower()}!" for i, verb in enumerate("sustains reinforces complicates questions pursues celebrates follows abandons hides explains".split()))
+
+
+def test_sentence_ends_do_not_hide_search_phrases(spark):
+    assert L.text_class(DRESSED) == "spam" and L.text_class(EN * 6) == L.text_class(("\n" + ES) * 6) == "prosa"
+    schema = "doc_id long, db_id long, texto string"
+    pages = spark.createDataFrame([(0, 1, DRESSED), (1, 2, PROSE)], schema)
+    docs = spark.createDataFrame([(1, None)], "id long, url string")
+    assert [r.doc_id for r in spam.p7_found(pages, docs).collect()] == [0]
+    # about half dressed: the address decides
+    half = spark.createDataFrame([(0, 1, DRESSED + "\n" + OTHER), (1, 2, DRESSED + "\n" + OTHER)], schema)
+    docs = spark.createDataFrame([(1, "https://a.test/buy-series-online-cheap"), (2, "https://a.test/notes")], "id long, url string")
+    assert [r.doc_id for r in spam.p7_found(half, docs).collect()] == [0]
+
+
+OTHER = """The director spent eleven winters on the northern coast before anyone would lend the crew a boat.
+Critics who had expected a quiet portrait left the screening arguing about its violent last reel.
+Her grandmother kept every letter in a biscuit tin under the stairs, and nobody ever asked why.
+Sound was recorded separately in an abandoned chapel whose roof had collapsed during the storm.
+Financing came from three small banks, a shipping clerk, and the composer's impatient brother.
+Years later the negative turned up in a museum basement, mislabelled and badly scratched.
+Restoration took eighteen months because half the colour information had already faded away.
+What survives today is shorter than the version shown at its premiere but far easier to follow.
+Actors remember long silences, cold coffee, and a dog that wandered through each rehearsal.
+Only one photograph of the original set exists, and it hangs in the mayor's private office."""
