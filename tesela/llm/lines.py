@@ -59,6 +59,8 @@ MODERATE = 1.3
 #: Share of search words from which a sentence is a search phrase, and how often any other may be repeated as a refrain or a copy.
 SEARCH_SHARE = 1 / 3
 MOST_COPIES = 8
+#: Share of grammatical words below which unpunctuated text is no running text.
+LEAST_GRAMMAR = 0.15
 
 
 def clean(text: str) -> str:
@@ -158,39 +160,36 @@ def is_search_phrase(s: str) -> bool:
     return sum(1 for w in words if w in _SOUGHT) >= SEARCH_SHARE * max(1, len(words))
 
 
-def spam_chars(lines: list[str], kinds: list[str]) -> tuple[int, int]:
-    """Characters of a page in spam, and in spam or redundant sentences, from its cleaned lines and their kinds.
+def is_bare(s: str) -> bool:
+    """Hardly any sentence ends and grammatical words: names, tags or key words in a row."""
+    words = pieces(s)
+    return len(_SENTENCE_END.findall(s)) <= SENTENCE_DENSITY * len(words) and sum(1 for w in words if w in _GRAMMAR) < LEAST_GRAMMAR * len(words)
 
-    Sentences are joined to blocks over the lines. A block is spam from ``EXTREME`` on, however it is
-    punctuated, and redundant from ``MODERATE`` on. Copies of a sentence that is no search phrase are
-    measured once, up to ``MOST_COPIES``, and share the verdict of the first.
-    """
-    spam = redundant = 0
-    units: list[str] = []
-    for x, kind in zip(lines, kinds):
-        if kind == "spam":
-            spam += len(x.strip())
-        elif kind == "prosa":
-            units += _BETWEEN.split(x.strip())
-    redundant = spam
+
+def _block_chars(units: list[str]) -> tuple[int, int, float]:
+    """Characters of the units in spam blocks and in redundant blocks; the highest ratio of the spam blocks."""
     copies = Counter(units)
-    weights: dict[str, int] = {u: len(u) * n for u, n in copies.items() if 1 < n <= MOST_COPIES and is_plain(u) and not is_search_phrase(u)}
+    once = {u: n for u, n in copies.items() if 1 < n <= MOST_COPIES and is_plain(u) and not is_search_phrase(u)}
+    spam = redundant = size = counted = 0
+    top = 0.0
     block: list[str] = []
-    size = counted = 0
+    seen: set[str] = set()
 
     def close() -> None:
-        nonlocal spam, redundant
-        ratio = redundancy(" ".join(block))
-        spam += counted if ratio >= EXTREME else 0
-        redundant += counted if ratio >= MODERATE else 0
+        nonlocal spam, redundant, top
+        text = " ".join(block)
+        ratio = redundancy(text)
+        bare = ratio >= REDUNDANCY and is_bare(text)
+        if ratio >= EXTREME or bare:
+            spam, top = spam + counted, max(top, ratio)
+        if ratio >= MODERATE or bare:
+            redundant += counted
 
-    seen: set[str] = set()
     for u in units:
         if u in seen:
             continue
-        if u in weights:
+        if u in once:
             seen.add(u)
-        share = weights.get(u, len(u)) / max(1, len(u))
         for i in range(0, len(u), BLOCK_CHARS):
             piece = u[i : i + BLOCK_CHARS]
             if block and size + len(piece) > BLOCK_CHARS:
@@ -198,10 +197,47 @@ def spam_chars(lines: list[str], kinds: list[str]) -> tuple[int, int]:
                 block, size, counted = [], 0, 0
             block.append(piece)
             size += len(piece) + 1
-            counted += round(len(piece) * share)
+            counted += len(piece) * once.get(u, 1)
     if block:
         close()
-    return spam, redundant
+    return spam, redundant, top
+
+
+def spam_shares(lines: list[str], kinds: list[str]) -> tuple[float, float, float]:
+    """Shares of a page's characters in spam, and in spam or moderately redundant text, and the highest ratio of the
+    spam blocks over the lines, from its cleaned lines and their kinds.
+
+    Besides the spam lines, sentences are joined to blocks over the lines, and so are the other lines
+    (headings, names, tags; list entries only if they are search phrases or repeated like no list's).
+    A block is spam from ``EXTREME`` on, however it is punctuated, and from ``REDUNDANCY`` on if it is bare.
+    Copies of a sentence that is no search phrase are measured once, up to ``MOST_COPIES``, and share the
+    verdict of the first. ``otra`` lines outside spam count only where they are most of the page.
+    """
+    chars: Counter[str] = Counter()
+    sentences: list[str] = []
+    others: list[str] = []
+    entries: list[str] = []
+    for x, kind in zip(lines, kinds):
+        s = x.strip()
+        chars[kind] += len(s)
+        if kind == "prosa":
+            sentences += _BETWEEN.split(s)
+        elif kind == "otra":
+            others.append(s)
+        elif kind == "lista":
+            entries.append(s)
+    listed = Counter(entries)
+    stuffed = [x for x in entries if listed[x] > MOST_COPIES or is_search_phrase(x)]
+    found = [_block_chars(units) for units in (sentences, stuffed, others)]
+    spam, redundant = (chars["spam"] + sum(f[i] for f in found) for i in (0, 1))
+    top = max(f[2] for f in found)
+    total = sum(chars.values())
+    if not total:
+        return 0.0, 0.0, 0.0
+    if 2 * chars["otra"] > total:
+        return spam / total, redundant / total, top
+    rest = total - chars["otra"]
+    return spam / max(1, rest + found[2][0]), redundant / max(1, rest + found[2][1]), top
 
 
 def line_kind(line: str) -> str:
@@ -229,11 +265,6 @@ MAJORITY = 0.6
 LEAST_LINES = 5
 
 
-def counted_chars(chars: dict[str, int]) -> int:
-    """Characters that spam is held against."""
-    return sum(v for k, v in chars.items() if k not in ("vacia", "otra"))
-
-
 def classify(lines: dict[str, int], chars: dict[str, int]) -> str | None:
     """``spam``, ``lista``, ``tabla``, ``basura``, ``prosa`` or None (no text) from the counts per kind.
 
@@ -270,7 +301,6 @@ def lines_class(lines: list[str]) -> str | None:
     for x, k in zip(lines, kinds):
         n[k] = n.get(k, 0) + 1
         c[k] = c.get(k, 0) + len(x.strip())
-    counted = counted_chars(c)
-    if counted and spam_chars(lines, kinds)[0] >= MAJORITY * counted:
+    if spam_shares(lines, kinds)[0] >= MAJORITY:
         return "spam"
     return classify(n, c)

@@ -5,7 +5,8 @@ of its language as preset dictionary; the ratio is divided by what prose of the
 same length and language reaches. Blocks far above it are extremely redundant,
 and count as spam when they also have hardly any sentence ends. Sentences are
 compressed in blocks over the lines too; from a higher ratio on, their ends are
-no excuse. A page is spam when most of its body characters stand in such blocks;
+no excuse. So are short and other lines, which count where they are most of the
+page. A page is spam when most of its body characters stand in such blocks;
 a page nearly there, in share or in ratio, is spam if its address is made of
 search words as well.
 
@@ -44,19 +45,16 @@ def _judge():
     def run(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"id_": cols["id_"], "enlace_": cols["enlace_"], "proporcion_spam": [], "redundante_": [], "redundancia": []}
         for text in cols["texto_"]:
-            chars: dict[str, int] = {}
             top = 0.0
             lines = L.clean(text or "").split("\n")
             kinds = [L.line_kind(line) for line in lines]
             for line, kind in zip(lines, kinds):
-                chars[kind] = chars.get(kind, 0) + len(line.strip())
                 if kind == "spam":
                     top = max(top, L.redundancy(line[: L.BLOCK_CHARS]))
-            total = L.counted_chars(chars)
-            spam, redundant = L.spam_chars(lines, kinds)
-            out["proporcion_spam"].append(min(1.0, spam / total) if total else 0.0)
-            out["redundante_"].append(min(1.0, redundant / total) if total else 0.0)
-            out["redundancia"].append(top)
+            spam, redundant, highest = L.spam_shares(lines, kinds)
+            out["proporcion_spam"].append(spam)
+            out["redundante_"].append(redundant)
+            out["redundancia"].append(max(top, highest))
         return out
 
     return run

@@ -239,3 +239,18 @@ Restoration took eighteen months because half the colour information had already
 What survives today is shorter than the version shown at its premiere but far easier to follow.
 Actors remember long silences, cold coffee, and a dog that wandered through each rehearsal.
 Only one photograph of the original set exists, and it hangs in the mayor's private office."""
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("\n".join(f"{a} {b}" for a in ("Ver", "Bajar", "Comprar", "Mirar") for b in ("series", "anime", "cine", "estrenos") for _ in range(4)), "spam"),
+        ("\n".join(["zapatos cuero madrid rebajas outlet oferta envio talla bolso"] * 200), "spam"),
+        ("\n".join(f"#{w}" for w in ["cine", "bolso", "madrid", "reloj"] * 40), "spam"),
+        ("\n".join(["Yo no sé por qué la noche se me va de las manos", "Y en la calle vuelve a llover sobre mojado"] * 6), "prosa"),
+        (PILE[:130] + "\n" + OTHER.replace(".\n", "\n"), "prosa"),
+        (LIST, "lista"),
+    ],
+)
+def test_redundancy_between_lines(text, want):
+    assert L.text_class(text) == want
