@@ -259,16 +259,17 @@ def line_kind(line: str) -> str:
     return "otra"
 
 
-#: A page is of a class when this share of its counted characters (spam) or lines (others) is.
+#: A page is of a class when this share of its counted characters (spam), lines (others) or characters (tables and damaged text) is.
 MAJORITY = 0.6
-#: Fewest lines that make a list, a table or damaged text.
+#: Fewest lines that make a list, a table or damaged text by their number.
 LEAST_LINES = 5
 
 
 def classify(lines: dict[str, int], chars: dict[str, int]) -> str | None:
     """``spam``, ``lista``, ``tabla``, ``basura``, ``prosa`` or None (no text) from the counts per kind.
 
-    Headings and notices (``otra``) count for nobody.
+    Headings and notices (``otra``) count for nobody, except that few long lines make a table or
+    damaged text only if they are that share of all characters.
     """
     counted = [k for k in KINDS if k not in ("vacia", "otra")]
     total = sum(chars.get(k, 0) for k in counted)
@@ -276,6 +277,9 @@ def classify(lines: dict[str, int], chars: dict[str, int]) -> str | None:
         return "prosa" if lines.get("otra", 0) else None
     if chars.get("spam", 0) >= MAJORITY * total:
         return "spam"
+    for k in ("basura", "tabla"):
+        if chars.get(k, 0) >= MAJORITY * (total + chars.get("otra", 0)):
+            return k
     total_lines = sum(lines.get(k, 0) for k in counted)
     best = max(("lista", "tabla", "basura"), key=lambda k: lines.get(k, 0))
     if lines.get(best, 0) >= max(LEAST_LINES, MAJORITY * total_lines):

@@ -254,3 +254,13 @@ Only one photograph of the original set exists, and it hangs in the mayor's priv
 )
 def test_redundancy_between_lines(text, want):
     assert L.text_class(text) == want
+
+
+DATA = "".join(random.Random(5).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=3000))
+
+
+@pytest.mark.parametrize(("text", "want"), [(DATA, "basura"), (MOJIBAKE[:220], "basura"), (ES + "\n" + DATA + "\n" + EN, "basura"), (TABLE[:100] + "\n", "tabla"), (ES * 40 + "\n" + DATA, "prosa"), ("Un título sin punto alguno\n" * 3 + JUNK[:76], "prosa")])
+def test_few_long_lines(spark, text, want):
+    assert L.text_class(text) == want
+    pages = spark.createDataFrame([(1, text)], "doc_id long, texto string")
+    assert [r.clase for r in quality.text_statistics(pages).collect()] == [want]
