@@ -28,6 +28,7 @@ from .arrow import map_rows, nested
 from ..operators.joins import bounded_join
 from .lexicon import LANGUAGES, function_sets
 from .repeated_lines import key64, source_name
+from .spam import p7_found
 
 #: Share of the pages of a language, and of a host, from which a subtree is a template; and fewest pages.
 LANGUAGE_SHARE = 0.04
@@ -150,8 +151,6 @@ def _pages():
             prefix = f"{lang}\x00"
             alien = label[:4] not in low
             distinct: dict[int, int] = {}
-            counted = sum(len(x) for x in lines if L._END.search(x[-8:].rstrip()))
-            spam = 2 * counted < len(cleaned) and L.text_class(cleaned) == "spam"
             first, before = True, len(line)
             for n, raw in enumerate(lines, 1):
                 if not raw or raw.isspace():
@@ -168,13 +167,12 @@ def _pages():
                     nodes.append(key64(f"{prefix}first:{full}"))
                     distinct[nodes[-1]] = FIRST
                     first = False
-                if not spam:
-                    k = len(nodes) + len(parts)
-                    line += [n] * k
-                    line_h += nodes
-                    line_h += parts
-                    line_part += [False] * len(nodes) + [True] * len(parts)
-                    line_parts += [len(parts)] * k
+                k = len(nodes) + len(parts)
+                line += [n] * k
+                line_h += nodes
+                line_h += parts
+                line_part += [False] * len(nodes) + [True] * len(parts)
+                line_parts += [len(parts)] * k
             lines_n.append(len(line) - before)
             nodes_n.append(len(distinct))
             node_h += distinct.keys()
@@ -195,7 +193,7 @@ def host_of(url: Column) -> Column:
 
 
 def page_trees(pages: DataFrame) -> DataFrame:
-    """Hashed subtrees of ``tabla, id, sitio, texto_`` rows. Spam pages count, but report no lines."""
+    """Hashed subtrees of ``tabla, id, sitio, texto_`` rows."""
     kind = dict(pages.dtypes)["id"]
     return map_rows(pages, _pages, f"tabla string, id {kind}, sitio string, idioma string, nodos array<struct<h:long,grado:int>>, lineas array<struct<linea:int,h:long,parte:boolean,partes:int>>")
 
@@ -227,14 +225,27 @@ def pages_of(coleccion: DataFrame, resultado: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def p6_found(coleccion: DataFrame, resultado: DataFrame) -> DataFrame:
-    """``tabla, id, linea`` of every line outside the body."""
+def page_lines(coleccion: DataFrame, resultado: DataFrame) -> DataFrame:
+    """``tabla, id, linea`` of every line outside the body, of all pages."""
     return template_lines(materialize(page_trees(pages_of(coleccion, resultado)), "page-trees"))
 
 
+def p6_found(coleccion: DataFrame, resultado: DataFrame, documentos: DataFrame | None = None) -> DataFrame:
+    """``tabla, id, linea`` of every line outside the body; collection pages that are spam are left out.
+
+    Without ``documentos`` spam is judged by the texts alone.
+    """
+    if documentos is None:
+        coleccion = coleccion.withColumn("db_id", F.lit(None).cast("long"))
+        documentos = coleccion.select(F.col("db_id").alias("id"), F.lit(None).cast("string").alias("url")).limit(0)
+    found = p7_found(coleccion, documentos).select(F.lit("coleccion").alias("tabla"), F.col("doc_id").alias("id")).distinct()
+    spam = materialize(found, "spam-pages")
+    return page_lines(coleccion, resultado).join(spam, ["tabla", "id"], "left_anti")
+
+
 def p6_bodies(coleccion: DataFrame, resultado: DataFrame) -> DataFrame:
-    """``tabla, id, cuerpo``: the texts without their template lines."""
+    """``tabla, id, cuerpo``: the texts of all pages without their template lines."""
     pages = pages_of(coleccion, resultado)
-    drop = p6_found(coleccion, resultado).groupBy("tabla", "id").agg(F.collect_set("linea").alias("quitar"))
+    drop = page_lines(coleccion, resultado).groupBy("tabla", "id").agg(F.collect_set("linea").alias("quitar"))
     kept = F.filter(F.split("texto_", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("quitar", (i + 1).cast("int")), F.lit(False)))
     return pages.join(drop, ["tabla", "id"], "left").select("tabla", "id", F.array_join(kept, "\n").alias("cuerpo"))

@@ -28,6 +28,7 @@ KINDS = ("vacia", "prosa", "lista", "tabla", "basura", "spam", "otra")
 _FUNCTION = function_sets()
 _SEARCH = search_sets()
 _GRAMMAR = frozenset().union(*_FUNCTION.values())
+_KNOWN = {w: [k for k in LANGUAGES if w in _FUNCTION[k] or w in _SEARCH[k]] for w in _GRAMMAR.union(*_SEARCH.values())}
 _SOUGHT = frozenset().union(*_SEARCH.values()) - _GRAMMAR
 
 INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
@@ -84,13 +85,12 @@ def pieces(block: str) -> list[str]:
 
 
 def block_language(words: list[str]) -> str:
-    best, most = "es", -1
-    for lang in LANGUAGES:
-        f, s = _FUNCTION[lang], _SEARCH[lang]
-        n = sum(1 for w in words if w in s or w in f)
-        if n > most:
-            best, most = lang, n
-    return best
+    """Language of most grammatical and search words (first of equals)."""
+    votes = dict.fromkeys(LANGUAGES, 0)
+    for w in words:
+        for lang in _KNOWN.get(w, ()):
+            votes[lang] += 1
+    return max(LANGUAGES, key=votes.__getitem__)
 
 
 def redundancy(block: str) -> float:

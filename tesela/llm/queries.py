@@ -69,7 +69,7 @@ def queries() -> dict[str, Query]:
         "p5_found": _over(terms.p5_found, "postings", "coleccion"),
         "p5_frecuencias": _over(terms.p5_counts, "postings", "coleccion"),
         "p5_por_bloques": _over(terms.p5_by_blocks, "postings", "coleccion"),
-        "p6_found": _over(boilerplate.p6_found, "coleccion", "resultado_html"),
+        "p6_found": _over(boilerplate.p6_found, "coleccion", "resultado_html", "documentos"),
         "p6_cuerpos": _over(boilerplate.p6_bodies, "coleccion", "resultado_html"),
         "p7_found": _over(spam.p7_found, "coleccion", "documentos"),
         "p7_paginas": _over(spam.p7_scores, "coleccion", "documentos"),

@@ -264,3 +264,17 @@ def test_few_long_lines(spark, text, want):
     assert L.text_class(text) == want
     pages = spark.createDataFrame([(1, text)], "doc_id long, texto string")
     assert [r.clase for r in quality.text_statistics(pages).collect()] == [want]
+
+
+def test_p6_lines_of_spam_pages(spark):
+    """Only collection pages of p7 are left out of the lines, and none of the bodies."""
+    hosts = [f"sitio{chr(97 + i % 26)}{chr(97 + i // 26)}.example" for i in range(60)]
+    dress = lambda i, h: page(i, h).replace("Fin propio", PILE * 4 + "Fin propio") if i % 10 == 1 else page(i, h)
+    html = spark.createDataFrame([(i, f"https://{h}/p/{i}", dress(i, h)) for i, h in enumerate(hosts)], "pagina_id long, url string, texto string")
+    own = spark.createDataFrame([(i, i, h, dress(i, h)) for i, h in enumerate(hosts)], "doc_id long, db_id long, dominio string, texto string")
+    docs = spark.createDataFrame([(0, None)], "id long, url string")
+    assert sorted(r.doc_id for r in spam.p7_found(own, docs).collect()) == [1, 11, 21, 31, 41, 51]
+    got = {(r.tabla, r.id) for r in boilerplate.p6_found(own, html, docs).collect()}
+    assert got == {("resultado_html", i) for i in range(60)} | {("coleccion", i) for i in range(60) if i % 10 != 1}
+    bodies = boilerplate.p6_bodies(own, html).collect()
+    assert len(bodies) == 120 and not any("Todos los derechos" in r.cuerpo for r in bodies)
