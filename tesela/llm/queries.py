@@ -24,6 +24,13 @@ def p1_documentos(coleccion: DataFrame, etiquetas: DataFrame, documents: DataFra
     return language.p1_labelled(coleccion, etiquetas, documents).select("tabla", "doc_id", "declarado", "idioma", F.round("confianza", 3).alias("confianza"), "clase", "mixto")
 
 
+def p1_lineas(coleccion: DataFrame, etiquetas: DataFrame, documents: DataFrame, bound: language.TrainingBound = language.TrainingBound()) -> DataFrame:
+    """Language and confidence of every sizable line of the mixed texts of both tables."""
+    texts = language.p1_labelled(coleccion, etiquetas, documents, bound, every=False).where("mixto")
+    lines = texts.select("tabla", "doc_id", "clase", F.explode("segmentos").alias("s"))
+    return lines.select("tabla", "doc_id", "clase", "s.linea", "s.n_caracteres", "s.n_palabras", "s.idioma", F.round("s.confianza", 3).alias("confianza"))
+
+
 def p2_estadisticas(coleccion: DataFrame) -> DataFrame:
     """Statistics and class of every collection text."""
     return quality.text_statistics(coleccion.select("doc_id", "texto"))
@@ -57,6 +64,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _over(language.p1_found, "coleccion", "etiquetas_idioma", "documents"),
         "p1_documentos": _over(p1_documentos, "coleccion", "etiquetas_idioma", "documents"),
+        "p1_lineas": _over(p1_lineas, "coleccion", "etiquetas_idioma", "documents"),
         "p2_found": _over(quality.p2_found, "coleccion", "documentos"),
         "p2_estadisticas": _over(p2_estadisticas, "coleccion"),
         "p2_cuentas": _over(p2_cuentas, "coleccion"),

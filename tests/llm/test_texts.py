@@ -278,3 +278,16 @@ def test_p6_lines_of_spam_pages(spark):
     assert got == {("resultado_html", i) for i in range(60)} | {("coleccion", i) for i in range(60) if i % 10 != 1}
     bodies = boilerplate.p6_bodies(own, html).collect()
     assert len(bodies) == 120 and not any("Todos los derechos" in r.cuerpo for r in bodies)
+
+
+def test_p1_lines_have_a_confidence(spark):
+    from tesela.llm import queries
+
+    mixed = ES.strip() + "\n" + ES.strip() + "\n" + EN.strip()
+    docs = [(i, (t * 3).strip(), code) for i, (code, t) in enumerate(list(ALL.items()) * 4)] + [(105, mixed, "es"), (106, None, None)]
+    documents = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "etiqueta_id long, doc_id long, idioma string, registrado_en timestamp")
+    pages = spark.createDataFrame([(7, mixed)], "doc_id long, texto string")
+    rows = queries.queries()["p1_lineas"] and queries.p1_lineas(pages, labels, documents, language.TrainingBound(iterations=25)).collect()
+    assert sorted((r.tabla, r.doc_id, r.linea, r.idioma) for r in rows) == [(t, d, n, k) for t, d in (("coleccion", 7), ("documents", 105)) for n, k in ((1, "es"), (2, "es"), (3, "en"))]
+    assert all(0.5 < r.confianza <= 1 for r in rows)
