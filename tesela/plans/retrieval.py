@@ -39,9 +39,25 @@ def _strings(spark, d):
         "o_orderkey", F.concat_ws(" ", F.col("p_name"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy"), F.col("p_size").cast("string"), F.format_string("%d.5", F.col("o_custkey"))).alias("texto"))
 
 
-def n2_tags(spark, d):
+def _line_strings(spark, d):
+    """One text per order line, by the tables' own keys: every part that was ever ordered occurs."""
+    li, p, o = table(spark, d, "lineitem"), table(spark, d, "part"), table(spark, d, "orders")
+    lines = li.select("l_orderkey", "l_linenumber", "l_partkey").join(p.select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.join(o.select("o_orderkey", "o_orderdate", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_orderkey", "l_linenumber", F.concat_ws(" ", F.col("p_name"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy"), F.col("p_size").cast("string"), F.format_string("%d.5", F.col("o_custkey"))).alias("texto"))
+
+
+def _tagged(df, *keys):
     t = normalize.tag_dates(F.col("texto"))
-    return _strings(spark, d).select("o_orderkey", F.md5(t).alias("fechas"), F.md5(normalize.tag_numbers(t, "token")).alias("numeros"), F.md5(normalize.tag_numbers(t, "descartar")).alias("sin_numeros"))
+    return df.select(*keys, F.md5(t).alias("fechas"), F.md5(normalize.tag_numbers(t, "token")).alias("numeros"), F.md5(normalize.tag_numbers(t, "descartar")).alias("sin_numeros"))
+
+
+def n2_tags(spark, d):
+    return _tagged(_strings(spark, d), "o_orderkey")
+
+
+def n2_line_tags(spark, d):
+    return _tagged(_line_strings(spark, d), "l_orderkey", "l_linenumber")
 
 
 def _joined(tokens):
@@ -242,7 +258,7 @@ def q8_suggestions(spark, d):
 
 def queries() -> dict[str, Query]:
     named = {
-        "n1_clean": n1_clean, "n2_n4_tags": n2_tags, "n5_n6_tokens": n5_tokens, "n7_accents": n7_accents, "n8_language": n8_language, "n9_language_text": n9_language_text, "n10_n14_minimal": n10_length,
+        "n1_clean": n1_clean, "n2_n4_tags": n2_tags, "n2_n4_lineas": n2_line_tags, "n5_n6_tokens": n5_tokens, "n7_accents": n7_accents, "n8_language": n8_language, "n9_language_text": n9_language_text, "n10_n14_minimal": n10_length,
         "n11_stopwords": n11_stopwords, "n12_thesaurus": n12_thesaurus, "n13_stems": n13_stems, "n14_advanced": n14_advanced, "n15_token_rows": n15_token_rows, "n16_variants": n16_variants,
         "m1_tf": m1_tf, "m2_m4_idf": m2_idf, "m5_similarity": m5_similarity, "i1_frequencies": i1_frequencies, "i2_s6_dictionary": i2_dictionary, "i3_postings": i3_postings, "i4_i5_s5_documents": i4_documents,
         "i6_q9_totals": i6_totals, "i11_probabilistic": i11_probabilistic, "i12_minimal": i12_minimal, "i12_policies": i12_policies, "s4_document": s4_document, "s7_postings": s7_postings, "s10_layout": s10_layout,
@@ -295,6 +311,7 @@ def oracle_sql() -> dict[str, str]:
     lead = _TOKENS.format(t="substr(lower(texto), 1, 2000)")
     date, year, number = r"[0-9]{1,2}/[0-9]{1,2}/(?:18|19|20)[0-9]{2}|(?:18|19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}", r"(188[89]|189[0-9]|19[0-9]{2}|20[0-9]{2})", r"[0-9]+(?:[.,][0-9]+)?"
     strings = "SELECT o_orderkey, concat_ws(' ', p_name, strftime(o_orderdate, '%d/%m/%Y'), strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%Y'), p_size::VARCHAR, o_custkey::VARCHAR || '.5') AS texto FROM orders JOIN part ON o_orderkey % 197 = p_partkey"
+    line_strings = strings.replace("SELECT o_orderkey,", "SELECT l_orderkey, l_linenumber,").replace("FROM orders JOIN part ON o_orderkey % 197 = p_partkey", "FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey")
     tagged = f"regexp_replace(regexp_replace(texto, '\\b(?:{date})\\b', ' <FECHA> ', 'g'), '\\b{year}\\b', ' <ANIO_\\1> ', 'g')"
     idf = lambda e: f"round(CASE WHEN df <= 0 OR n <= 0 THEN 0.0 ELSE {e} END, 9)"
     flags = ", ".join(f"(mascara & {bit}) > 0 AS {name}" for name, bit in FLAGS.items())
@@ -308,6 +325,7 @@ o AS (SELECT consulta_id, termino, min((pos, k)) AS o FROM l JOIN f ON x = subst
 SELECT consulta_id, puesto::INTEGER AS puesto, termino FROM (SELECT *, row_number() OVER (PARTITION BY consulta_id ORDER BY o, encode(termino)) AS puesto FROM o) WHERE puesto <= 5""",
         "n1_clean": f"SELECT doc_id, md5({_CLEAN.format(t='texto')}) AS huella FROM coleccion",
         "n2_n4_tags": f"SELECT o_orderkey, md5({tagged}) AS fechas, md5(regexp_replace({tagged}, '\\b{number}\\b', ' <NUM> ', 'g')) AS numeros, md5(regexp_replace({tagged}, '\\b{number}\\b', ' ', 'g')) AS sin_numeros FROM ({strings})",
+        "n2_n4_lineas": f"SELECT l_orderkey, l_linenumber, md5({tagged}) AS fechas, md5(regexp_replace({tagged}, '\\b{number}\\b', ' <NUM> ', 'g')) AS numeros, md5(regexp_replace({tagged}, '\\b{number}\\b', ' ', 'g')) AS sin_numeros FROM ({line_strings})",
         "n5_n6_tokens": f"SELECT doc_id, len(t)::INTEGER AS n, md5(array_to_string(t, ' ')) AS tokens, md5(array_to_string({_LOWER.format(t='t')}, ' ')) AS minusculas FROM (SELECT doc_id, {raw} AS t FROM coleccion)",
         "n7_accents": "SELECT DISTINCT termino, strip_accents(termino) AS sin_acentos FROM terminos",
         "n8_language": f"SELECT doc_id, {vote('t', es)} AS votos_es, {vote('t', en)} AS votos_en, CASE WHEN {vote('t', en)} > {vote('t', es)} THEN 'en' ELSE 'es' END AS idioma FROM (SELECT doc_id, {_BASE} AS t FROM coleccion)",

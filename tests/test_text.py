@@ -122,3 +122,14 @@ def test_configuration():
         policy.parse_bool("quizá")
     m = policy.Model("binario", "ninguno", False, False)
     assert policy.Model.from_reserved(m.reserved_bytes()) == m and policy.Model.from_reserved(b"") == policy.Model()
+
+
+def test_every_ordered_part_is_tagged(spark, sf_dir):
+    from tesela.plans import retrieval
+    from tesela.session import table
+
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    tagged = retrieval.queries()["n2_n4_lineas"](spark, sf_dir)
+    assert tagged.count() == lines.count()
+    keys = tagged.join(lines, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("p_partkey")).distinct()
+    assert keys.join(parts, "p_partkey").count() == lines.select("l_partkey").distinct().count()
