@@ -21,13 +21,13 @@ from ..session import materialize
 from ..operators.joins import bounded_join
 from .tokens import VOCABULARY, count_tokens
 
-#: Tokens left to the knapsack; what exceeds them is taken proportionally over the lengths.
+#: Tokens left to the knapsack; what exceeds them is taken proportionally over the lengths, by cumulative quotas.
 RESERVE = 20_000
 #: Documents of one length ranked by one task; larger groups are split by the seeded hash.
 RANKED = 5_000
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats: int) -> tuple[int, np.ndarray]:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats: int, seed: int = 42) -> tuple[int, np.ndarray]:
     """Whole repeats of all documents, and how many of each length to use once more, to meet the budget.
 
     The sum never exceeds the budget and equals it whenever the knapsack over the
@@ -41,10 +41,20 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats
     rest = budget - full * total
     if full == max_repeats or not rest:
         return full, take
+    random = np.random.default_rng(seed)
     if rest > RESERVE:
-        take = (counts.astype(object) * (rest - RESERVE) // total).astype(np.int64)
+        # cumulative quotas over the sorted lengths from a seeded start: every stretch of lengths gets its share, however few documents a length has
+        order = np.argsort(lengths, kind="stable")
+        start = int(random.integers(total))
+        reached = (np.concatenate([[0], np.cumsum(counts[order])]).astype(object) * (rest - RESERVE) + start) // total
+        take[order] = np.diff(reached).astype(np.int64)
         rest -= int((lengths * take).sum())
-    for i in np.argsort(-lengths, kind="stable"):
+    by_chance = random.permutation(len(lengths))
+    for i in by_chance:  # rounding may exceed the budget where single documents are longer than the reserve
+        while rest < 0 and take[i]:
+            take[i] -= 1
+            rest += int(lengths[i])
+    for i in by_chance:
         if rest - lengths[i] >= RESERVE and take[i] < counts[i]:
             take[i] += 1
             rest -= int(lengths[i])
@@ -98,7 +108,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
         if source not in budgets:
             return pdf.iloc[:0].assign(enteras=0, extra=0)[["fuente", "n_tokens", "n", "enteras", "extra"]]
         pdf = pdf.sort_values("n_tokens")
-        full, take = fit_budget(pdf["n_tokens"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), *budgets[source])
+        full, take = fit_budget(pdf["n_tokens"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), *budgets[source], seed)
         return pdf.assign(enteras=full, extra=take)[["fuente", "n_tokens", "n", "enteras", "extra"]]
 
     quota = materialize(lengths.groupBy("fuente").applyInPandas(fit, "fuente string, n_tokens int, n long, enteras long, extra long"), "quota")

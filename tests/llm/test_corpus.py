@@ -223,3 +223,21 @@ def test_p10_found(spark):
     rows = splitting.pieces(df.where("doc_id = 2").limit(1)).orderBy("pieza").collect()
     assert all(r.n_tokens <= 4096 for r in rows) and rows[0].piezas == len(rows)
     assert splitting.p10_found(df.limit(0)).count() == 0
+
+
+def test_distinct_lengths_are_taken_alike():
+    """One document a length: short, middling and long ones get the same share, other ones with another seed."""
+    lengths = np.arange(10, 3010)
+    ones = np.ones(len(lengths), dtype=np.int64)
+    for share in (0.3, 0.5, 0.8):
+        budget = int(lengths.sum() * share)
+        full, take = mixing.fit_budget(lengths, ones, budget, 1)
+        assert full == 0 and int((lengths * take).sum()) == budget and take.max() == 1
+        assert all(abs(take[i : i + 600].mean() - share) < 0.02 for i in range(600, 3000, 600))  # the shortest also fill the reserve
+    other = mixing.fit_budget(lengths, ones, int(lengths.sum() * 0.5), 1, seed=8)[1]
+    assert (mixing.fit_budget(lengths, ones, int(lengths.sum() * 0.5), 1)[1] != other).mean() > 0.1
+    huge = np.array([50_000, 90_000, 130_000])
+    for seed in range(20):
+        for budget in (60_000, 100_000, 200_000, 269_000):
+            take = mixing.fit_budget(huge, np.ones(3, dtype=np.int64), budget, 1, seed)[1]
+            assert (take >= 0).all() and (take <= 1).all() and int((huge * take).sum()) <= budget
