@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,12 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "evaluacion").select(F.col("item_id").alias("consulta_id"), F.col("texto").alias("consulta"))
 
 
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    """The query batch that grows with the collection: the rows whose id is divisible by 100 (``c…``), and the evaluation texts (``e…``)."""
+    own = table(spark, d, "coleccion").where(F.col("doc_id") % 100 == 0).select(F.concat(F.lit("c"), "doc_id").alias("consulta_id"), F.col("texto").alias("consulta"))
+    return own.unionByName(_questions(spark, d).withColumn("consulta_id", F.concat(F.lit("e"), "consulta_id")))
+
+
 def n1_clean(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(normalize.clean(F.col("texto"))).alias("huella"))
 
@@ -213,23 +220,23 @@ def q2_prefix(spark, d):
     return se.prefix_lookup(_index(spark, d), "gui").select("termino", "df")
 
 
-def q3_variants(spark, d):
+def q3_variants(spark, d, questions=_questions):
     index = _index(spark, d)
-    return se.resolve(se.query_tokens(_questions(spark, d), index), index).select("consulta_id", "token", "termino", "df", "orden")
+    return se.resolve(se.query_tokens(questions(spark, d), index), index).select("consulta_id", "token", "termino", "df", "orden")
 
 
-def q4_weights(spark, d):
+def q4_weights(spark, d, questions=_questions):
     index = _index(spark, d)
-    w = se.query_weights(se.resolve(se.query_tokens(_questions(spark, d), index), index), index)
+    w = se.query_weights(se.resolve(se.query_tokens(questions(spark, d), index), index), index)
     return w.select("consulta_id", "termino", F.round("peso_q", 6).alias("peso_q"))
 
 
-def _ranking(spark, d, policy, top=10):
-    return se.search(_questions(spark, d), _index(spark, d, policy), top).select("consulta_id", "puesto", "doc_id", "hash_url", "num_tokens", "similitud")
+def _ranking(spark, d, policy, top=10, questions=_questions):
+    return se.search(questions(spark, d), _index(spark, d, policy), top).select("consulta_id", "puesto", "doc_id", "hash_url", "num_tokens", "similitud")
 
 
-def q5_scores(spark, d):
-    return _ranking(spark, d, "minimo", 0).select("consulta_id", "doc_id", "similitud")
+def q5_scores(spark, d, questions=_questions):
+    return _ranking(spark, d, "minimo", 0, questions).select("consulta_id", "doc_id", "similitud")
 
 
 def q6_ranking(spark, d):
@@ -244,9 +251,9 @@ def q6_advanced(spark, d):
     return _ranking(spark, d, "avanzado")
 
 
-def q7_missing(spark, d):
+def q7_missing(spark, d, questions=_questions):
     index = _index(spark, d)
-    return se.missing_terms(se.query_tokens(_questions(spark, d), index), index)
+    return se.missing_terms(se.query_tokens(questions(spark, d), index), index)
 
 
 def q8_suggestions(spark, d):
@@ -265,6 +272,10 @@ def queries() -> dict[str, Query]:
         "s11_verify": s11_verify, "s12_inspect": s12_inspect, "s13_term": s13_term, "s19_flags": s19_flags, "q1_lookup": q1_lookup, "q2_prefix": q2_prefix, "q3_variants": q3_variants, "q4_weights": q4_weights,
         "q5_scores": q5_scores, "q6_ranking": q6_ranking, "q6_standard": q6_standard, "q6_advanced": q6_advanced, "q7_missing": q7_missing, "q8_suggestions": q8_suggestions,
     }
+    for name, f in (("q3_variants", q3_variants), ("q4_weights", q4_weights), ("q5_scores", q5_scores), ("q7_missing", q7_missing)):
+        named[f"{name}_lote"] = partial(f, questions=_batch)
+    for name, policy in (("q6_ranking", "minimo"), ("q6_standard", "estandar"), ("q6_advanced", "avanzado")):
+        named[f"{name}_lote"] = partial(_ranking, policy=policy, questions=_batch)
     return named
 
 
@@ -317,7 +328,7 @@ def oracle_sql() -> dict[str, str]:
     flags = ", ".join(f"(mascara & {bit}) > 0 AS {name}" for name, bit in FLAGS.items())
     posting = "SELECT 'posting' AS clase, po.termino, doc_id, tf, round(peso, 6) AS peso, df FROM po JOIN te USING (termino) WHERE po.termino = 'guion' ORDER BY doc_id LIMIT 10"
     wrong = _KEPT.format(t=_LOWER.format(t=_TOKENS.format(t=_CLEAN.format(t="substr(lower(texto), 1, 5) || 'qzx'"))))
-    return {
+    queries = {
         "q8_suggestions": f"""WITH {_IX}, w AS (SELECT item_id AS consulta_id, unnest({wrong}) AS token, generate_subscripts({wrong}, 1) AS pos FROM evaluacion),
 t AS (SELECT consulta_id, token, min(pos) AS pos FROM w GROUP BY ALL), l AS (SELECT * FROM t WHERE consulta_id NOT IN (SELECT consulta_id FROM t JOIN te ON termino = token)),
 f AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY encode(termino)) AS k FROM (SELECT DISTINCT substr(token, 1, 4) AS x FROM l) JOIN te ON starts_with(termino, x) QUALIFY k <= 5),
@@ -361,3 +372,7 @@ SELECT consulta_id, puesto::INTEGER AS puesto, termino FROM (SELECT *, row_numbe
         "q6_ranking": f"WITH {_QX} SELECT consulta_id, puesto, doc_id, hash_url, num_tokens, similitud FROM rk WHERE puesto <= 10",
         "q7_missing": f"WITH {_QX} SELECT consulta_id, token FROM qt WHERE token NOT IN (SELECT termino FROM te)",
     }
+    batch = "FROM (SELECT 'c' || doc_id AS item_id, texto FROM coleccion WHERE doc_id % 100 = 0 UNION ALL SELECT 'e' || item_id, texto FROM evaluacion))"
+    for name in ("q3_variants", "q4_weights", "q5_scores", "q6_ranking", "q7_missing"):
+        queries[f"{name}_lote"] = queries[name].replace("FROM evaluacion)", batch)
+    return queries

@@ -133,3 +133,12 @@ def test_every_ordered_part_is_tagged(spark, sf_dir):
     assert tagged.count() == lines.count()
     keys = tagged.join(lines, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("p_partkey")).distinct()
     assert keys.join(parts, "p_partkey").count() == lines.select("l_partkey").distinct().count()
+
+
+def test_searches_run_the_growing_batch(spark, sf_dir):
+    from tesela.plans import retrieval
+    from tesela.session import table
+
+    want = {f"c{r.doc_id}" for r in table(spark, sf_dir, "coleccion").where("doc_id % 100 = 0").collect()} | {f"e{r.item_id}" for r in table(spark, sf_dir, "evaluacion").collect()}
+    got = {r.consulta_id for r in retrieval.queries()["q6_ranking_lote"](spark, sf_dir).select("consulta_id").distinct().collect()}
+    assert got <= want and {x for x in got if x[0] == "c"} == {x for x in want if x[0] == "c"}
