@@ -28,7 +28,7 @@ KINDS = ("vacia", "prosa", "lista", "tabla", "basura", "spam", "otra")
 _FUNCTION = function_sets()
 _SEARCH = search_sets()
 _GRAMMAR = frozenset().union(*_FUNCTION.values())
-_KNOWN = {w: [k for k in LANGUAGES if w in _FUNCTION[k] or w in _SEARCH[k]] for w in _GRAMMAR.union(*_SEARCH.values())}
+_KNOWN = {w: tuple(k for k in LANGUAGES if w in _FUNCTION[k] or w in _SEARCH[k]) for w in _GRAMMAR.union(*_SEARCH.values())}
 _SOUGHT = frozenset().union(*_SEARCH.values()) - _GRAMMAR
 
 INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
@@ -40,9 +40,9 @@ _LABEL = re.compile(r"^[^\W\d_][\w'’-]*(?:\s[^\W\d_][\w'’-]*){0,4}:\s\S")
 _CELLS = re.compile(r"\t| \| |;(?=\S)|\s{3,}")
 _DATA_CELL = re.compile(r"^(?:[-–—]|[\d.,:/%€$ ]+)$")
 _CODE = re.compile(r"[{}<>;=]|\(\)|\|\|")
+_STATEMENT = re.compile(r"[{;]\S*[:=]\S*[;}]|<\w+ \w+=|\]\s*;$")
 _VOWEL = re.compile(r"[aeiouyáéíóúàèìòùâêîôûäëïöüãõåæœø]", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
-_TOKEN = re.compile(r"\S+")
 _SENTENCE_END = re.compile(r"[.!?…]+(?=['\"»”’)\]]*(?:\s|$))")
 _BETWEEN = re.compile(r"(?<=[.!?…])\s+")
 
@@ -81,27 +81,25 @@ EXPECTED_LEAST = 1.25
 
 def pieces(block: str) -> list[str]:
     """Lower-case words; CamelCase tags and URL slugs fall apart into their words."""
-    return [w.lower() for w in _PIECE.findall(block)]
+    found = _PIECE.findall(block)
+    return " ".join(found).lower().split(" ") if found else found
 
 
 def block_language(words: list[str]) -> str:
     """Language of most grammatical and search words (first of equals)."""
     votes = dict.fromkeys(LANGUAGES, 0)
-    for w in words:
-        for lang in _KNOWN.get(w, ()):
-            votes[lang] += 1
+    for langs, n in Counter(map(_KNOWN.get, words)).items():
+        for lang in langs or ():
+            votes[lang] += n
     return max(LANGUAGES, key=votes.__getitem__)
 
 
-def redundancy(block: str) -> float:
-    """Compression ratio of the block's words over the ratio expected of prose of its length and language."""
-    words = pieces(block)
-    if not words:
-        return 0.0
-    lang = block_language(words)
+def redundancy(words: list[str]) -> float:
+    """Compression ratio of a block's words (see ``pieces``) over the ratio expected of prose of their length and language."""
     raw = " ".join(words).encode()
     if len(raw) < LEAST_BYTES:
         return 0.0
+    lang = block_language(words)
     c = zlib.compressobj(6, zlib.DEFLATED, -12, 3, zlib.Z_DEFAULT_STRATEGY, _ZDICT[lang])
     size = len(c.compress(raw)) + len(c.flush())
     a, b = EXPECTED[lang]
@@ -128,14 +126,17 @@ def is_damaged(s: str) -> bool:
             return True
     if s.count("�") + s.count("Ã") + s.count("Â") > 0.04 * n:
         return True
-    longest = max(map(len, _TOKEN.findall(s)), default=0)
+    longest = max(map(len, s.split()), default=0)
     if longest >= 36 and longest > 0.6 * n and "://" not in s and not s.startswith("#"):
         return True
     code = _CODE.findall(s)
-    if len(code) >= 4 and len(code) > 0.06 * n and any(x not in "|;" for x in code) or re.search(r"[{;]\S*[:=]\S*[;}]|<\w+ \w+=|\]\s*;$", s):
+    if code and (len(code) >= 4 and len(code) > 0.06 * n and any(x not in "|;" for x in code) or _STATEMENT.search(s)):
         return True
     long_words = [w for w in words if len(w) >= 3]
-    return len(long_words) >= 3 and sum(1 for w in long_words if not _VOWEL.search(unicodedata.normalize("NFD", w))) > 0.6 * len(long_words)
+    if len(long_words) < 3:
+        return False
+    mute = [w for w in long_words if not _VOWEL.search(w)]
+    return sum(1 for w in mute if not _VOWEL.search(unicodedata.normalize("NFD", w))) > 0.6 * len(long_words)
 
 
 def is_row(s: str) -> bool:
@@ -149,20 +150,23 @@ def is_spam(s: str) -> bool:
     for i in range(0, len(s), BLOCK_CHARS):
         block = s[i : i + BLOCK_CHARS]
         total += len(block)
-        words = len(_TOKEN.findall(block))
-        if len(_SENTENCE_END.findall(block)) <= SENTENCE_DENSITY * words and redundancy(block) >= REDUNDANCY:
+        if len(_SENTENCE_END.findall(block)) <= SENTENCE_DENSITY * len(block.split()) and redundancy(pieces(block)) >= REDUNDANCY:
             spam += len(block)
     return 2 * spam > total
 
 
+def line_redundancy(s: str) -> float:
+    """Highest ratio of a line's blocks."""
+    return max((redundancy(pieces(s[i : i + BLOCK_CHARS])) for i in range(0, len(s), BLOCK_CHARS)), default=0.0)
+
+
 def is_search_phrase(s: str) -> bool:
     words = pieces(s)
     return sum(1 for w in words if w in _SOUGHT) >= SEARCH_SHARE * max(1, len(words))
 
 
-def is_bare(s: str) -> bool:
+def is_bare(s: str, words: list[str]) -> bool:
     """Hardly any sentence ends and grammatical words: names, tags or key words in a row."""
-    words = pieces(s)
     return len(_SENTENCE_END.findall(s)) <= SENTENCE_DENSITY * len(words) and sum(1 for w in words if w in _GRAMMAR) < LEAST_GRAMMAR * len(words)
 
 
@@ -178,8 +182,9 @@ def _block_chars(units: list[str]) -> tuple[int, int, float]:
     def close() -> None:
         nonlocal spam, redundant, top
         text = " ".join(block)
-        ratio = redundancy(text)
-        bare = ratio >= REDUNDANCY and is_bare(text)
+        words = pieces(text)
+        ratio = redundancy(words)
+        bare = ratio >= REDUNDANCY and is_bare(text, words)
         if ratio >= EXTREME or bare:
             spam, top = spam + counted, max(top, ratio)
         if ratio >= MODERATE or bare:

@@ -50,7 +50,7 @@ def _judge():
             kinds = [L.line_kind(line) for line in lines]
             for line, kind in zip(lines, kinds):
                 if kind == "spam":
-                    top = max(top, L.redundancy(line[: L.BLOCK_CHARS]))
+                    top = max(top, L.line_redundancy(line))
             spam, redundant, highest = L.spam_shares(lines, kinds)
             out["proporcion_spam"].append(spam)
             out["redundante_"].append(redundant)
