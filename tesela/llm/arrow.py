@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -46,10 +47,15 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
     return df.mapInArrow(run, struct)
 
 
+def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(sizes)], type=pa.int32()), values)
+
+
+def flat(sizes: list[int], values: list, kind: pa.DataType) -> pa.ListArray:
+    """``array<…>`` from one flat column. ``sizes``: entries of every row."""
+    return _lists(sizes, pa.array(values, type=kind))
+
+
 def nested(sizes: list[int], **fields: tuple[list, pa.DataType]) -> pa.ListArray:
-    """``array<struct<…>>`` from flat columns: far cheaper than lists of dictionaries. ``sizes``: entries of every row."""
-    offsets = [0]
-    for n in sizes:
-        offsets.append(offsets[-1] + n)
-    values = pa.StructArray.from_arrays([pa.array(v, type=t) for v, t in fields.values()], names=list(fields))
-    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), values)
+    """``array<struct<…>>`` from flat columns: far cheaper than lists of dictionaries."""
+    return _lists(sizes, pa.StructArray.from_arrays([pa.array(v, type=t) for v, t in fields.values()], names=list(fields)))

@@ -3,19 +3,20 @@
 The text of a page is taken as a tree: page, lines, and the segments of a line
 (menu items, what stands before a colon or a dash). Every subtree is hashed,
 with the site's own name and numbers masked, and once more with other proper
-names masked. Spark counts on how many pages of its host each subtree recurs,
-and, as most hosts are seldom seen, on how many pages of its language. Subtrees
-recurring on a large share of either are templates, and are deleted.
-
-Shares decide, so results are alike at every size; the count of templates is
-bounded by subtrees per page over the share. Null and empty texts have no
+names masked. Spark counts on how many pages of its host each subtree recurs;
+one that recurs on a large share of them is a template of the host and is
+deleted. Hosts seen on few pages cannot show what recurs, so a subtree that is
+the template of several hosts counts as one everywhere: sites of one make share
+their templates, with their own names put in.
+
+Shares decide, so results are alike at every size; a host's templates are
+bounded by its subtrees per page over the share. Null and empty texts have no
 lines; a null host is a host of its own; repeated rows count as pages.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,27 +25,17 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import lines as L
-from .arrow import map_rows, nested
+from .arrow import flat, map_rows, nested
 from ..operators.joins import bounded_join
-from .lexicon import LANGUAGES, function_sets
 from .repeated_lines import key64, source_name
 from .spam import p7_found
 
-#: Share of the pages of a language, and of a host, from which a subtree is a template; and fewest pages.
-LANGUAGE_SHARE = 0.04
+#: Share of the pages of a host from which a subtree is its template; and fewest pages.
 HOST_SHARE = 0.1
-#: Share of the pages of a language from which an opening line is a template (bodies open differently each time).
-FIRST_SHARE = 0.012
-LEAST_PAGES = 3
-LEAST_HOST_PAGES = 4
-
-#: Characters of a sentence up to which it may be a notice with a site's name.
-LONGEST_NOTICE = 200
-#: What a subtree is counted over: its language, its host, the opening lines of its language.
-LANGUAGE, HOST, FIRST = 0, 1, 2
-
-_FUNCTION = function_sets()
-_SPOKEN = {w: [lang for lang in LANGUAGES if w in _FUNCTION[lang]] for w in frozenset().union(*_FUNCTION.values())}
+LEAST_HOST_PAGES = 3
+#: Hosts whose template a subtree is before it counts as one at all hosts.
+TRANSFER_HOSTS = 3
+
 _NUMBER = re.compile(r"\d+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _SEPARATOR = re.compile(r"\s+[|·>»/→]\s+|\s{2,}|\t")
@@ -55,16 +46,6 @@ _NAMES = re.compile("\x02(?: \x02)+")
 SITE, NAME, TAG = "\x01", "\x02", "\x03"
 
 
-def page_language(low: str) -> str:
-    """Language of a text in lower case by grammatical words (first of equals)."""
-    seen = Counter(low.split())
-    votes = dict.fromkeys(LANGUAGES, 0)
-    for w in seen.keys() & _SPOKEN.keys():
-        for lang in _SPOKEN[w]:
-            votes[lang] += seen[w]
-    return max(LANGUAGES, key=votes.__getitem__)
-
-
 @lru_cache(maxsize=4096)
 def _site_pattern(label: str) -> re.Pattern | None:
     """The site's name as a word: the host's first label, or what is left of it without an ending (up to half)."""
@@ -79,9 +60,14 @@ def _mask_site(line: str, label: str) -> str:
     return pattern.sub(SITE, line) if pattern else line
 
 
-def plain_mask(line: str, label: str) -> str:
-    """The line in lower case, with numbers and the site's name masked."""
-    return " ".join(_mask_site(_NUMBER.sub("0", line), label).lower().split())
+def site_mask(line: str, label: str) -> str:
+    """The line with numbers and the site's name masked."""
+    return _mask_site(_NUMBER.sub("0", line), label)
+
+
+def plain(masked: str) -> str:
+    """A masked line in lower case with single blanks."""
+    return " ".join(masked.lower().split())
 
 
 def _mask_run(m: re.Match) -> str:
@@ -91,10 +77,9 @@ def _mask_run(m: re.Match) -> str:
     return NAME
 
 
-def named_mask(line: str, label: str) -> str:
-    """The line with runs of capitalised words, the site's name among them, and tags masked."""
-    s = _mask_site(_NUMBER.sub("0", _TAG.sub(TAG, line) if "#" in line else line), label)
-    s = (s if s.isupper() else _RUN.sub(_mask_run, s)).lower().replace(SITE, NAME)
+def named(masked: str) -> str:
+    """A masked line with runs of capitalised words, the site's name among them, masked too."""
+    s = (masked if masked.isupper() else _RUN.sub(_mask_run, masked)).lower().replace(SITE, NAME)
     return _NAMES.sub(NAME, " ".join(s.split()))
 
 
@@ -111,32 +96,35 @@ def line_nodes(line: str, label: str, alien: bool = False) -> tuple[str, list[st
     under another address; then any name may be a site's.
     """
     s = line.strip()
-    full = plain_mask(s, label)
-    own = SITE in full or alien
+    masked = site_mask(s, label)
+    full = plain(masked)
+    own = SITE in masked or alien
     if len(s) > 24 and L._END.search(s[-6:]) and " — " not in s:
-        return full, ["n:" + named_mask(s, label)] if own and len(s) <= LONGEST_NOTICE else [], []
-    named = named_mask(s, label)
+        return full, ["n:" + _named(s, masked, label)] if own else [], []
+    name = _named(s, masked, label)
     whole: list[str] = []
-    if named == TAG or named != full and real_words(named) + own >= 2 and real_words(named):
-        whole.append("n:" + named)
-    head, dash, _ = named.partition(" — ")
+    if name == TAG or name != full and real_words(name) and real_words(name) + own >= 2:
+        whole.append("n:" + name)
+    head, dash, _ = name.partition(" — ")
     if dash and real_words(head) >= 2:
         whole.append("n:" + head)
-    head, colon, rest = (head if dash else named).partition(":")
+    head, colon, rest = (head if dash else name).partition(":")
     if colon and rest.startswith(" ") and real_words(head):
         whole.append("p:" + head)
     items = [x for x in _SEPARATOR.split(s) if x]
     if len(items) < 2 or not all(_TOKEN.search(x) for x in items):
         return full, whole, []
-    return full, whole, [plain_mask(x, label) for x in items]
+    return full, whole, [plain(site_mask(x, label)) for x in items]
+
+
+def _named(s: str, masked: str, label: str) -> str:
+    return named(site_mask(_TAG.sub(TAG, s), label) if "#" in s else masked)
 
 
 def _pages():
     def run(cols: dict[str, list]) -> dict[str, list]:
-        langs: list[str] = []
         nodes_n: list[int] = []
         node_h: list[int] = []
-        node_of: list[int] = []
         lines_n: list[int] = []
         line: list[int] = []
         line_h: list[int] = []
@@ -145,42 +133,23 @@ def _pages():
         for text, site in zip(cols["texto_"], cols["sitio"]):
             label = site.partition(".")[0]
             cleaned = L.clean(text or "")
-            lines = cleaned.split("\n")
-            low = cleaned.lower()
-            lang = page_language(low)
-            prefix = f"{lang}\x00"
-            alien = label[:4] not in low
-            distinct: dict[int, int] = {}
-            first, before = True, len(line)
-            for n, raw in enumerate(lines, 1):
+            alien = label[:4] not in cleaned.lower()
+            before = len(line)
+            for n, raw in enumerate(cleaned.split("\n"), 1):
                 if not raw or raw.isspace():
                     continue
                 full, whole, items = line_nodes(raw, label, alien)
-                at_host = key64(f"{site}\x01{full}")
-                distinct[at_host] = HOST
-                nodes = [key64(prefix + x) for x in (full, *whole)]
-                parts = [key64(prefix + x) for x in items]
-                for h in (*nodes, *parts):
-                    distinct[h] = LANGUAGE
-                nodes.append(at_host)
-                if first:
-                    nodes.append(key64(f"{prefix}first:{full}"))
-                    distinct[nodes[-1]] = FIRST
-                    first = False
-                k = len(nodes) + len(parts)
+                line_h += map(key64, (full, *whole, *items))
+                k = 1 + len(whole) + len(items)
                 line += [n] * k
-                line_h += nodes
-                line_h += parts
-                line_part += [False] * len(nodes) + [True] * len(parts)
-                line_parts += [len(parts)] * k
+                line_part += [False] * (k - len(items)) + [True] * len(items)
+                line_parts += [len(items)] * k
             lines_n.append(len(line) - before)
+            distinct = set(line_h[before:])
             nodes_n.append(len(distinct))
-            node_h += distinct.keys()
-            node_of += distinct.values()
-            langs.append(lang)
+            node_h += distinct
         return {
-            "tabla": cols["tabla"], "id": cols["id"], "sitio": cols["sitio"], "idioma": langs,
-            "nodos": nested(nodes_n, h=(node_h, pa.int64()), grado=(node_of, pa.int32())),
+            "tabla": cols["tabla"], "id": cols["id"], "sitio": cols["sitio"], "nodos": flat(nodes_n, node_h, pa.int64()),
             "lineas": nested(lines_n, linea=(line, pa.int32()), h=(line_h, pa.int64()), parte=(line_part, pa.bool_()), partes=(line_parts, pa.int32())),
         }
 
@@ -195,28 +164,30 @@ def host_of(url: Column) -> Column:
 def page_trees(pages: DataFrame) -> DataFrame:
     """Hashed subtrees of ``tabla, id, sitio, texto_`` rows."""
     kind = dict(pages.dtypes)["id"]
-    return map_rows(pages, _pages, f"tabla string, id {kind}, sitio string, idioma string, nodos array<struct<h:long,grado:int>>, lineas array<struct<linea:int,h:long,parte:boolean,partes:int>>")
+    return map_rows(pages, _pages, f"tabla string, id {kind}, sitio string, nodos array<long>, lineas array<struct<linea:int,h:long,parte:boolean,partes:int>>")
 
 
-def templates(trees: DataFrame) -> DataFrame:
-    """``h`` of the recurring subtrees. Counts are combined before they are moved, so hot subtrees cost no more."""
-    nodes = trees.select("sitio", "idioma", F.inline("nodos")).select(F.when(F.col("grado") == HOST, F.col("sitio")).otherwise(F.col("idioma")).alias("grupo"), "grado", "h")
-    counts = nodes.groupBy("grupo", "grado", "h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    langs = trees.groupBy(F.col("idioma").alias("grupo")).agg(F.count("*").alias("paginas")).withColumn("grado", F.explode(F.array(F.lit(LANGUAGE), F.lit(FIRST))))
-    hosts = trees.groupBy(F.col("sitio").alias("grupo")).agg(F.count("*").alias("paginas")).where(F.col("paginas") >= LEAST_HOST_PAGES).withColumn("grado", F.lit(HOST))
-    totals = materialize(langs.unionByName(hosts), "page-totals")
-    joined = bounded_join(counts, totals, ["grupo", "grado"], "h")
-    share = F.when(F.col("grado") == HOST, F.lit(HOST_SHARE)).when(F.col("grado") == FIRST, F.lit(FIRST_SHARE)).otherwise(F.lit(LANGUAGE_SHARE))
-    least = F.when(F.col("grado") == HOST, F.lit(LEAST_HOST_PAGES)).otherwise(F.lit(LEAST_PAGES))
-    return joined.where((F.col("n") >= least) & (F.col("n") >= F.col("paginas") * share)).select("h").distinct()
+def host_templates(trees: DataFrame) -> DataFrame:
+    """``sitio, h`` of the subtrees that recur on a host. Counts are combined before they are moved, so hot subtrees cost no more."""
+    counts = trees.select("sitio", F.explode("nodos").alias("h")).groupBy("sitio", "h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_HOST_PAGES)
+    totals = materialize(trees.groupBy("sitio").agg(F.count("*").alias("paginas")).where(F.col("paginas") >= LEAST_HOST_PAGES), "page-totals")
+    return bounded_join(counts, totals, ["sitio"], "h").where(F.col("n") >= F.col("paginas") * HOST_SHARE).select("sitio", "h")
 
 
 def template_lines(trees: DataFrame) -> DataFrame:
-    """``tabla, id, linea`` of the lines that are templates: whole, or in all but one of their items."""
-    known = materialize(templates(trees), "templates").withColumn("plantilla", F.lit(1))
-    hits = bounded_join(trees.select("tabla", "id", F.inline("lineas")), known, ["h"], "id")
-    per_line = hits.groupBy("tabla", "id", "linea").agg(F.max(~F.col("parte")).alias("entera"), F.sum(F.col("parte").cast("int")).alias("k"), F.max("partes").alias("n"))
-    return per_line.where(F.col("entera") | ((F.col("n") >= 2) & (F.col("k") >= F.col("n") - 1))).select("tabla", "id", "linea")
+    """``tabla, id, linea, propia`` of the lines that are templates: whole, or in all but one of their items.
+
+    ``propia``: by the templates of its own host, else by those that several hosts share.
+    """
+    own = materialize(host_templates(trees), "host-templates")
+    shared = materialize(own.groupBy("h").agg(F.count("*").alias("sitios")).where(F.col("sitios") >= TRANSFER_HOSTS).select("h", F.lit(True).alias("comun")), "shared-templates")
+    nodes = bounded_join(trees.select("tabla", "id", "sitio", F.inline("lineas")), own.withColumn("propio", F.lit(True)), ["sitio", "h"], "id", "left")
+    hits = bounded_join(nodes, shared, ["h"], "id", "left").where(F.col("propio") | F.col("comun"))
+    counted = lambda c: F.coalesce(F.sum((c & F.col("parte")).cast("int")), F.lit(0))
+    own_hit = F.coalesce("propio", F.lit(False))
+    per_line = hits.groupBy("tabla", "id", "linea").agg(F.max(~F.col("parte")).alias("entera"), counted(F.lit(True)).alias("k"), F.max(own_hit & ~F.col("parte")).alias("entera_propia"), counted(own_hit).alias("k_propias"), F.max("partes").alias("n"))
+    is_template = lambda whole, k: F.col(whole) | ((F.col("n") >= 2) & (F.col(k) >= F.col("n") - 1))
+    return per_line.where(is_template("entera", "k")).select("tabla", "id", "linea", is_template("entera_propia", "k_propias").alias("propia"))
 
 
 def pages_of(coleccion: DataFrame, resultado: DataFrame) -> DataFrame:
@@ -226,7 +197,7 @@ def pages_of(coleccion: DataFrame, resultado: DataFrame) -> DataFrame:
 
 
 def page_lines(coleccion: DataFrame, resultado: DataFrame) -> DataFrame:
-    """``tabla, id, linea`` of every line outside the body, of all pages."""
+    """``tabla, id, linea, propia`` of every line outside the body, of all pages."""
     return template_lines(materialize(page_trees(pages_of(coleccion, resultado)), "page-trees"))
 
 
@@ -240,7 +211,7 @@ def p6_found(coleccion: DataFrame, resultado: DataFrame, documentos: DataFrame |
         documentos = coleccion.select(F.col("db_id").alias("id"), F.lit(None).cast("string").alias("url")).limit(0)
     found = p7_found(coleccion, documentos).select(F.lit("coleccion").alias("tabla"), F.col("doc_id").alias("id")).distinct()
     spam = materialize(found, "spam-pages")
-    return page_lines(coleccion, resultado).join(spam, ["tabla", "id"], "left_anti")
+    return page_lines(coleccion, resultado).drop("propia").join(spam, ["tabla", "id"], "left_anti")
 
 
 def p6_bodies(coleccion: DataFrame, resultado: DataFrame) -> DataFrame:

@@ -174,22 +174,32 @@ def page(i, host):
     return "\n".join(["Inicio", "Foro > Series", f"Por Ana Ruiz{chr(97 + i % 26)}, redacción de {name}", *body, "Director: Juan" if i % 50 == 0 else "Fin propio " + "z" * (i + 1), "", f"Así fue el rodaje de Casa Roja{chr(97 + i % 26)} en Lugo", f"© {1990 + i} {name}. Todos los derechos reservados."])
 
 
+def sites(n, often=40):
+    """Hosts of n pages: the first ``often`` stand on ten hosts, the others on one each."""
+    return [f"sitio{chr(97 + (i % 10 if i < often else i) % 26)}{chr(97 + (i // 26 if i >= often else 0))}.example" for i in range(n)]
+
+
 def test_p6_found(spark):
-    hosts = [f"sitio{chr(97 + i % 26)}{chr(97 + i // 26)}.example" for i in range(60)]
+    """Hosts of four pages show their templates; hosts of one page share them."""
+    hosts = sites(60)
     pages = [(i, f"https://www.{h}/p/{i}", page(i, h), "zz") for i, h in enumerate(hosts)] + [(98, "https://x.example/", None, "zz"), (99, None, "", "zz")]
     html = spark.createDataFrame(pages, "pagina_id long, url string, texto string, linea string")
     none = spark.createDataFrame([], "doc_id long, dominio string, texto string")
     got = {(r.id, r.linea) for r in boilerplate.p6_found(none, html).collect()}
     assert got == {(i, n) for i in range(60) for n in (1, 2, 3, 8, 9)}
+    own = {(r.id, r.linea): r.propia for r in boilerplate.page_lines(none, html).collect()}
+    assert {i for (i, _), v in own.items() if v} == set(range(40)) and all(own[i, n] for i in range(40) for n in (1, 2, 3, 9))
+    few = html.where("pagina_id < 4 OR pagina_id >= 40")
+    assert boilerplate.p6_found(none, few).count() == 0  # no host shows what recurs
     bodies = {r.id: r.cuerpo for r in boilerplate.p6_bodies(none, html).collect()}
     assert len(bodies[3].split("\n")) == 4 and bodies[98] is None and bodies[99] == ""
     assert boilerplate.p6_found(none, html.limit(0)).count() == 0
 
 
 def test_masks():
-    assert boilerplate.plain_mask("© 2020  Filmeria. Todos", "filmeria") == "© 0 \x01. todos"
-    assert boilerplate.named_mask("Ten reasons to watch Vapalgo Babanote before 1949", "x") == "ten reasons to watch \x02 before 0"
-    assert boilerplate.named_mask("Lafliruza Dudronali on Rapodidro Mepena: x", "x") == "\x02 on \x02: x"
+    assert boilerplate.plain(boilerplate.site_mask("© 2020  Filmeria. Todos", "filmeria")) == "© 0 \x01. todos"
+    assert boilerplate.named(boilerplate.site_mask("Ten reasons to watch Vapalgo Babanote before 1949", "x")) == "ten reasons to watch \x02 before 0"
+    assert boilerplate.named("Lafliruza Dudronali on Rapodidro Mepena: x") == "\x02 on \x02: x"
     assert boilerplate.line_nodes("INT. CASA - NOCHE 3", "x")[1:] == ([], [])
     assert boilerplate.line_nodes("Anime | 12 | -", "x")[2] == []
 
@@ -268,7 +278,7 @@ def test_few_long_lines(spark, text, want):
 
 def test_p6_lines_of_spam_pages(spark):
     """Only collection pages of p7 are left out of the lines, and none of the bodies."""
-    hosts = [f"sitio{chr(97 + i % 26)}{chr(97 + i // 26)}.example" for i in range(60)]
+    hosts = sites(60)
     dress = lambda i, h: page(i, h).replace("Fin propio", PILE * 4 + "Fin propio") if i % 10 == 1 else page(i, h)
     html = spark.createDataFrame([(i, f"https://{h}/p/{i}", dress(i, h)) for i, h in enumerate(hosts)], "pagina_id long, url string, texto string")
     own = spark.createDataFrame([(i, i, h, dress(i, h)) for i, h in enumerate(hosts)], "doc_id long, db_id long, dominio string, texto string")
