@@ -87,6 +87,7 @@ def queries() -> dict[str, Query]:
         "p9_proporciones": _over(lambda d, m: mixing.mixture(d, m)[1], "documents", "mezcla_objetivo"),
         "p10_found": _over(splitting.p10_found, "documents"),
         "p10_trozos": _over(splitting.pieces, "documents"),
+        "p10_reunidos": _over(splitting.p10_reunited, "documents"),
     }
 
 
@@ -156,4 +157,5 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"SELECT termino, marca AS clase FROM ({_COUNTS}) WHERE marca IS NOT NULL",
         "p5_frecuencias": _COUNTS,
         "p5_por_bloques": _COUNTS,
+        "p10_reunidos": "SELECT doc_id, md5(text) AS huella, true AS en_limite, true AS solapan FROM documents WHERE text IS NOT NULL",
     }

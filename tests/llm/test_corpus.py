@@ -1,8 +1,10 @@
 """Terms, leaks, mixing and splitting on small fixtures."""
 
+import hashlib
 import itertools
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -216,6 +218,66 @@ def test_cut_at_topic_change():
     assert abs(parts[0]["fin"] - len(a) * 14) <= 2
 
 
+def test_cuts_go_to_planted_topics():
+    """Topics of uneven length, each of words of its own: cuts at the topic ends wherever a window holds one."""
+    random.seed(4)
+    stock = [[f"{x}{''.join(random.choices('abcdefghij', k=5))}" for _ in range(14)] for x in "pqrstuvwxyzk"]
+    text, ends = "", []
+    for words in stock:
+        for _ in range(random.randint(6, 8)):
+            text += " ".join(random.choices(words, k=7)).capitalize() + ". "
+        ends.append(len(text))
+    parts = splitting.split_text(text, ENCODE, 700, 16)
+    assert len(parts) > 3 and all(min(abs(p["fin"] - e) for e in ends) <= 1 for p in parts)  # a token holds the blank before it
+
+
+def test_valleys_against_brute_force():
+    random.seed(5)
+    words = [f"palabra{chr(97 + i)}" for i in range(12)]
+    text = "".join(" ".join(random.choices(words[i // 9 % 3 * 3 :][:6], k=5)) + ". " for i in range(60))
+    gaps = [m.end() for m in splitting._SENTENCE.finditer(text)]
+    bags = [Counter(splitting._TERM.findall(text[a:b].lower())) for a, b in zip([0, *gaps], [*gaps, len(text)])]
+    n, k = len(gaps), splitting.BLOCK
+    blocks = [(sum(bags[max(0, i - k + 1) : i + 1], Counter()), sum(bags[i + 1 : i + 1 + k], Counter())) for i in range(n)]
+    norm = lambda c: math.sqrt(sum(v * v for v in c.values()))
+    sims = [sum(v * b[w] for w, v in a.items()) / (norm(a) * norm(b)) if a and b else 0.0 for a, b in blocks]
+
+    def peak(i, step):
+        best = sims[i]
+        while 0 <= i + step < n and sims[i + step] >= sims[i]:
+            i += step
+            best = sims[i]
+        return best
+
+    want = [peak(i, -1) + peak(i, 1) - 2 * sims[i] for i in range(n)]
+    assert np.allclose(splitting.valley_depths(text, gaps), want)
+
+
+def test_time_grows_with_the_text():
+    random.seed(6)
+    words = ["".join(random.choices("abcdefghijklmn", k=6)) for _ in range(30_000)]
+    text = "".join(" ".join(random.choices(words, k=11)) + ". " for _ in range(8_000))
+    took = []
+    for t in (text[: len(text) // 4], text):
+        best = math.inf
+        for _ in range(2):
+            began = time.perf_counter()
+            parts = splitting.split_text(t, ENCODE)
+            best = min(best, time.perf_counter() - began)
+        took.append(best)
+        assert "".join(t[p["corte"] : p["fin"]] for p in parts) == t
+    assert took[1] < 8 * took[0]  # four times the text; a quadratic run takes sixteen times
+
+
+def test_small_texts_are_kept_on_demand(spark):
+    df = spark.createDataFrame([(1, "corto"), (2, "palabra " * 5000), (3, None), (4, "")], "doc_id long, text string")
+    rows = splitting.pieces(df, keep_small=True).collect()
+    assert {(r.doc_id, r.piezas) for r in rows if r.doc_id != 2} == {(1, 1), (4, 1)} and {r.doc_id for r in splitting.pieces(df).collect()} == {2}
+    got = {r.doc_id: r for r in splitting.p10_reunited(df).collect()}
+    want = {i: hashlib.md5(t.encode()).hexdigest() for i, t in ((1, "corto"), (2, "palabra " * 5000), (4, ""))}
+    assert {i: r.huella for i, r in got.items()} == want and all(r.en_limite and r.solapan for r in got.values())
+
+
 def test_p10_found(spark):
     big = "palabra " * 5000
     df = spark.createDataFrame([(1, "corto", "x"), (2, big, "x"), (2, big, "x"), (3, None, "x"), (4, "", "x"), (None, big, "x"), (5, "ñ" * 4000, "x")], "doc_id long, text string, pieza string")
