@@ -14,10 +14,12 @@ words clearly speak for another language takes that one.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -281,6 +283,17 @@ class Labeller:
         return [sums[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
+_BUILT: dict[str, Labeller] = {}
+
+
+def _labeller(name: str, shared: Broadcast) -> Labeller:
+    """The labeller of a model, kept with its memo by a worker for its further tasks."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Labeller(Crf(*shared.value))
+    return _BUILT[name]
+
+
 def training_sequences(rows: list[tuple[str, str]], bound: TrainingBound) -> list[list[tuple[str, int, bool]]]:
     """Blocks of labelled words of (text, declared code) rows; clear lexicon votes overrule a line's label."""
     out: list[list[tuple[str, int, bool]]] = []
@@ -358,8 +371,11 @@ def label_texts(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
     rows = df.select(F.col(id_col).alias("id_"), *extra, F.col(text_col).alias("texto_"))
     kinds = dict(rows.dtypes)
 
+    name = uuid.uuid4().hex
+
     def make():
-        labeller = Labeller(Crf(*shared.value))
+        labeller = _labeller(name, shared)
+
         def run(cols: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {c: cols[c] for c in ("id_", *extra)}
             out |= {"idioma": [], "confianza": [], "clase": [], "mixto": []}

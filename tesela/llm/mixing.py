@@ -21,64 +21,79 @@ from ..session import materialize
 from ..operators.joins import bounded_join
 from .tokens import VOCABULARY, count_tokens
 
-#: Tokens left to the knapsack; what exceeds them is taken proportionally over the lengths, by cumulative quotas.
+#: Tokens first left to the knapsack, or twice the longest document if that is more; what exceeds them is taken
+#: proportionally over the lengths, by cumulative quotas. Where the knapsack cannot fill them it gets four times as many.
 RESERVE = 20_000
 #: Documents of one length ranked by one task; larger groups are split by the seeded hash.
 RANKED = 5_000
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats: int, seed: int = 42) -> tuple[int, np.ndarray]:
-    """Whole repeats of all documents, and how many of each length to use once more, to meet the budget.
-
-    The sum never exceeds the budget and equals it whenever the knapsack over the
-    reserve can fill it.
-    """
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> tuple[int, np.ndarray]:
+    """Largest sum of at most ``counts`` of every length that is within the budget, and how many of each make it."""
     take = np.zeros(len(lengths), dtype=np.int64)
-    total = int((lengths * counts).sum())
-    if not total or budget <= 0:
-        return 0, take
-    full = min(max_repeats, budget // total)
-    rest = budget - full * total
-    if full == max_repeats or not rest:
-        return full, take
-    random = np.random.default_rng(seed)
-    if rest > RESERVE:
-        # cumulative quotas over the sorted lengths from a seeded start: every stretch of lengths gets its share, however few documents a length has
-        order = np.argsort(lengths, kind="stable")
-        start = int(random.integers(total))
-        reached = (np.concatenate([[0], np.cumsum(counts[order])]).astype(object) * (rest - RESERVE) + start) // total
-        take[order] = np.diff(reached).astype(np.int64)
-        rest -= int((lengths * take).sum())
-    by_chance = random.permutation(len(lengths))
-    for i in by_chance:  # rounding may exceed the budget where single documents are longer than the reserve
-        while rest < 0 and take[i]:
-            take[i] -= 1
-            rest += int(lengths[i])
-    for i in by_chance:
-        if rest - lengths[i] >= RESERVE and take[i] < counts[i]:
-            take[i] += 1
-            rest -= int(lengths[i])
-    origin = np.full(rest + 1, -1, dtype=np.int64)
+    origin = np.full(budget + 1, -1, dtype=np.int32)
     origin[0] = 0
     pieces: list[tuple[int, int]] = [(0, 0)]
     for i in np.argsort(lengths, kind="stable"):
-        left, step = int(min(counts[i] - take[i], rest // max(1, lengths[i]))), 1
-        while left > 0 and origin[rest] < 0:
+        left, step = int(min(counts[i], budget // max(1, lengths[i]))), 1
+        while left > 0 and origin[budget] < 0:
             q = min(step, left)
             size = int(lengths[i]) * q
-            if size <= rest:
-                fresh = (origin[: rest + 1 - size] >= 0) & (origin[size:] < 0)
+            if size <= budget:
+                fresh = (origin[: budget + 1 - size] >= 0) & (origin[size:] < 0)
                 pieces.append((int(i), q))
                 origin[size:][fresh] = len(pieces) - 1
             left, step = left - q, step * 2
-        if origin[rest] >= 0:
+        if origin[budget] >= 0:
             break
-    at = int(np.flatnonzero(origin >= 0)[-1])
+    at = best = int(np.flatnonzero(origin >= 0)[-1])
     while at:
         i, q = pieces[origin[at]]
         take[i] += q
         at -= int(lengths[i]) * q
-    return full, take
+    return best, take
+
+
+def quotas(lengths: np.ndarray, counts: np.ndarray, budget: int, start: float) -> np.ndarray:
+    """How many of each length to take so that every stretch of lengths gets its share of the budget, however few documents a length has.
+
+    Cumulative quotas over the sorted lengths from a start in [0, 1); the sum is within the budget and the longest length.
+    """
+    take = np.zeros(len(lengths), dtype=np.int64)
+    total = int((lengths * counts).sum())
+    order = np.argsort(lengths, kind="stable")
+    reached = (np.concatenate([[0], np.cumsum(counts[order])]).astype(object) * budget + int(start * total)) // total
+    take[order] = np.diff(reached).astype(np.int64)
+    return take
+
+
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats: int, seed: int = 42) -> tuple[int, np.ndarray]:
+    """Whole repeats of all documents, and how many of each length to use once more, to come as near to the budget as can be.
+
+    The sum never exceeds the budget. The knapsack first covers the reserve; where it cannot fill
+    that, the reserve grows until it can or nothing is left outside, so the sum is the largest there is.
+    Lengths are divided by their common divisor, which settles most budgets that cannot be met.
+    """
+    none = np.zeros(len(lengths), dtype=np.int64)
+    total = int((lengths * counts).sum())
+    if not total or budget <= 0:
+        return 0, none
+    full = min(max_repeats, budget // total)
+    rest = budget - full * total
+    if full == max_repeats or not rest:
+        return full, none
+    unit = int(np.gcd.reduce(lengths[counts > 0]))
+    lengths, rest = lengths // unit, rest // unit
+    start = float(np.random.default_rng(seed).random())
+    reserve, spared = max(RESERVE, 2 * int(lengths[counts > 0].max())), 0
+    while True:
+        # of every length ``spared`` documents of the quota are left to the knapsack as well: a rare length may be what it needs
+        fixed = np.maximum(quotas(lengths, counts, rest - reserve, start) - spared, 0) if rest > reserve else none
+        open_ = rest - int((lengths * fixed).sum())
+        reached, more = knapsack(lengths, counts - fixed, open_)
+        if reached == open_ or not fixed.any():
+            return full, fixed + more
+        reserve, spared = 4 * reserve, 2 * spared + 1
 
 
 def _source(c):
@@ -127,3 +142,18 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
         F.when(everything > 0, F.coalesce("tokens", F.lit(0)) / everything).otherwise(F.lit(0.0)).alias("proporcion"),
     )
     return chosen, shares
+
+
+#: Largest gap between the share wanted and the share reached.
+GAP = 1e-3
+
+
+def p9_gaps(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """``fuente, objetivo, documentos, cumple, en_limite`` per target: the share wanted of those that can be had, and whether shares and repeats keep to it."""
+    chosen, shares = mixture(documents, targets)
+    used = chosen.groupBy("fuente").agg(F.max("repeticiones").alias("mas"))
+    usable = (F.col("documentos") > 0) & (F.col("peso_objetivo") > 0) & (F.col("max_repeticiones") > 0)
+    weight = F.when(usable, F.col("peso_objetivo")).otherwise(0.0)
+    wanted = F.coalesce(weight / F.nullif(F.sum(weight).over(Window.partitionBy()), F.lit(0.0)), F.lit(0.0))
+    rows = shares.join(used, "fuente", "left").withColumn("objetivo", wanted)
+    return rows.select("fuente", F.round("objetivo", 9).alias("objetivo"), "documentos", (F.abs(F.col("proporcion") - F.col("objetivo")) <= GAP).alias("cumple"), F.coalesce(F.col("mas") <= F.col("max_repeticiones"), F.lit(True)).alias("en_limite"))

@@ -83,7 +83,9 @@ def queries() -> dict[str, Query]:
         "p7_paginas": _over(spam.p7_scores, "coleccion", "documentos"),
         "p8_found": _over(leaks.p8_found, "documents", "evaluacion"),
         "p8_fugas": _over(leaks.leaks, "documents", "evaluacion"),
+        "p8_editadas": _over(leaks.p8_edited, "documents", "evaluacion"),
         "p9_mezcla": _over(lambda d, m: mixing.mixture(d, m)[0], "documents", "mezcla_objetivo"),
+        "p9_desvios": _over(mixing.p9_gaps, "documents", "mezcla_objetivo"),
         "p9_proporciones": _over(lambda d, m: mixing.mixture(d, m)[1], "documents", "mezcla_objetivo"),
         "p10_found": _over(splitting.p10_found, "documents"),
         "p10_trozos": _over(splitting.pieces, "documents"),
@@ -157,5 +159,9 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"SELECT termino, marca AS clase FROM ({_COUNTS}) WHERE marca IS NOT NULL",
         "p5_frecuencias": _COUNTS,
         "p5_por_bloques": _COUNTS,
+        "p9_desvios": """WITH d AS (SELECT lower(trim(source)) AS fuente, count(*) AS n FROM documents WHERE text <> '' AND source IS NOT NULL GROUP BY 1),
+m AS (SELECT lower(trim(fuente)) AS fuente, sum(peso_objetivo) AS p, max(max_repeticiones) AS r FROM mezcla_objetivo WHERE fuente IS NOT NULL GROUP BY 1),
+w AS (SELECT m.fuente, coalesce(n, 0) AS n, CASE WHEN n > 0 AND p > 0 AND r > 0 THEN p ELSE 0.0 END AS p FROM m LEFT JOIN d USING (fuente))
+SELECT fuente, round(p / sum(p) OVER (), 9) AS objetivo, n AS documentos, true AS cumple, true AS en_limite FROM w""",
         "p10_reunidos": "SELECT doc_id, md5(text) AS huella, true AS en_limite, true AS solapan FROM documents WHERE text IS NOT NULL",
     }

@@ -118,6 +118,41 @@ def test_pigeonhole_finds_every_close_window():
         assert {m["item_id"] for m in matcher.match(" ".join(text))} == want
 
 
+def edited(r, piece, edits):
+    for _ in range(edits):
+        k = r.randrange(len(piece))
+        piece = [piece[:k] + ["nuevo"] + piece[k + 1 :], piece[:k] + piece[k + 1 :], piece[:k] + ["otro"] + piece[k:]][r.randrange(3)] or ["vacio"]
+    return piece
+
+
+def test_leaks_against_brute_force(spark):
+    """Every pair of item and text by plain edit distances: long items by windows, items of under 12 words as a whole; by automaton and by join."""
+    r = random.Random(11)
+    items = [(i, r.sample(WORDS, n)) for i, n in enumerate((30, 12, 13, 11, 8, 6, 5, 3, 1, 14))]
+    texts = []
+    for k in range(50):
+        n, w = items[k % len(items)]
+        size = min(12, len(w))
+        o = r.randrange(len(w) - size + 1)
+        texts.append((k, r.sample(WORDS[200:], 15) + edited(r, w[o : o + size], r.randrange(0, 4)) + r.sample(WORDS[200:], 15)))
+    texts.append((90, items[1][1][:11]))
+    want = {}
+    for d, t in texts:
+        for i, w in items:
+            size = min(12, len(w))
+            best = min(distance(w[o : o + size], t) for o in range(len(w) - size + 1))
+            if best <= size * 2 // 12:
+                want[i, d] = best
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string")
+    held = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(70, ""), (71, "...")], "item_id long, texto string")
+    got = leaks.leaks(docs, held).collect()
+    assert {(m.item_id, m.doc_id): m.distancia for m in got} == want and len(got) == len(want)
+    joined = leaks.leaks(docs, held, limit=3).collect()
+    assert sorted(map(tuple, joined)) == sorted(map(tuple, got))
+    assert {(m.item_id, m.doc_id): m.distancia for m in leaks.p8_edited(docs, held).collect()} == {k: v for k, v in want.items() if v}
+    assert leaks.leaks(docs.limit(0), held, limit=3).count() == 0 and leaks.leaks(docs, held.limit(0), limit=-1).count() == 0
+
+
 def test_p8_found(spark):
     item = "En la tercera bobina Ana Ñuñez cruza el puente de Lugo con un paraguas roto mientras cuenta"
     items = spark.createDataFrame([(1, item, "x"), (1, item, "x"), (2, "muy corto", "x"), (3, None, "x"), (None, item, "x")], "item_id long, texto string, distancia string")
@@ -303,3 +338,50 @@ def test_distinct_lengths_are_taken_alike():
         for budget in (60_000, 100_000, 200_000, 269_000):
             take = mixing.fit_budget(huge, np.ones(3, dtype=np.int64), budget, 1, seed)[1]
             assert (take >= 0).all() and (take <= 1).all() and int((huge * take).sum()) <= budget
+
+
+def largest_sum(lengths, counts, budget):
+    sums = 1
+    for n, k in zip(lengths.tolist(), counts.tolist()):
+        for _ in range(k):
+            sums |= sums << n
+    return (sums & ((1 << (budget + 1)) - 1)).bit_length() - 1
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_budgets_are_met_as_near_as_can_be(seed):
+    """Below, at and beyond the reserve, with lengths that share a divisor, rare lengths and documents longer than the reserve."""
+    r = np.random.default_rng(seed)
+    long = mixing.RESERVE
+    cases = [
+        (r.integers(3, 400, 40), r.integers(1, 6, 40)),
+        (r.integers(1, 60, 9) * 14, r.integers(5, 60, 9)),  # a common divisor
+        (np.r_[r.integers(30, 600, 12) * 2, 1001], np.r_[r.integers(20, 60, 12), 1]),  # one odd document
+        (r.integers(long // 2, 3 * long, 6), r.integers(1, 4, 6)),  # few long ones
+    ]
+    for lengths, counts in cases:
+        lengths, at = np.unique(lengths, return_index=True)
+        counts = counts[at]
+        total = int((lengths * counts).sum())
+        for budget in {long - 1, long, long + 1, total // 3, total // 2 + 1, total - 1}:
+            full, take = mixing.fit_budget(lengths, counts, int(min(budget, total - 1)), 3, seed)
+            got = int((lengths * take).sum())
+            assert full == 0 and (take >= 0).all() and (take <= counts).all()
+            assert got == largest_sum(lengths, counts, int(min(budget, total - 1)))
+
+
+def test_huge_budgets_are_met():
+    lengths = np.arange(5, 6000, 7)
+    counts = np.full(len(lengths), 3_000_000)
+    total = int((lengths * counts).sum())
+    for budget in (total // 3 + 1, 2 * total // 3 + 5, 5 * total // 2 + 11):
+        full, take = mixing.fit_budget(lengths, counts, budget, 4)
+        assert full == budget // total and full * total + int((lengths * take).sum()) == budget
+
+
+def test_p9_gaps(spark):
+    docs = spark.createDataFrame([(i, "casa " * (90 + i % 7), "a" if i % 3 else " B ") for i in range(120)] + [(500, None, "a")], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 3), ("z", 0.25, 2)], "fuente string, peso_objetivo double, max_repeticiones int")
+    got = {r.fuente: r for r in mixing.p9_gaps(docs, targets).collect()}
+    assert [round(got[k].objetivo, 6) for k in "abz"] == [0.666667, 0.333333, 0.0] and [got[k].documentos for k in "abz"] == [80, 40, 0]
+    assert all(r.cumple and r.en_limite for r in got.values())
