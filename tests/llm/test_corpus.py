@@ -380,7 +380,7 @@ def test_huge_budgets_are_met():
 
 
 def test_p9_gaps(spark):
-    docs = spark.createDataFrame([(i, "casa " * (90 + i % 7), "a" if i % 3 else " B ") for i in range(120)] + [(500, None, "a")], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(i, "casa " * (1 + i * 7 % 97), "a" if i % 3 else " B ") for i in range(120)] + [(500, None, "a")], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 3), ("z", 0.25, 2)], "fuente string, peso_objetivo double, max_repeticiones int")
     got = {r.fuente: r for r in mixing.p9_gaps(docs, targets).collect()}
     assert [round(got[k].objetivo, 6) for k in "abz"] == [0.666667, 0.333333, 0.0] and [got[k].documentos for k in "abz"] == [80, 40, 0]
