@@ -144,16 +144,17 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     return chosen, shares
 
 
-#: Largest gap between the share wanted and the share reached.
-GAP = 1e-3
-
-
 def p9_gaps(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """``fuente, objetivo, documentos, cumple, en_limite`` per target: the share wanted of those that can be had, and whether shares and repeats keep to it."""
+    """``fuente, objetivo, documentos, cumple, en_limite`` per target: the share wanted of those that can be had, and whether shares and repeats keep to it.
+
+    A share is met if it is off by no more tokens than the longest chosen document of every source has.
+    """
     chosen, shares = mixture(documents, targets)
-    used = chosen.groupBy("fuente").agg(F.max("repeticiones").alias("mas"))
+    used = chosen.groupBy("fuente").agg(F.max("repeticiones").alias("mas"), F.max("n_tokens").alias("largo"))
+    everywhere = Window.partitionBy()  # one row per target
     usable = (F.col("documentos") > 0) & (F.col("peso_objetivo") > 0) & (F.col("max_repeticiones") > 0)
     weight = F.when(usable, F.col("peso_objetivo")).otherwise(0.0)
-    wanted = F.coalesce(weight / F.nullif(F.sum(weight).over(Window.partitionBy()), F.lit(0.0)), F.lit(0.0))
-    rows = shares.join(used, "fuente", "left").withColumn("objetivo", wanted)
-    return rows.select("fuente", F.round("objetivo", 9).alias("objetivo"), "documentos", (F.abs(F.col("proporcion") - F.col("objetivo")) <= GAP).alias("cumple"), F.coalesce(F.col("mas") <= F.col("max_repeticiones"), F.lit(True)).alias("en_limite"))
+    wanted = F.coalesce(weight / F.nullif(F.sum(weight).over(everywhere), F.lit(0.0)), F.lit(0.0))
+    gap = F.abs(F.col("proporcion") - F.col("objetivo")) * F.sum("tokens").over(everywhere)
+    rows = shares.join(used, "fuente", "left").withColumn("objetivo", wanted).withColumn("cumple", gap <= F.coalesce(F.sum("largo").over(everywhere), F.lit(0)))
+    return rows.select("fuente", F.round("objetivo", 9).alias("objetivo"), "documentos", "cumple", F.coalesce(F.col("mas") <= F.col("max_repeticiones"), F.lit(True)).alias("en_limite"))
