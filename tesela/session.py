@@ -65,6 +65,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that is emptied when the program ends."""
+    path = f"{scratch_dir(spark)}/{name}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
 def _drop_scratch() -> None:
     for spark, path in _SCRATCH:
         local = path.removeprefix("file://")
@@ -88,8 +95,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     column pruning and pushed filters.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _SCRATCH.append((spark, path))
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
