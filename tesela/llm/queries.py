@@ -47,7 +47,7 @@ def p2_tamanos(coleccion: DataFrame, documentos: DataFrame) -> DataFrame:
 
 
 def p4_incremental(coleccion: DataFrame, documentos: DataFrame) -> DataFrame:
-    """The later half of the downloads joins the earlier half: texts to rebuild."""
+    """All texts after the later half of the downloads joined the earlier half."""
     dates = documentos.groupBy(F.col("id").alias("db_id")).agg(F.max("fecha_descarga").alias("f"))
     span = documentos.agg(F.min("fecha_descarga").cast("double").alias("a"), F.max("fecha_descarga").cast("double").alias("b")).first()
     cut = F.timestamp_seconds(F.lit(((span.a or 0.0) + (span.b or 0.0)) / 2))
@@ -71,6 +71,7 @@ def queries() -> dict[str, Query]:
         "p2_tamanos": _over(p2_tamanos, "coleccion", "documentos"),
         "p3_found": _over(terms.p3_found, "postings"),
         "p3_ppmi": _over(p3_ppmi, "postings"),
+        "p3_caracteristicos": _over(terms.p3_top, "postings"),
         "p4_found": _over(repeated_lines.p4_found, "coleccion"),
         "p4_incremental": _over(p4_incremental, "coleccion", "documentos"),
         "p4_textos": _over(repeated_lines.p4_clean, "coleccion"),
@@ -124,6 +125,8 @@ t AS (SELECT fuente, count(DISTINCT doc_id) AS docs FROM d GROUP BY fuente),
 r AS (SELECT c.fuente, c.s FROM c JOIN t USING (fuente) WHERE c.n >= 4 AND c.n * 10 >= t.docs)
 """
 
+_CLEANED = _LINES + ", q AS (SELECT DISTINCT k.doc_id, k.linea FROM k JOIN r USING (fuente, s)) SELECT doc_id, string_agg(s, chr(10) ORDER BY linea) FILTER (q.linea IS NULL) AS texto_limpio FROM e LEFT JOIN q USING (doc_id, linea) GROUP BY doc_id"
+
 _SIZES = """
 SELECT c.doc_id, g.guardado, strlen(c.texto) AS medido
 FROM coleccion c JOIN (SELECT id, arg_max(tamano_texto_bytes, fecha_descarga) AS guardado FROM documentos GROUP BY id) g ON g.id = c.db_id
@@ -151,10 +154,12 @@ SELECT doc_id, sum(c)::BIGINT AS n_caracteres, sum(words)::BIGINT AS n_palabras,
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_cuentas": _statistics_sql(),
-        "p4_textos": _LINES + ", q AS (SELECT DISTINCT k.doc_id, k.linea FROM k JOIN r USING (fuente, s)) SELECT doc_id, string_agg(s, chr(10) ORDER BY linea) FILTER (q.linea IS NULL) AS texto_limpio FROM e LEFT JOIN q USING (doc_id, linea) GROUP BY doc_id",
+        "p4_textos": _CLEANED,
         "p2_tamanos": _SIZES,
-        "p3_found": f"SELECT doc_id, termino FROM ({_PPMI}) WHERE tf >= 4 AND df BETWEEN 2 AND 6 AND regexp_matches(termino, '^[a-z''\\-]{{6,}}$')",
+        "p4_incremental": _CLEANED,
+        "p3_found": f"SELECT doc_id, termino FROM ({_PPMI}) WHERE ppmi > 0 AND tf >= 4 AND df BETWEEN 2 AND 6 AND regexp_matches(termino, '^[a-z''\\-]{{6,}}$')",
         "p3_ppmi": f"SELECT termino, doc_id, tf, df, round(ppmi, 6) AS ppmi FROM ({_PPMI})",
+        "p3_caracteristicos": f"SELECT doc_id, puesto, termino, ppmi FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ppmi DESC, encode(termino))::INTEGER AS puesto FROM (SELECT doc_id, termino, round(ppmi, 6) AS ppmi FROM ({_PPMI}) WHERE ppmi > 0)) WHERE puesto <= 10",
         "p4_found": _LINES + "SELECT k.doc_id, k.linea FROM k JOIN r USING (fuente, s)",
         "p5_found": f"SELECT termino, marca AS clase FROM ({_COUNTS}) WHERE marca IS NOT NULL",
         "p5_frecuencias": _COUNTS,

@@ -7,18 +7,17 @@ null or non-positive tf counts as no occurrence.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from ..operators.joins import skew_join
+from ..session import materialize
+from .state import Counts
 
 #: Exponent that smooths the records' marginal distribution.
 CONTEXT_EXPONENT = 0.75
-#: Partitions of the persistent count table.
-COUNT_PARTITIONS = 16
 #: Marks: too rare up to this many records, too common above this share of them.
 RARE_RECORDS = 1
 COMMON_SHARE = 1 / 3
@@ -46,16 +45,20 @@ def ppmi(postings: DataFrame, exponent: float = CONTEXT_EXPONENT) -> DataFrame:
 
 
 def p3_found(postings: DataFrame) -> DataFrame:
-    """``doc_id, termino``: terms frequent in the record, shared by few records, and spelt of letters."""
-    scored = ppmi(postings).where((F.col("tf") >= 4) & F.col("df").between(2, 6) & F.col("termino").rlike(r"^[a-z'\-]{6,}$"))
+    """``doc_id, termino``: terms that are positively bound to the record, frequent in it, shared by few records, and spelt of letters."""
+    scored = ppmi(postings).where((F.col("ppmi") > 0) & (F.col("tf") >= 4) & F.col("df").between(2, 6) & F.col("termino").rlike(r"^[a-z'\-]{6,}$"))
     return scored.select("doc_id", "termino")
 
 
-@dataclass
-class TermState:
-    """Persistent counts ``particion, termino, ocurrencias, registros`` (a written, partitioned table)."""
+def p3_top(postings: DataFrame, top: int = 10) -> DataFrame:
+    """``doc_id, puesto, termino, ppmi``: the most characteristic terms of every record, of equal scores the first in order."""
+    scored = ppmi(postings).where(F.col("ppmi") > 0).select("doc_id", "termino", F.round("ppmi", 6).alias("ppmi"))
+    return scored.withColumn("puesto", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("ppmi"), "termino"))).where(F.col("puesto") <= top)
+
 
-    counts: DataFrame
+def term_counts(spark: SparkSession, path: str | None = None, version: int | None = None) -> Counts:
+    """Persistent counts ``termino, ocurrencias, registros`` under a shared path (without one: an empty table of this run)."""
+    return Counts.load(spark, path, "termino string, ocurrencias long, registros long", ("termino",), version)
 
 
 def signed_delta(added: DataFrame | None, removed: DataFrame | None = None) -> DataFrame:
@@ -64,28 +67,28 @@ def signed_delta(added: DataFrame | None, removed: DataFrame | None = None) -> D
     A changed record is one removed (as it was) and one added (as it is).
     """
     parts = [occurrences(df).withColumn("signo", F.lit(sign)) for df, sign in ((added, 1), (removed, -1)) if df is not None]
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = functools.reduce(DataFrame.unionByName, parts)
     return rows.groupBy("termino").agg(F.sum(F.col("tf") * F.col("signo")).cast("long").alias("ocurrencias"), F.sum("signo").cast("long").alias("registros"))
 
 
-def merge_terms(state: TermState | None, delta: DataFrame) -> TermState:
+def merge_terms(state: Counts, delta: DataFrame, batch: str | None = None) -> Counts:
     """Merge signed changes into the persistent counts; terms without records leave."""
-    keyed = delta.select(F.pmod(F.xxhash64("termino"), F.lit(COUNT_PARTITIONS)).cast("int").alias("particion"), "termino", "ocurrencias", "registros")
-    if state is not None:
-        keyed = state.counts.unionByName(keyed)
-    merged = keyed.repartition(COUNT_PARTITIONS, "particion").groupBy("particion", "termino").agg(F.sum("ocurrencias").alias("ocurrencias"), F.sum("registros").alias("registros"))
-    return TermState(materialize(merged.where(F.col("registros") > 0), "term-counts", partition_by=["particion"]))
+    return state.merge(delta, "registros", batch)
 
 
-def marked(state: TermState, records: int) -> DataFrame:
+def marked(state: Counts, records: int) -> DataFrame:
     """``termino, ocurrencias, registros, marca``: marca is raro, comun or null."""
     mark = F.when(F.col("registros") <= RARE_RECORDS, F.lit("raro")).when(F.col("registros") > F.lit(records * COMMON_SHARE), F.lit("comun"))
-    return state.counts.select("termino", "ocurrencias", "registros", mark.alias("marca"))
+    return state.read().select("termino", "ocurrencias", "registros", mark.alias("marca"))
+
+
+def _records(coleccion: DataFrame) -> int:
+    return coleccion.select("doc_id").where(F.col("doc_id").isNotNull()).count()
 
 
-def p5_counts(postings: DataFrame, coleccion: DataFrame) -> DataFrame:
+def p5_counts(postings: DataFrame, coleccion: DataFrame, path: str | None = None) -> DataFrame:
     """Every term with its counts and mark."""
-    return marked(merge_terms(None, signed_delta(postings)), coleccion.select("doc_id").where(F.col("doc_id").isNotNull()).count())
+    return marked(merge_terms(term_counts(postings.sparkSession, path), signed_delta(postings)), _records(coleccion))
 
 
 def p5_found(postings: DataFrame, coleccion: DataFrame) -> DataFrame:
@@ -93,12 +96,14 @@ def p5_found(postings: DataFrame, coleccion: DataFrame) -> DataFrame:
     return p5_counts(postings, coleccion).where(F.col("marca").isNotNull()).select("termino", F.col("marca").alias("clase"))
 
 
-def p5_by_blocks(postings: DataFrame, coleccion: DataFrame) -> DataFrame:
-    """The same counts built block by block: the first block is the base, each further one a delta."""
-    state = None
-    blocks = [r.bloque for r in postings.select("bloque").distinct().orderBy("bloque").collect()]  # one row per build block
-    for b in blocks:
-        state = merge_terms(state, signed_delta(postings.where(F.col("bloque").eqNullSafe(F.lit(b)))))
-    if state is None:
-        state = merge_terms(None, signed_delta(postings))
-    return marked(state, coleccion.select("doc_id").where(F.col("doc_id").isNotNull()).count())
+def p5_by_blocks(postings: DataFrame, coleccion: DataFrame, path: str | None = None) -> DataFrame:
+    """The same counts by deltas: all blocks but the last; the last one comes and the first one is taken back; the first one comes again."""
+    ends = postings.agg(F.min("bloque").alias("a"), F.max("bloque").alias("b")).first()
+    first, last = F.col("bloque").eqNullSafe(F.lit(ends.a)), F.col("bloque").eqNullSafe(F.lit(ends.b))
+    state = merge_terms(term_counts(postings.sparkSession, path), signed_delta(postings.where(~last)))
+    if ends.a != ends.b:
+        state = merge_terms(state, signed_delta(postings.where(last), postings.where(first)))
+        state = merge_terms(state, signed_delta(postings.where(first)))
+    else:
+        state = merge_terms(state, signed_delta(postings.where(last)))
+    return marked(state, _records(coleccion))

@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import math
 import random
+import subprocess
+import sys
 import time
 from collections import Counter, defaultdict
 
@@ -11,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesela.llm import leaks, mixing, splitting, terms
+from tesela.llm import leaks, mixing, splitting, state, terms
 from tesela.llm.tokens import encoding
 from tesela.operators import joins
 
@@ -73,9 +75,48 @@ def test_signed_deltas(spark):
     """Changed and deleted records, against counting afresh."""
     old = [("a", 1, 0, 2), ("b", 1, 0, 1), ("a", 2, 0, 1), ("c", 3, 0, 4)]
     removed, added = [("a", 1, 0, 2), ("b", 1, 0, 1), ("c", 3, 0, 4)], [("a", 1, 0, 7), ("d", 1, 0, 1)]
-    state = terms.merge_terms(None, terms.signed_delta(postings(spark, old)))
-    state = terms.merge_terms(state, terms.signed_delta(postings(spark, added), postings(spark, removed)))
-    assert {r.termino: (r.ocurrencias, r.registros) for r in state.counts.collect()} == {"a": (8, 2), "d": (1, 1)}
+    held = terms.merge_terms(terms.term_counts(spark), terms.signed_delta(postings(spark, old)))
+    held = terms.merge_terms(held, terms.signed_delta(postings(spark, added), postings(spark, removed)))
+    assert {r.termino: (r.ocurrencias, r.registros) for r in held.read().collect()} == {"a": (8, 2), "d": (1, 1)}
+
+
+def test_only_touched_partitions_are_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "PARTITION_ROWS", 10)
+    path = f"file://{tmp_path}/terminos"
+    rows = [(f"t{i}", i, 0, 1) for i in range(80)]
+    one = terms.merge_terms(terms.term_counts(spark, path), terms.signed_delta(postings(spark, rows)))
+    assert len(one.parts) == 8 and sum(one.sizes) == 80
+    two = terms.merge_terms(one, terms.signed_delta(postings(spark, [("t3", 500, 0, 2)])), "lote")
+    assert sorted(two.parts) == [0] * 7 + [1] and sum(two.sizes) == 80
+    gone = terms.merge_terms(two, terms.signed_delta(None, postings(spark, rows[:40])))
+    assert {r.termino: r.registros for r in gone.read().collect()} == {"t3": 1} | {f"t{i}": 1 for i in range(40, 80)}
+    many = terms.merge_terms(gone, terms.signed_delta(postings(spark, [(f"u{i}", i, 0, 1) for i in range(400)])))
+    assert len(many.parts) == 45 and many.read().count() == 441  # dealt anew
+    assert terms.term_counts(spark, path, 0).read().count() == 80 and state.versions(spark, path) == [0, 1, 2, 3]
+    many.drop_before()
+    assert state.versions(spark, path) == [3] and many.read().count() == 441
+    with pytest.raises(ValueError):
+        terms.term_counts(spark, path, 0)
+
+
+SESSION = """
+import sys
+from tesela.llm import terms
+from tesela.session import get_spark
+spark = get_spark("state", "local[2]", 2)
+path, rows = sys.argv[1], [r.split(",") for r in sys.argv[2:]]
+df = spark.createDataFrame([(t, int(d), int(n)) for t, d, n in rows], "termino string, doc_id long, tf int")
+held = terms.merge_terms(terms.term_counts(spark, path), terms.signed_delta(df), batch=sys.argv[2])
+print("counts", sorted(tuple(r) for r in held.read().collect()))
+"""
+
+
+def test_state_outlives_the_session(tmp_path):
+    """A second program, with a session of its own, merges its delta into what the first one left; a delta sent twice counts once."""
+    run = lambda *rows: subprocess.run([sys.executable, "-c", SESSION, f"file://{tmp_path}/t", *rows], capture_output=True, text=True, check=True, timeout=300).stdout
+    assert "counts [('a', 2, 1), ('b', 1, 1)]" in run("a,1,2", "b,1,1")
+    for _ in range(2):
+        assert "counts [('a', 5, 2), ('b', 1, 1), ('c', 4, 1)]" in run("a,2,3", "c,2,4")
 
 
 # -- 8 ---------------------------------------------------------------------------------------

@@ -154,16 +154,42 @@ def test_share_counts(spark):
     assert repeated_lines.p4_found(make(40)).count() == 4 and repeated_lines.p4_found(make(41)).count() == 0
 
 
+def repeats():
+    return [f"línea propia {chr(97 + i) * 6} de la página\n" + ("aviso legal de todas las páginas\n" if i % 2 else "menú que pocas páginas tienen\n" if i in (2, 4, 6, 12) else "") for i in range(14)]
+
+
+def cleaned(df):
+    return {r.doc_id: r.texto_limpio for r in df.collect()}
+
+
 def test_increments_equal_one_run(spark):
-    texts = [f"línea propia {chr(97 + i) * 6} de la página\n" + ("aviso legal de todas las páginas\n" if i % 2 else "menú que pocas páginas tienen\n" if i in (2, 4, 6, 12) else "") for i in range(14)]
-    df = spark.createDataFrame(site(0, texts), "doc_id long, dominio string, texto string")
+    df = spark.createDataFrame(site(0, repeats()), "doc_id long, dominio string, texto string")
     base, added = df.where("doc_id < 7"), df.where("doc_id >= 7")
-    whole = {r.doc_id: r.texto_limpio for r in repeated_lines.p4_clean(df).collect()}
-    before = {r.doc_id: r.texto_limpio for r in repeated_lines.p4_clean(base).collect()}
-    rebuilt = {r.doc_id: r.texto_limpio for r in repeated_lines.p4_incremental(base, added).collect()}
-    text = dict(enumerate(texts))
-    assert {k: rebuilt.get(k, before.get(k, text[k])) for k in text} == whole
-    assert rebuilt.keys() < text.keys() and {1, 3, 5} <= rebuilt.keys()
+    whole = cleaned(repeated_lines.p4_clean(df))
+    assert cleaned(repeated_lines.p4_incremental(base, added)) == whole
+    rebuilt = cleaned(repeated_lines.p4_update(base, added))
+    assert rebuilt.keys() < whole.keys() and {1, 3, 5} <= rebuilt.keys() and all(whole[k] == v for k, v in rebuilt.items())
+
+
+def test_changed_and_deleted_documents(spark, tmp_path):
+    """Deltas with documents that change, go and come again, against counting afresh; only the touched partitions are written."""
+    texts = repeats()
+    schema = "doc_id long, dominio string, texto string"
+    old = spark.createDataFrame(site(0, texts), schema)
+    rows = {i: t for i, t in enumerate(texts) if i not in (1, 3)} | {5: "línea cambiada de la página\nmenú que pocas páginas tienen", 20: "menú que pocas páginas tienen"}
+    new = spark.createDataFrame([(i, "sitio.test", t) for i, t in rows.items()], schema)
+    added, removed = repeated_lines.changes(old, new)
+    assert {r.doc_id for r in added.collect()} == {5, 20} and {r.doc_id for r in removed.collect()} == {1, 3, 5}
+    path = f"file://{tmp_path}/lineas"
+    before = cleaned(repeated_lines.p4_clean(old, path))
+    held = old.join(removed.select("doc_id"), "doc_id", "left_anti")
+    rebuilt = cleaned(repeated_lines.p4_update(held, added, removed, path, batch="uno"))
+    now = {k: rebuilt.get(k, before.get(k, rows[k])) for k in rows}
+    assert now == cleaned(repeated_lines.p4_clean(new))
+    state, afresh = repeated_lines.line_counts(spark, path), repeated_lines.p4_state(new)[2]
+    assert sorted(map(repr, state.read().collect())) == sorted(map(repr, afresh.read().collect()))
+    again = state.merge(repeated_lines.line_delta(repeated_lines.document_lines(added)), "n", "uno")
+    assert again.version == state.version  # a delta that is in counts once
 
 
 # -- 6 ---------------------------------------------------------------------------------------
