@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lines as L
@@ -48,7 +48,7 @@ LINE_CHARS = 60
 #: Words in lower case a sizable line needs to count as a line of a language; words that one in capitals needs.
 LINE_WORDS = 3
 CAPITAL_WORDS = 5
-#: Words of a block the chain runs over; blocks end at line ends where they can.
+#: Words of a block; the blocks of a text run side by side and hand their messages over exactly (no effect on results).
 BLOCK_WORDS = 256
 #: Rows read for every training row wanted; some are too short to train on.
 OVERSAMPLE = 3
@@ -106,11 +106,12 @@ class Crf:
 
     # -- forward-backward over a batch --------------------------------------------------------
     @staticmethod
-    def _run(emission: np.ndarray, breaks: np.ndarray, sizes: np.ndarray, within: np.ndarray, across: np.ndarray, pairs: bool):
+    def _run(emission: np.ndarray, breaks: np.ndarray, sizes: np.ndarray, within: np.ndarray, across: np.ndarray, pairs: bool, start: np.ndarray | None = None, end: np.ndarray | None = None):
         """Marginals (T, B, K) of emissions (T, B, K); with ``pairs`` also expected transition counts.
 
         Sequences are sorted by falling size, so those alive at a step are the first
-        ones. ``breaks[t, b]``: a line end lies between t - 1 and t.
+        ones. ``breaks[t, b]``: a line end lies between t - 1 and t. ``start`` and ``end`` (B, K)
+        are the messages from what lies before and after a sequence.
         """
         t, b, k = emission.shape
         e = np.exp(emission - emission.max(axis=2, keepdims=True))
@@ -118,7 +119,8 @@ class Crf:
         alive = np.searchsorted(-sizes, -np.arange(t), side="left")
         cuts = [np.flatnonzero(breaks[i, : alive[i]]) for i in range(t)]
         alpha = np.zeros_like(e)
-        alpha[0] = e[0] / e[0].sum(1, keepdims=True)
+        first = e[0] if start is None else e[0] * start
+        alpha[0] = first / first.sum(1, keepdims=True)
         for i in range(1, t):
             m, cut = alive[i], cuts[i]
             x = alpha[i - 1, :m]
@@ -128,7 +130,7 @@ class Crf:
             y *= e[i, :m]
             y /= y.sum(1, keepdims=True)
             alpha[i, :m] = y
-        beta = np.ones((b, k), e.dtype)
+        beta = np.ones((b, k), e.dtype) if end is None else end.astype(e.dtype)
         exp_in, exp_out = np.zeros((k, k)), np.zeros((k, k))
         for i in range(t - 1, -1, -1):
             m, cut = alive[i], cuts[i]
@@ -153,6 +155,55 @@ class Crf:
                 beta[:m] = before
         return alpha, exp_in, exp_out
 
+    @staticmethod
+    def _transfers(emission: np.ndarray, breaks: np.ndarray, sizes: np.ndarray, within: np.ndarray, across: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """(B, K, K): what a sequence makes of the message before it, up to a factor; ``entry`` (B, K, K) leads into its first word."""
+        t, b, k = emission.shape
+        e = np.exp(emission - emission.max(axis=2, keepdims=True))
+        a_in, a_out = np.exp(within).astype(e.dtype), np.exp(across).astype(e.dtype)
+        alive = np.searchsorted(-sizes, -np.arange(t), side="left")
+        x = entry.astype(e.dtype) * e[0][:, None, :]
+        for i in range(1, t):
+            m = alive[i]
+            y = x[:m] @ a_in
+            cut = np.flatnonzero(breaks[i, :m])
+            if len(cut):
+                y[cut] = x[cut] @ a_out
+            y *= e[i, :m][:, None, :]
+            y /= y.sum((1, 2), keepdims=True)
+            x[:m] = y
+        return x
+
+    def messages(self, emission: np.ndarray, breaks: np.ndarray, sizes: np.ndarray, place: np.ndarray, level: np.ndarray, cut_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of blocks that follow one another in texts.
+
+        ``place``: column of every block in the emissions; ``level``: its number within the text;
+        ``cut_before``: a line end lies before it. Blocks of one text stand side by side.
+        """
+        n = len(level)
+        start, end = np.ones((n, K)), np.ones((n, K))
+        many = (level > 0) | np.r_[level[1:] > 0, False]
+        if not many.any():
+            return start, end
+        entry = np.where(cut_before[:, None, None], np.exp(self.across), np.exp(self.within))
+        entry[level == 0] = np.eye(K)
+        own = np.flatnonzero(many)
+        own = own[np.argsort(place[own])]
+        over = np.zeros((n, K, K))
+        over[own] = self._transfers(emission[:, place[own]], breaks[:, place[own]], sizes[place[own]], self.within, self.across, entry[own])
+        left = np.ones((n, K))
+        for k in range(level.max() + 1):
+            at = np.flatnonzero(many & (level == k))
+            if k:
+                start[at] = np.einsum("bi,bij->bj", left[at - 1], entry[at])
+            left[at] = np.einsum("bi,bij->bj", left[at - 1], over[at]) if k else over[at].sum(1)
+            left[at] /= left[at].sum(1, keepdims=True)
+        for k in range(level.max(), 0, -1):
+            at = np.flatnonzero(level == k)
+            end[at - 1] = np.einsum("bij,bj->bi", over[at], end[at])
+            end[at - 1] /= end[at - 1].sum(1, keepdims=True)
+        return start, end
+
     # -- training ----------------------------------------------------------------------------
     @classmethod
     def fit(cls, sequences: list[list[tuple[str, int, bool]]], bound: TrainingBound) -> Crf:
@@ -202,10 +253,17 @@ class Crf:
         return cls(features, weights.astype(np.float32), within, across)
 
     # -- inference ---------------------------------------------------------------------------
-    def score(self, word: str) -> np.ndarray:
-        """Emission scores of a word; features the training never saw count nothing."""
-        at = [i for f in word_features(word) if (i := self.features.get(f)) is not None]
-        return self.weights[at].sum(axis=0) if at else np.zeros(K, np.float32)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Emission scores of words; features the training never saw count nothing."""
+        get, none = self.features.get, len(self.features)
+        rows = [[i for f in word_features(w) if (i := get(f)) is not None] or [none] for w in words]
+        starts = np.cumsum([0] + [len(r) for r in rows[:-1]])
+        padded = np.concatenate([self.weights, np.zeros((1, K), self.weights.dtype)]) if none in map(_first, rows) else self.weights
+        return np.add.reduceat(padded[np.concatenate(rows)], starts, axis=0)
+
+
+def _first(row: list[int]) -> int:
+    return row[0]
 
 
 class Labeller:
@@ -219,30 +277,30 @@ class Labeller:
         self.memo: dict[str, int] = {"\n": 0}
         self.table = np.zeros((4096, K), np.float32)
 
-    def _index(self, pieces: list[str]) -> list[int]:
+    def _learn(self, texts: list[list[str]]) -> None:
+        """Score the words that the memo lacks."""
         memo = self.memo
-        try:
-            return list(map(memo.__getitem__, pieces))
-        except KeyError:
-            for w in pieces:
-                if w not in memo:
-                    i = len(memo)
-                    if i >= len(self.table):
-                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    self.table[i] = self.model.score(w)
-                    memo[w] = i
-            return list(map(memo.__getitem__, pieces))
+        if len(memo) > MEMO:
+            self._clear()
+            memo = self.memo
+        fresh = list({w for pieces in texts for w in pieces if w not in memo})
+        if fresh:
+            while len(memo) + len(fresh) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[len(memo) : len(memo) + len(fresh)] = self.model.scores(fresh)
+            memo.update(zip(fresh, range(len(memo), len(memo) + len(fresh))))
 
     def line_sums(self, texts: list[str]) -> list[np.ndarray]:
         """For each cleaned text the summed marginals per line, (lines, K)."""
-        if len(self.memo) > MEMO:
-            self._clear()
+        found = [_PIECE.findall(text) for text in texts]
+        self._learn(found)
         words: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         sizes: list[int] = []
+        level: list[int] = []
         bounds = [0]
-        for text in texts:
-            flat = np.array(self._index(_PIECE.findall(text)), np.int64)
+        for text, pieces in zip(texts, found):
+            flat = np.array(list(map(self.memo.__getitem__, pieces)), np.int64)
             ends = flat == 0
             line = np.cumsum(ends)[~ends]
             flat = flat[~ends]
@@ -252,8 +310,8 @@ class Labeller:
                 continue
             words.append(flat)
             owners.append(line + first)
-            # greedy blocks of whole lines; a line longer than a block is cut
-            start, n = 0, len(flat)
+            # greedy blocks of whole lines; a line longer than a block goes on in the next
+            start, n, before = 0, len(flat), len(sizes)
             while n - start > BLOCK_WORDS:
                 cut = start + BLOCK_WORDS
                 back = int(np.searchsorted(line, line[cut]))
@@ -261,6 +319,7 @@ class Labeller:
                 sizes.append(cut - start)
                 start = cut
             sizes.append(n - start)
+            level += range(len(sizes) - before)
         sums = np.zeros((bounds[-1], K))
         if words:
             flat, owner = np.concatenate(words), np.concatenate(owners)
@@ -277,7 +336,9 @@ class Labeller:
             index[at_t, at_b] = flat
             breaks[at_t, at_b] = new
             breaks[0] = False
-            post, _, _ = Crf._run(self.table[index], breaks, length[order], self.model.within, self.model.across, False)
+            emission = self.table[index]
+            start, end = self.model.messages(emission, breaks, length[order], column, np.array(level), new[firsts])
+            post, _, _ = Crf._run(emission, breaks, length[order], self.model.within, self.model.across, False, start[order], end[order])
             starts = np.flatnonzero(new)
             sums[owner[starts]] = np.add.reduceat(post[at_t, at_b], starts, axis=0)
         return [sums[a:b] for a, b in zip(bounds, bounds[1:])]
@@ -355,6 +416,20 @@ def fit_model(labelled: list[DataFrame], bound: TrainingBound = TrainingBound())
     return Crf.fit(training_sequences(rows, bound), bound)
 
 
+def save_model(spark: SparkSession, model: Crf, path: str) -> None:
+    """Write a fitted chain as one Parquet table of features and transitions, for ``load_model``."""
+    rows = [(f, [float(x) for x in model.weights[i]]) for f, i in model.features.items()]
+    rows += [(f"{name}>{i}", [float(x) for x in row]) for name, table in (("within", model.within), ("across", model.across)) for i, row in enumerate(table)]
+    spark.createDataFrame(rows, "rasgo string, pesos array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Crf:
+    """The chain of ``save_model``; its size is that of the bounded training sample's features."""
+    rows = {r.rasgo: r.pesos for r in spark.read.parquet(path).collect()}
+    within, across = (np.array([rows.pop(f"{name}>{i}") for i in range(K)]) for name in ("within", "across"))
+    return Crf({f: i for i, f in enumerate(rows)}, np.array(list(rows.values()), np.float32).reshape(-1, K), within, across)
+
+
 _SEGMENT = "struct<linea:int,n_caracteres:int,n_palabras:int,idioma:string,confianza:double>"
 
 
@@ -434,14 +509,14 @@ def labels_in_force(etiquetas: DataFrame) -> DataFrame:
     return latest.select("doc_id", F.col("m.idioma").alias("declarado"))
 
 
-def p1_labelled(coleccion: DataFrame, etiquetas: DataFrame, documents: DataFrame, bound: TrainingBound = TrainingBound(), every: bool = True) -> DataFrame:
-    """Both tables labelled: ``tabla, doc_id, declarado, idioma, confianza, clase, mixto, segmentos``."""
+def p1_labelled(coleccion: DataFrame, etiquetas: DataFrame, documents: DataFrame, bound: TrainingBound = TrainingBound(), every: bool = True, model: Crf | None = None) -> DataFrame:
+    """Both tables labelled: ``tabla, doc_id, declarado, idioma, confianza, clase, mixto, segmentos``. Without a ``model`` one is fitted."""
     declared = labels_in_force(etiquetas).withColumn("declarado", declared_language(F.col("declarado")))
     theirs = documents.select("doc_id", F.col("text").alias("texto"), declared_language(F.col("lang")).alias("declarado"))
     sample = theirs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("clave"), "texto", F.col("declarado").alias("codigo"))
     coleccion = coleccion.select("doc_id", "texto")
     pages = coleccion.join(declared, "doc_id").select(F.concat(F.lit("c"), F.col("doc_id")).alias("clave"), "texto", F.col("declarado").alias("codigo"))
-    model = fit_model([sample, pages], bound)
+    model = model or fit_model([sample, pages], bound)
     a = label_texts(coleccion, model, every=every).join(declared, "doc_id", "left").withColumn("tabla", F.lit("coleccion"))
     b = label_texts(theirs, model, extra=("declarado",), declared_col="declarado", every=every).withColumn("tabla", F.lit("documents"))
     return a.unionByName(b)

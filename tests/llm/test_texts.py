@@ -26,6 +26,28 @@ def tiny_model():
     return language.Crf.fit(language.training_sequences(rows, bound), bound)
 
 
+def test_blocks_hand_over_exactly(monkeypatch):
+    """Marginals of long texts do not depend on where the blocks end; one word a block, blocks within lines, and one block."""
+    model = tiny_model()
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice(list(ALL.values())) * rng.randrange(1, 3) for _ in range(n)) for n in (1, 6, 9)] + ["", "x", (EN + ES) * 20]
+    sums = {}
+    for size in (1, 7, 40, 256, 100_000):
+        monkeypatch.setattr(language, "BLOCK_WORDS", size)
+        sums[size] = language.Labeller(model).line_sums(texts)
+    for size, got in sums.items():
+        for a, b in zip(got, sums[100_000]):
+            assert np.allclose(a, b, atol=2e-3), size
+
+
+def test_saved_model(spark, tmp_path):
+    model = tiny_model()
+    language.save_model(spark, model, f"file://{tmp_path}/crf")
+    again = language.load_model(spark, f"file://{tmp_path}/crf")
+    words = ["película", "the", "qzxw", "und"]
+    assert np.allclose(model.scores(words), again.scores(words)) and np.allclose(model.across, again.across) and len(again.features) == len(model.features)
+
+
 def test_forward_backward_is_exact():
     """Marginals against the sum over all label paths."""
     rng = np.random.default_rng(0)
