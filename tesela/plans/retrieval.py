@@ -13,6 +13,7 @@ from ..functions.policy import FLAGS, PRESETS, Model, Policy
 from ..operators import index as ix
 from ..operators import search as se
 from ..session import table, text_table
+from . import stems
 
 Query = Callable[[SparkSession, str], DataFrame]
 _MINIMAL = PRESETS["minimo"]
@@ -173,8 +174,9 @@ def i12_policies(spark, d):
     return out
 
 
-def i12_minimal(spark, d):
-    return ix.metrics(_index(spark, d), "minimo")
+def i12_build(spark, d, policy):
+    """The build of one policy and its figures."""
+    return ix.metrics(_index(spark, d, policy), policy)
 
 
 def s4_document(spark, d):
@@ -220,13 +222,13 @@ def q2_prefix(spark, d):
     return se.prefix_lookup(_index(spark, d), "gui").select("termino", "df")
 
 
-def q3_variants(spark, d, questions=_questions):
-    index = _index(spark, d)
+def q3_variants(spark, d, questions=_questions, policy="minimo"):
+    index = _index(spark, d, policy)
     return se.resolve(se.query_tokens(questions(spark, d), index), index).select("consulta_id", "token", "termino", "df", "orden")
 
 
-def q4_weights(spark, d, questions=_questions):
-    index = _index(spark, d)
+def q4_weights(spark, d, questions=_questions, policy="minimo"):
+    index = _index(spark, d, policy)
     w = se.query_weights(se.resolve(se.query_tokens(questions(spark, d), index), index), index)
     return w.select("consulta_id", "termino", F.round("peso_q", 6).alias("peso_q"))
 
@@ -268,8 +270,8 @@ def queries() -> dict[str, Query]:
         "n1_clean": n1_clean, "n2_n4_tags": n2_tags, "n2_n4_lineas": n2_line_tags, "n5_n6_tokens": n5_tokens, "n7_accents": n7_accents, "n8_language": n8_language, "n9_language_text": n9_language_text, "n10_n14_minimal": n10_length,
         "n11_stopwords": n11_stopwords, "n12_thesaurus": n12_thesaurus, "n13_stems": n13_stems, "n14_advanced": n14_advanced, "n15_token_rows": n15_token_rows, "n16_variants": n16_variants,
         "m1_tf": m1_tf, "m2_m4_idf": m2_idf, "m5_similarity": m5_similarity, "i1_frequencies": i1_frequencies, "i2_s6_dictionary": i2_dictionary, "i3_postings": i3_postings, "i4_i5_s5_documents": i4_documents,
-        "i6_q9_totals": i6_totals, "i11_probabilistic": i11_probabilistic, "i12_minimal": i12_minimal, "i12_policies": i12_policies, "s4_document": s4_document, "s7_postings": s7_postings, "s10_layout": s10_layout,
-        "s11_verify": s11_verify, "s12_inspect": s12_inspect, "s13_term": s13_term, "s19_flags": s19_flags, "q1_lookup": q1_lookup, "q2_prefix": q2_prefix, "q3_variants": q3_variants, "q4_weights": q4_weights,
+        "i6_q9_totals": i6_totals, "i11_probabilistic": i11_probabilistic, "i12_minimal": partial(i12_build, policy="minimo"), "i12_estandar": partial(i12_build, policy="estandar"), "i12_avanzado": partial(i12_build, policy="avanzado"), "i12_policies": i12_policies, "s4_document": s4_document, "s7_postings": s7_postings, "s10_layout": s10_layout,
+        "s11_verify": s11_verify, "s12_inspect": s12_inspect, "s13_term": s13_term, "s19_flags": s19_flags, "q1_lookup": q1_lookup, "q2_prefix": q2_prefix, "q3_variants": q3_variants, "q4_weights": q4_weights, "q3_variants_estandar": partial(q3_variants, policy="estandar"), "q4_weights_estandar": partial(q4_weights, policy="estandar"),
         "q5_scores": q5_scores, "q6_ranking": q6_ranking, "q6_standard": q6_standard, "q6_advanced": q6_advanced, "q7_missing": q7_missing, "q8_suggestions": q8_suggestions,
     }
     for name, f in (("q3_variants", q3_variants), ("q4_weights", q4_weights), ("q5_scores", q5_scores), ("q7_missing", q7_missing)):
@@ -308,16 +310,82 @@ sc AS (SELECT consulta_id, doc_id, hash_url, num_tokens, round(p / (norma_q * CA
 rk AS (SELECT *, row_number() OVER (PARTITION BY consulta_id ORDER BY similitud DESC, doc_id)::INTEGER AS puesto FROM sc)"""
 
 
-def _thesaurus_sql() -> str:
+# FIXED VALUES: dates, years of film and numbers, as the policies tag them.
+_DATES = r"[0-9]{1,2}[/-][0-9]{1,2}[/-](?:18|19|20)[0-9]{2}|(?:18|19|20)[0-9]{2}[/-][0-9]{1,2}[/-][0-9]{1,2}"
+_YEARS = r"(188[89]|189[0-9]|19[0-9]{2}|20[0-9]{2})"
+_NUMBERS = r"[0-9]+(?:[.,][0-9]+)?"
+
+
+def _dated(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, '\\b(?:{_DATES})\\b', ' <FECHA> ', 'g'), '\\b{_YEARS}\\b', ' <ANIO_\\1> ', 'g')"
+
+
+def _votes(tokens: str, words: str) -> str:
+    return f"len(list_filter(({tokens})[1:300], lambda x: list_contains({words}, lower(x))))::INTEGER"
+
+
+def _language(tokens: str) -> str:
+    return f"CASE WHEN {_votes(tokens, _list(lexicon.english_stopwords()))} > {_votes(tokens, _list(lexicon.spanish_stopwords()))} THEN 'en' ELSE 'es' END"
+
+
+def _concepts(tokens: str) -> str:
     t = lexicon.thesaurus()
     keys = sorted(t)
     m = "map([" + ", ".join(f"'{k}'" for k in keys) + "], [" + ", ".join(f"'{t[k]}'" for k in keys) + "])"
-    return f"SELECT doc_id, len(t)::INTEGER AS n, md5(array_to_string(list_transform(t, lambda x: coalesce({m}[x], {m}[strip_accents(x)], x)), ' ')) AS tokens FROM (SELECT doc_id, {_KEPT.format(t=_BASE)} AS t FROM coleccion)"
+    return f"list_transform({tokens}, lambda x: CASE WHEN regexp_matches(x, '^<.*>$') THEN x ELSE coalesce({m}[x], {m}[strip_accents(x)], x) END)"
+
+
+def _thesaurus_sql() -> str:
+    return f"SELECT doc_id, len(t)::INTEGER AS n, md5(array_to_string({_concepts('t')}, ' ')) AS tokens FROM (SELECT doc_id, {_KEPT.format(t=_BASE)} AS t FROM coleccion)"
+
+
+def _stemmed(policy: Policy, questions: bool = True) -> str:
+    """Common tables of a stemming policy up to ``x(clase, id, pos, termino)``: the tokens of the collection (``c``) and of the evaluation texts (``q``)."""
+    text = _CLEAN.format(t="texto")
+    text = _dated(text) if policy.normalizar_fechas else text
+    text = f"regexp_replace({text}, '\\b{_NUMBERS}\\b', ' <NUM> ', 'g')" if policy.normalizar_numeros else text
+    kept = f"list_filter({_KEPT.format(t='t')}, lambda x: NOT list_contains({_list(lexicon.stopwords())}, x))"
+    kept = _concepts(kept) if policy.expandir_sinonimos else kept
+    asked = " UNION ALL SELECT 'q', item_id, texto FROM evaluacion" if questions else ""
+    return f"""src AS (SELECT 'c' AS clase, doc_id AS id, texto FROM coleccion{asked}),
+bt AS MATERIALIZED (SELECT clase, id, {_LOWER.format(t=_TOKENS.format(t=text))} AS t FROM src),
+kt AS MATERIALIZED (SELECT clase, id, {_language('t')} AS idioma_doc, {kept} AS t FROM bt),
+w AS MATERIALIZED (SELECT clase, id, idioma_doc, unnest(t) AS termino, generate_subscripts(t, 1) - 1 AS pos FROM kt),
+{stems.both('st', 'SELECT termino FROM w')}, x AS MATERIALIZED (SELECT clase, id, pos, raiz AS termino FROM w JOIN st USING (termino, idioma_doc))"""
+
+
+def _stemmed_index(policy: Policy, questions: bool = True) -> str:
+    """… up to ``te``, ``po`` and ``dc``, and ``me`` with the totals."""
+    return f"""{_stemmed(policy, questions)}, n AS (SELECT count(*) AS n FROM coleccion),
+tf AS MATERIALIZED (SELECT termino, id AS doc_id, count(*) AS tf FROM x WHERE clase = 'c' GROUP BY ALL),
+te AS MATERIALIZED (SELECT termino, count(*) AS df, ln((SELECT n FROM n)::DOUBLE / count(*) + 1) AS idf FROM tf GROUP BY termino),
+po AS MATERIALIZED (SELECT tf.termino, doc_id, tf, (1 + ln(tf::DOUBLE)) * idf AS peso FROM tf JOIN te USING (termino)),
+dn AS (SELECT doc_id, sqrt(sum(peso * peso)) AS norma, sum(tf)::INTEGER AS num_tokens FROM po GROUP BY doc_id),
+dc AS (SELECT c.doc_id, hash_url, coalesce(num_tokens, 0) AS num_tokens, coalesce(norma, 0.0) AS norma FROM coleccion c LEFT JOIN dn USING (doc_id)),
+me AS (SELECT (SELECT n FROM n) AS total_docs, count(*) AS total_terminos, sum(df)::BIGINT AS total_postings, 64 + 44 * (SELECT n FROM n) + 22 * count(*) + sum(strlen(termino))::BIGINT AS op FROM te)"""
+
+
+def _stemmed_search(policy: Policy) -> str:
+    """… up to the resolved query terms ``qr``, their weights ``qw`` and the ranking ``rk``."""
+    tokens = "SELECT token AS termino FROM qt"
+    return f"""{_stemmed_index(policy)}, qt AS MATERIALIZED (SELECT id AS consulta_id, termino AS token, count(*) AS tf, min(pos) AS pos FROM x WHERE clase = 'q' GROUP BY ALL),
+{stems.spanish('ve', tokens)}, {stems.english('vn', tokens)},
+qv AS (SELECT DISTINCT consulta_id, token, tf, pos, unnest(CASE WHEN regexp_matches(token, '^<.*>$') THEN [token] ELSE [token, ve.raiz, vn.raiz] END) AS termino FROM qt JOIN ve ON ve.termino = token JOIN vn ON vn.termino = token),
+qr AS MATERIALIZED (SELECT consulta_id, token, tf, pos, te.termino, df, idf, row_number() OVER (PARTITION BY consulta_id, token ORDER BY df DESC, encode(te.termino))::INTEGER AS orden FROM qv JOIN te USING (termino)),
+qw AS MATERIALIZED (SELECT consulta_id, termino, arg_min((1 + ln(tf::DOUBLE)) * idf, pos * 10 + orden) AS peso_q FROM qr GROUP BY ALL),
+qn AS (SELECT consulta_id, sqrt(sum(peso_q * peso_q)) AS norma_q FROM qw GROUP BY consulta_id),
+sc AS (SELECT consulta_id, doc_id, hash_url, num_tokens, round(p / (norma_q * CASE WHEN norma = 0 THEN 1 ELSE norma END), 6) AS similitud
+       FROM (SELECT consulta_id, doc_id, sum(peso * peso_q) AS p FROM po JOIN qw USING (termino) GROUP BY consulta_id, doc_id) JOIN qn USING (consulta_id) JOIN dc USING (doc_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY consulta_id ORDER BY similitud DESC, doc_id)::INTEGER AS puesto FROM sc)"""
+
+
+def _metrics_sql(name: str, tables: str) -> str:
+    return f"WITH {tables} SELECT '{name}' AS politica, total_docs, total_terminos, total_postings, op + 12 * total_postings AS bytes, round(total_postings::DOUBLE / total_terminos, 6) AS postings_por_termino, round((op + 12 * total_postings)::DOUBLE / total_docs, 6) AS bytes_por_documento FROM me"
 
 
 def oracle_sql() -> dict[str, str]:
     es, en = _list(lexicon.spanish_stopwords()), _list(lexicon.english_stopwords())
-    vote = lambda t, w: f"len(list_filter(({t})[1:300], lambda x: list_contains({w}, lower(x))))::INTEGER"
+    vote = _votes
     raw = _TOKENS.format(t=_CLEAN.format(t="texto"))
     lead = _TOKENS.format(t="substr(lower(texto), 1, 2000)")
     date, year, number = r"[0-9]{1,2}/[0-9]{1,2}/(?:18|19|20)[0-9]{2}|(?:18|19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}", r"(188[89]|189[0-9]|19[0-9]{2}|20[0-9]{2})", r"[0-9]+(?:[.,][0-9]+)?"
@@ -355,8 +423,18 @@ SELECT consulta_id, puesto::INTEGER AS puesto, termino FROM (SELECT *, row_numbe
         "i3_postings": f"WITH {_IX} SELECT termino, doc_id, tf, round(peso, 6) AS peso FROM po",
         "i4_i5_s5_documents": f"WITH {_IX} SELECT doc_id, hash_url, num_tokens, round(norma, 6) AS norma FROM dc",
         "i6_q9_totals": f"WITH {_IX} SELECT '{ix.SIGNATURE}' AS firma, 1 AS version, {_MINIMAL.flags()} AS flags, total_docs, total_terminos, total_postings, 64::BIGINT AS offset_docs, od AS offset_diccionario, op AS offset_postings, 'logaritmico' AS esquema_tf, 'estandar' AS esquema_idf, true AS coseno, true AS suavizado FROM me",
-        "i11_probabilistic": f"WITH {_TF}, n AS (SELECT count(*) AS n FROM coleccion), te AS (SELECT termino, coalesce(greatest(0, ln(CASE WHEN n > count(*) THEN (n - count(*))::DOUBLE / count(*) END)), 0) AS idf FROM tf, n GROUP BY termino, n) SELECT termino, doc_id, round(idf, 6) AS peso FROM tf JOIN te USING (termino)",
-        "i12_minimal": f"WITH {_IX} SELECT 'minimo' AS politica, total_docs, total_terminos, total_postings, op + 12 * total_postings AS bytes, round(total_postings::DOUBLE / total_terminos, 6) AS postings_por_termino, round((op + 12 * total_postings)::DOUBLE / total_docs, 6) AS bytes_por_documento FROM me",
+        "i11_probabilistic": f"WITH {_TF.replace('tf AS (', 'tf AS MATERIALIZED (')}, n AS (SELECT count(*) AS n FROM coleccion), te AS MATERIALIZED (SELECT termino, count(*) AS df FROM tf GROUP BY termino) SELECT tf.termino, doc_id, round(coalesce(greatest(0, ln(CASE WHEN n > df THEN (n - df)::DOUBLE / df END)), 0), 6) AS peso FROM tf JOIN te USING (termino) CROSS JOIN n",
+        "i12_minimal": _metrics_sql("minimo", _IX),
+        "i12_policies": " UNION ALL ".join(f"SELECT * FROM ({_metrics_sql(name, _IX if name == 'minimo' else _stemmed_index(PRESETS[name], False))})" for name in PRESETS),
+        "i12_estandar": _metrics_sql("estandar", _stemmed_index(PRESETS["estandar"], False)),
+        "i12_avanzado": _metrics_sql("avanzado", _stemmed_index(PRESETS["avanzado"], False)),
+        "n13_stems": f"WITH {stems.both('st', 'SELECT termino FROM terminos')} SELECT termino, idioma_doc, raiz FROM st",
+        "n14_advanced": f"WITH {_stemmed(PRESETS['avanzado'], False)} SELECT id AS doc_id, pos::INTEGER AS pos, termino FROM x",
+        "n16_variants": f"WITH {stems.spanish('ve', 'SELECT termino FROM terminos')}, {stems.english('vn', 'SELECT termino FROM terminos')} SELECT termino, CASE WHEN regexp_matches(termino, '^<.*>$') THEN [termino] ELSE list_concat([termino], CASE WHEN ve.raiz <> termino THEN [ve.raiz] ELSE [] END, CASE WHEN vn.raiz NOT IN (termino, ve.raiz) THEN [vn.raiz] ELSE [] END) END AS variantes FROM ve JOIN vn USING (termino)",
+        "q3_variants_estandar": f"WITH {_stemmed_search(PRESETS['estandar'])} SELECT consulta_id, token, termino, df, orden FROM qr",
+        "q4_weights_estandar": f"WITH {_stemmed_search(PRESETS['estandar'])} SELECT consulta_id, termino, round(peso_q, 6) AS peso_q FROM qw",
+        "q6_standard": f"WITH {_stemmed_search(PRESETS['estandar'])} SELECT consulta_id, puesto, doc_id, hash_url, num_tokens, similitud FROM rk WHERE puesto <= 10",
+        "q6_advanced": f"WITH {_stemmed_search(PRESETS['avanzado'])} SELECT consulta_id, puesto, doc_id, hash_url, num_tokens, similitud FROM rk WHERE puesto <= 10",
         "s4_document": f"WITH {_IX} SELECT doc_id, hash_url, num_tokens FROM dc WHERE doc_id IN (0, 7, 77)",
         "s7_postings": f"WITH {_IX} SELECT doc_id, tf, round(peso, 6) AS peso FROM po WHERE termino = 'guion'",
         "s10_layout": f"WITH {_IX} SELECT termino, df, (op + 12 * coalesce(sum(df) OVER (ORDER BY encode(termino) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\", 12 * df AS bytes FROM te, me",

@@ -142,3 +142,45 @@ def test_searches_run_the_growing_batch(spark, sf_dir):
     want = {f"c{r.doc_id}" for r in table(spark, sf_dir, "coleccion").where("doc_id % 100 = 0").collect()} | {f"e{r.item_id}" for r in table(spark, sf_dir, "evaluacion").collect()}
     got = {r.consulta_id for r in retrieval.queries()["q6_ranking_lote"](spark, sf_dir).select("consulta_id").distinct().collect()}
     assert got <= want and {x for x in got if x[0] == "c"} == {x for x in want if x[0] == "c"}
+
+
+# Published sample vocabularies of the two stemmers, word and stem.
+EN_SAMPLE = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist
+consistently consist consolation consol consolations consol consolatory consolatori console consol consolidate consolid consolidated consolid consolingly consol
+consols consol consonant conson consorted consort conspicuous conspicu conspicuously conspicu conspiracy conspiraci conspirator conspir conspirators conspir
+conspired conspir constable constabl constancy constanc constant constant knack knack knackeries knackeri knacks knack knag knag knave knave knavish knavish
+kneaded knead kneading knead knee knee kneel kneel kneeled kneel kneels kneel knees knee knell knell knelt knelt knick knick knife knife knightly knight knits knit
+knitted knit knitting knit knives knive knobs knob knocker knocker knockers knocker knocking knock knots knot"""
+ES_SAMPLE = """cheque chequ checar chec checo chec checoslovaquia checoslovaqui chefs chefs chelo chel chemicalweek chemicalweek chequeo cheque cheques chequ chesca chesc
+chetumaleños chetumaleñ chía chi chiapaneca chiapanec chiapas chiap chiba chib chic chic chica chic chicago chicag chicana chican chicano chican chicas chic
+chicharrones chicharron chichimecas chichimec chicles chicl chico chic torá tor tórax torax torcer torc toreado tor toreados tor toreándolo tor torear tor toreara tor
+torearlo tor toreó tore torero torer toreros torer torio tori tormenta torment tormentas torment tornado torn tornados torn tornar torn tornen torn torneo torne
+torneos torne tornillo tornill tornillos tornill torniquete torniquet torno torn toro tor toronto toront toros tor torpedearon torped torpeza torpez torrado torr
+torralba torralb torre torr torrencial torrencial torrenciales torrencial torrente torrent torreon torreon torreón torreon torres torr torrescano torrescan"""
+
+
+def test_published_stems():
+    from tesela.functions.stem import STEMMERS
+
+    for lang, sample in (("en", EN_SAMPLE), ("es", ES_SAMPLE)):
+        words = sample.split()
+        assert [(w, STEMMERS[lang](w)) for w in words[::2]] == list(zip(words[::2], words[1::2]))
+
+
+def test_stems_against_sql():
+    """The stemmers against the same steps written in SQL, over endings put to roots of many shapes."""
+    import itertools
+
+    import duckdb
+
+    from tesela.functions.stem import STEMMERS
+    from tesela.plans import stems
+
+    roots = "a ae guion film cant comun gener arsen ley hoy inning oeuf x bañ seg acción uyendo hop luxuri".split()
+    ends = sorted({w for k, v in vars(stems).items() if k.startswith("_") and isinstance(v, str) for w in v.replace(":", " ").split()})
+    words = sorted({r + e for r, e in itertools.product(roots, ends)} | {r + a + b for r in roots[2:5] for a in ends[::5] for b in ends[::3]})
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest($1) AS termino", [words])
+    for lang, chain in (("es", stems.spanish), ("en", stems.english)):
+        rows = con.execute(f"WITH {chain('z', 'SELECT termino FROM t')} SELECT * FROM z").fetchall()
+        assert len(rows) == len(words) and [(w, s, STEMMERS[lang](w)) for w, s in rows if STEMMERS[lang](w) != s] == []
