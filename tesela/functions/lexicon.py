@@ -1,31 +1,29 @@
 """Stop words and the audiovisual thesaurus.
 
 FIXED VALUES: words and concepts that must equal the ones indexes are built with.
-Spanish stop words are stated as stems with endings; every accented form also
-counts without its accent.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from functools import lru_cache
 
+# FIXED VALUES: Spanish stop words, with and without their accents.
 _SPANISH = """
-el la l(os as) un(- a os as) lo al del
-a ante bajo cabe con contra de desde durante en entre hacia hasta mediante para por según sin so sobre tras versus vía
-y e ni o u pero sino aunque porque pues que siquiera ya como cuando donde mientras
-yo tú él ella(- s) ellos nosotr(os as) vosotr(os as) usted(- es) me te se nos os le(- s)
-mí mi(s) tus su(- s) nuestr(o a os as) vuestr(o a os as) suy(o a os as) mí(o a os as)
-est(e a os as o) es(e a os as o) aquel(- la los las lo)
-es son era(- n) fue(- ron) ser sido siendo sea(- n)
-está(- n) estaba(- n) estuv(o ieron) est(ar ado ando) esté(- n)
-ha(- n y) había(- n) hubo hab(er ido iendo) haya(- n)
-tiene(- n) tenía(- n) tuv(o ieron) ten(er ido iendo) tenga(- n)
-no sí muy más menos tan tant(o a os as) much(o a os as) poc(o a os as) tod(o a os as) otr(o a os as) mism(o a os as)
-algo nada alguien nadie cuál(- es) quién(- es) cuy(o a os as)
-también tampoco sólo solamente ahora después antes bien así cada
+el la los las un una unos unas lo al del
+a ante bajo cabe con contra de desde durante en entre hacia hasta mediante para por segun según sin so sobre tras versus via vía
+y e ni o u pero mas sino aunque porque pues que si siquiera ya como cuando donde mientras
+yo tu tú él ella ellos ellas nosotros nosotras vosotros vosotras usted ustedes me te se nos os le les mi mí mis tus su sus
+nuestro nuestra nuestros nuestras vuestro vuestra vuestros vuestras suyo suya suyos suyas mio mío mia mía mios míos mias mías
+este esta estos estas esto ese esa esos esas eso aquel aquella aquellos aquellas aquello
+es son era eran fue fueron ser sido siendo sea sean está estan están estaba estaban estuvo estuvieron estar estado estando esté esten estén
+ha han hay habia había habian habían hubo haber habido habiendo haya hayan
+tiene tienen tenia tenía tenian tenían tuvo tuvieron tener tenido teniendo tenga tengan
+no sí muy más menos tan tanto tanta tantos tantas mucho mucha muchos muchas poco poca pocos pocas todo toda todos todas
+otro otra otros otras mismo misma mismos mismas algo nada alguien nadie cual cuál cuales cuáles quien quién quienes quiénes
+cuyo cuya cuyos cuyas tambien también tampoco solo sólo solamente ahora despues después antes bien asi así cada
 """
 
+# FIXED VALUES: English stop words.
 _ENGLISH = """
 a an the
 about above across after against along among around at before behind below beneath beside between beyond by down during
@@ -41,50 +39,40 @@ not no yes very too quite more most less least only own same then there here whe
 such again further once now just also even
 """
 
-_CONCEPTS = {
-    "film": "película películas movie movies cinema cinematógrafo cinematografía cinematográfico motion_picture motion-picture cine filme filmes feature",
-    "realizador": "director directores directora directoras directing filmmaker filmmakers cineasta cineastas",
-    "screenplay": "guión guiónes guiones script scripts screenwriting libreto libretos",
-    "screenwriter": "guionista guionistas scriptwriter screenwriter screenwriters libretista",
-    "interprete": "actor actores actriz actrices actuación intérprete intérpretes protagonista protagonistas star stars starring",
-    "cast": "reparto elenco cast casting",
-    "producer": "productor productores productora productoras producción producer producers producing",
-    "largometraje": "largometraje largometrajes",
-    "cortometraje": "cortometraje cortometrajes short shorts",
-    "documental": "documental documentales documentary documentaries",
-    "animacion": "animación animation animated",
-    "suspenso": "thriller suspense suspenso",
-    "banda_sonora": "soundtrack soundtracks ost score música compositor composer",
-    "fotografia": "fotografía cinematography cameraman",
-    "edicion": "montaje edición editing editor",
-}
+# FIXED VALUES: word and concept.
+_CONCEPTS = """
+película:film pelicula:film películas:film peliculas:film movie:film movies:film cinema:film cinematógrafo:film cinematografo:film cinematografía:film
+cinematografia:film cinematográfico:film cinematografico:film motion_picture:film motion-picture:film cine:film filme:film filmes:film feature:film
+director:realizador directores:realizador directora:realizador directoras:realizador directing:realizador filmmaker:realizador filmmakers:realizador
+cineasta:realizador cineastas:realizador
+guión:screenplay guion:screenplay guiónes:screenplay guiones:screenplay script:screenplay scripts:screenplay screenwriting:screenplay
+libreto:screenplay libretos:screenplay
+guionista:screenwriter guionistas:screenwriter scriptwriter:screenwriter screenwriter:screenwriter screenwriters:screenwriter libretista:screenwriter
+actor:interprete actores:interprete actriz:interprete actrices:interprete actuación:interprete actuacion:interprete intérprete:interprete
+interprete:interprete intérpretes:interprete interpretes:interprete protagonista:interprete protagonistas:interprete star:interprete stars:interprete
+starring:interprete
+reparto:cast elenco:cast cast:cast casting:cast
+productor:producer productores:producer productora:producer productoras:producer producción:producer produccion:producer producer:producer
+producers:producer producing:producer
+largometraje:largometraje largometrajes:largometraje
+cortometraje:cortometraje cortometrajes:cortometraje short:cortometraje shorts:cortometraje
+documental:documental documentales:documental documentary:documental documentaries:documental
+animación:animacion animacion:animacion animation:animacion animated:animacion
+thriller:suspenso suspense:suspenso suspenso:suspenso
+soundtrack:banda_sonora soundtracks:banda_sonora ost:banda_sonora score:banda_sonora música:banda_sonora musica:banda_sonora compositor:banda_sonora
+composer:banda_sonora
+fotografía:fotografia fotografia:fotografia cinematography:fotografia cameraman:fotografia
+montaje:edicion edición:edicion edicion:edicion editing:edicion editor:edicion
+"""
 
 #: Concepts always stemmed as Spanish, and as English.
 SPANISH_CONCEPTS = ("realizador", "interpret", "interprete", "pelicula", "largometraje", "cortometraje", "documental", "animacion", "suspenso", "banda_sonora", "fotografia", "edicion")
 ENGLISH_CONCEPTS = ("film", "screenplay", "screenwriter", "cast", "producer")
 
 
-def strip_accents(text: str) -> str:
-    """Compatibility decomposition without combining marks."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-
-
-def _expand(rules: str) -> set[str]:
-    """``stem(a b -)`` stands for stem + each ending; ``-`` is the empty ending."""
-    words: set[str] = set()
-    for piece in rules.replace(")", ") ").split(") "):
-        plain, _, endings = piece.partition("(")
-        parts = plain.split()
-        stem = parts.pop() if endings else None
-        words.update(parts)
-        words.update(stem + ("" if x == "-" else x) for x in endings.split()) if stem is not None else None
-    return words
-
-
 @lru_cache(maxsize=1)
 def spanish_stopwords() -> frozenset[str]:
-    words = _expand(_SPANISH)
-    return frozenset(words | {strip_accents(w) for w in words})
+    return frozenset(_SPANISH.split())
 
 
 @lru_cache(maxsize=1)
@@ -109,9 +97,5 @@ def stopwords(languages: tuple[str, ...] = ("es", "en")) -> frozenset[str]:
 
 @lru_cache(maxsize=1)
 def thesaurus() -> dict[str, str]:
-    """Word to concept; every accented word also without its accent."""
-    out: dict[str, str] = {}
-    for concept, words in _CONCEPTS.items():
-        for w in words.split():
-            out[w] = out[strip_accents(w)] = concept
-    return out
+    """Word to concept."""
+    return dict(entry.split(":") for entry in _CONCEPTS.split())
