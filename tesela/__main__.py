@@ -7,10 +7,13 @@ import sys
 
 from pyspark.sql import functions as F
 
+from . import __version__
 from .functions.policy import PRESETS, load_settings, preset
 from .operators import index as ix
 from .operators import search as se
+from .operators import store
 from .session import get_spark
+from .sources import seeds
 
 
 def _settings(name: str):
@@ -19,6 +22,7 @@ def _settings(name: str):
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser("tesela")
+    parser.add_argument("--version", action="version", version=__version__)
     sub = parser.add_subparsers(dest="command", required=True)
     build = sub.add_parser("indexar", help="build an index")
     build.add_argument("coleccion", help="Parquet with doc_id, hash_url, texto")
@@ -33,9 +37,19 @@ def main(argv: list[str] | None = None) -> int:
     ask.add_argument("-k", type=int, default=10)
     bench = sub.add_parser("benchmark", help="compare the policies")
     bench.add_argument("coleccion")
+    check = sub.add_parser("verificar", help="seeds, allowed hosts and the store")
+    check.add_argument("semillas", help="file of seed addresses")
+    check.add_argument("almacen", help="folder of the store's tables, made if missing")
     a = parser.parse_args(argv)
     spark = get_spark()
     try:
+        if a.command == "verificar":
+            found = seeds.read_seeds(spark, a.semillas)
+            hosts = sorted(r.host for r in found.select("host").distinct().collect())  # a configuration of bounded size
+            store.bootstrap(spark, a.almacen).show(truncate=False)
+            row = store.summary(spark.read.parquet(f"{a.almacen}/documentos"), spark.read.parquet(f"{a.almacen}/bitacora_recorrido")).first()
+            print(f"seeds: {found.count()}", *[f"  {h}" for h in hosts], f"documents: {row.documentos}, bytes: {row.bytes}, log: {row.bitacora}", sep="\n")
+            return 0
         if a.command == "indexar":
             s = _settings(a.politica)
             ix.write_index(ix.build_index(spark.read.parquet(a.coleccion), s.normalizacion, s.modelo, keep=True), a.indice)

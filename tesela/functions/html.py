@@ -10,7 +10,7 @@ from urllib.robotparser import RobotFileParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 # FIXED VALUES: elements dropped with their content, and elements that break lines.
 DROPPED = frozenset("script style noscript template svg canvas iframe nav header footer aside form button select textarea head".split())
@@ -164,6 +164,24 @@ def robots_allow(robots: pd.Series, code: pd.Series, url: pd.Series) -> pd.Serie
     return pd.Series([one(t, None if c is None or c != c else c, u) for t, c, u in zip(robots, code, url)])
 
 
+#: Longest delay a robots file may ask for, in seconds, and the one without any. FIXED VALUES.
+MAX_CRAWL_DELAY, CRAWL_DELAY = 10.0, 0.75
+
+
+@F.pandas_udf(DoubleType())
+def robots_delay(robots: pd.Series, code: pd.Series) -> pd.Series:
+    """Seconds between two fetches of a host by its robots file, within CRAWL_DELAY and MAX_CRAWL_DELAY."""
+
+    def one(text: str | None, status: float | None) -> float:
+        if text is None or status is None or status != status or status >= 400:
+            return CRAWL_DELAY
+        parser = RobotFileParser()
+        parser.parse(text.splitlines())
+        return min(MAX_CRAWL_DELAY, max(CRAWL_DELAY, float(parser.crawl_delay(AGENT) or 0)))
+
+    return pd.Series([one(t, c) for t, c in zip(robots, code)])
+
+
 def content_kind(header: Column) -> Column:
     return F.lower(F.trim(F.split(F.coalesce(header, F.lit("")), ";")[0]))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize, weighting
@@ -18,6 +18,8 @@ HEADER_BYTES, DOC_BYTES, TERM_BYTES, POSTING_BYTES = 64, 44, 22, 12
 SIGNATURE = "TESELAIX"
 #: Longest term in UTF-8 bytes.
 TERM_LIMIT = 65535
+#: Documents of a block that is built apart.
+BLOCK_DOCS = 5000
 
 
 @dataclass
@@ -53,8 +55,36 @@ def build_index(docs: DataFrame, policy: Policy, model: Model = Model(), text_co
     ``keep`` writes the term counts to the shared folder, so that the tables share one pass over the texts.
     """
     tf = occurrences(docs, policy, text_col, keep)
-    if keep:
-        tf = materialize(tf, "term-frequencies")
+    return weigh(materialize(tf, "term-frequencies") if keep else tf, docs, policy, model, keep)
+
+
+def write_blocks(docs: DataFrame, policy: Policy, path: str, block_docs: int = BLOCK_DOCS, text_col: str = "texto") -> None:
+    """Term counts of blocks of ``block_docs`` documents as sorted runs, one folder a block; a block written again replaces its run."""
+    counts = occurrences(docs, policy, text_col).withColumn("bloque", F.floor(F.col("doc_id") / block_docs).cast("int"))
+    runs = counts.repartitionByRange("bloque", "termino", "doc_id").sortWithinPartitions("bloque", "termino", "doc_id")
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bloque").parquet(path)
+
+
+def merge_blocks(spark: SparkSession, path: str, docs: DataFrame, policy: Policy, model: Model = Model(), keep: bool = False) -> Index:
+    """One index of separately written blocks: document frequencies, weights and norms over all of them."""
+    tf = spark.read.schema("termino string, doc_id long, tf long, bloque int").parquet(path).select("termino", "doc_id", "tf")
+    return weigh(tf, docs, policy, model, keep)
+
+
+def reconcile_blocks(postings: DataFrame, terminos: DataFrame, n_docs: DataFrame, model: Model = Model()) -> DataFrame:
+    """``termino, bloques, df, idf, df_guardada``: what the blocks of a stored index give together, beside the sum of what they stored.
+
+    postings: termino, doc_id, bloque (repeated rows count once). terminos: bloque, termino, df (of several rows of a
+    block the largest counts). ``n_docs`` has the one row ``n_docs``.
+    """
+    true = postings.where(F.col("termino").isNotNull() & F.col("doc_id").isNotNull()).groupBy("termino").agg(F.count_distinct("bloque").cast("int").alias("bloques"), F.count_distinct("doc_id").alias("df"))
+    stored = terminos.where(F.col("termino").isNotNull()).groupBy("termino", "bloque").agg(F.max("df").alias("df")).groupBy("termino").agg(F.sum("df").alias("df_guardada"))
+    rows = true.crossJoin(F.broadcast(n_docs)).join(stored, "termino", "left")
+    return rows.select("termino", "bloques", "df", weighting.idf_weight(F.col("n_docs"), F.col("df"), model.esquema_idf, model.suavizado_idf).alias("idf"), F.coalesce("df_guardada", F.lit(0)).alias("df_guardada"))
+
+
+def weigh(tf: DataFrame, docs: DataFrame, policy: Policy, model: Model = Model(), keep: bool = False) -> Index:
+    """Index from term counts ``termino, doc_id, tf``; with ``keep`` they must be a written table."""
     n_docs = docs.agg(F.count("*").alias("n_docs"))
     terms = tf.groupBy("termino").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))
     terms = terms.select("termino", "df", weighting.idf_weight(F.col("n_docs"), F.col("df"), model.esquema_idf, model.suavizado_idf).alias("idf"))
@@ -121,9 +151,20 @@ def metrics(index: Index, name: str) -> DataFrame:
     )
 
 
+def document(index: Index, doc_id: int) -> Row:
+    """The row of a document number; IndexError outside 0 … total_docs - 1."""
+    total = index.meta.first().total_docs
+    if not 0 <= doc_id < total:
+        raise IndexError(f"document {doc_id} of {total}")
+    return index.documentos.where(F.col("doc_id") == doc_id).first()
+
+
 def write_index(index: Index, path: str, mode: str = "errorifexists") -> None:
-    """Parquet tables under ``path``; terms and postings sorted by term, so that term filters prune row groups."""
-    index.documentos.write.mode(mode).parquet(f"{path}/documentos")
+    """Parquet tables under ``path``; documents sorted by number, terms and postings by term, so that filters prune row groups.
+
+    The meta table comes last: an index is there once its meta is.
+    """
+    index.documentos.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode(mode).parquet(f"{path}/documentos")
     index.terminos.repartitionByRange("termino").sortWithinPartitions("termino").write.mode(mode).parquet(f"{path}/terminos")
     index.postings.repartitionByRange("termino", "doc_id").sortWithinPartitions("termino", "doc_id").write.mode(mode).parquet(f"{path}/postings")
     index.meta.write.mode(mode).parquet(f"{path}/meta")

@@ -40,3 +40,14 @@ def hapax(ranked: DataFrame) -> DataFrame:
 def actions(log: DataFrame, action: Column | None = None) -> DataFrame:
     """Audit rows per action."""
     return log.groupBy((action if action is not None else F.upper(F.trim("accion"))).alias("accion")).agg(F.count("*").alias("n"))
+
+
+# FIXED VALUES: words of the trade that reports look up.
+TRADE_WORDS = ("scene", "cut", "act", "int", "ext", "fade", "voz", "escena", "interior")
+
+
+def lookup(ranked: DataFrame, words: tuple[str, ...] = TRADE_WORDS) -> DataFrame:
+    """``palabra, rango, frecuencia`` of the words looked up; absent ones have no rank and frequency 0."""
+    asked = ranked.sparkSession.createDataFrame([(w,) for w in words], "palabra string")
+    found = ranked.where(F.col("palabra").isin(*words)).select("palabra", "rango", "frecuencia")
+    return asked.join(found, "palabra", "left").select("palabra", "rango", F.coalesce("frecuencia", F.lit(0)).alias("frecuencia"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import _icu, nfc
@@ -39,6 +42,29 @@ def scan_collection(documentos: DataFrame, texts: DataFrame, limit: int = 0) ->
     return global_position(rows.join(texts.select(F.col("db_id").alias("id"), "texto"), "id"), "id", name="doc_id")
 
 
+#: Open arrivals up to which the rest of a batch is decided in order by one task (hashes and paths: under 100 MB).
+ONE_BY_ONE = 200_000
+
+
+def _simple(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _one_by_one(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Arrivals in their order: taken if neither address nor content is taken."""
+    rows = pd.concat(list(batches))
+    order = rows["secuencia"].map(lambda v: tuple(v.values()) if isinstance(v, dict) else v)
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: order.iat[i])]
+    urls, contents, taken = set(), set(), []
+    for url, content in zip(rows["hash_url"], rows["hash_contenido"]):
+        free = url not in urls and content not in contents
+        taken.append(free)
+        if free:
+            urls.add(url)
+            contents.add(content)
+    yield rows.assign(tomada=taken)
+
+
 def decide(arrivals: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
     """``secuencia, accion, ruta_anterior`` for a batch of arrivals against the stored rows.
 
@@ -48,7 +74,7 @@ def decide(arrivals: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
     under another URL; a new one is stored unless its content is. Within the batch the
     order counts: in every round the rows that are first of the open ones for both
     their URL and their content are taken, and what conflicts with them is answered,
-    until no row is open. A URL is revisited once a batch; a later row of it is a duplicate.
+    until few are open, which one task decides in order. A URL is revisited once a batch; a later row of it is a duplicate.
     """
     arrivals = arrivals.select("secuencia", "hash_url", "hash_contenido", "ruta_relativa")
     s = stored.select("hash_url", F.col("hash_contenido").alias("contenido_viejo"), F.col("ruta_relativa").alias("ruta_vieja"), F.col("fecha_revisitacion").alias("vence"), F.lit(True).alias("hay"))
@@ -62,10 +88,9 @@ def decide(arrivals: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
     refused = [first.where(F.col("accion") == SAME_CONTENT).select("secuencia", "hash_url")]
     accepted = []
     rest = first.where(F.col("accion").isNull()).drop("accion")
-    while rest.limit(1).count():
+    while (n := rest.count()) > ONE_BY_ONE:
         by_url = rest.groupBy("hash_url").agg(F.min("secuencia").alias("p_url"), F.count("*").alias("n_url"))
         by_content = rest.groupBy("hash_contenido").agg(F.min("secuencia").alias("p_contenido"), F.count("*").alias("n_contenido"))
-        n = rest.count()
         ranked = skew_join(skew_join(rest, by_url, "hash_url", "n_url", n, "secuencia"), by_content, "hash_contenido", "n_contenido", n, "secuencia")
         taken = materialize(ranked.where((F.col("secuencia") == F.col("p_url")) & (F.col("secuencia") == F.col("p_contenido"))).drop("p_url", "p_contenido", "n_url", "n_contenido"), "taken")
         accepted.append(taken)
@@ -75,6 +100,10 @@ def decide(arrivals: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
         answered = materialize(hit.withColumn("fuera", F.coalesce("url_tomada", "contenido_tomado", F.lit(False))).drop("url_tomada", "contenido_tomado"), "answered")
         refused.append(answered.where("fuera").select("secuencia", "hash_url"))
         rest = answered.where(~F.col("fuera")).drop("fuera")
+    if n:
+        settled = materialize(rest.coalesce(1).mapInPandas(_one_by_one, f"{_simple(rest)}, tomada boolean"), "one-by-one")
+        accepted.append(settled.where("tomada").drop("tomada"))
+        refused.append(settled.where(~F.col("tomada")).select("secuencia", "hash_url"))
     out = known_url
     owners = None
     for taken in accepted:
@@ -121,3 +150,29 @@ def audit(log: DataFrame) -> DataFrame:
 def summary(documentos: DataFrame, log: DataFrame) -> DataFrame:
     docs = documentos.agg(F.count("*").alias("documentos"), F.coalesce(F.sum("tamano_texto_bytes"), F.lit(0)).alias("bytes"))
     return docs.crossJoin(log.agg(F.count("*").alias("bitacora")))
+
+
+#: Tables of a store. FIXED VALUES.
+SCHEMA = {
+    "documentos": "id long, url string, hash_url string, dominio string, categoria string, ruta_relativa string, tamano_texto_bytes long, hash_contenido string, codigo_http int, profundidad int, fecha_descarga timestamp, fecha_revisitacion timestamp",
+    "bitacora_recorrido": "id long, instante timestamp, dominio string, url_origen string, url_destino string, tiempo_respuesta_ms double, codigo_http int, accion string",
+    "frontera": "id long, hash_url string, url string, profundidad int, prioridad double, url_origen string, estado string, intentos int, actualizada_en timestamp",
+    "migraciones": "version int, nombre string, aplicada_en timestamp",
+}
+SCHEMA_VERSION = (2, "frontera")
+
+
+def bootstrap(spark: SparkSession, root: str) -> DataFrame:
+    """``tabla, columnas, creada``: the tables of a store under ``root``, made where they are missing; running it again changes nothing."""
+    out = []
+    for name, schema in SCHEMA.items():
+        path = f"{root}/{name}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        missing = not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        if missing:
+            rows = spark.createDataFrame([], schema)
+            if name == "migraciones":
+                rows = spark.createDataFrame([SCHEMA_VERSION], "version int, nombre string").select("version", "nombre", F.current_timestamp().alias("aplicada_en"))
+            rows.write.mode("overwrite").parquet(path)
+        out.append((name, len(spark.read.parquet(path).columns), missing))
+    return spark.createDataFrame(out, "tabla string, columnas int, creada boolean")

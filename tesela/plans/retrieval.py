@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -12,7 +13,7 @@ from ..functions import lexicon, normalize, weighting
 from ..functions.policy import FLAGS, PRESETS, Model, Policy
 from ..operators import index as ix
 from ..operators import search as se
-from ..session import table, text_table
+from ..session import scratch_path, table, text_table
 from . import stems
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,32 @@ def _index(spark: SparkSession, d: str, policy: str = "minimo", model: Model = M
     return ix.build_index(_docs(spark, d), PRESETS[policy], model, keep=keep)
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, d: str, policy: str = "minimo") -> ix.Index:
+    """The written index of a collection, which the searches read; built on the first call of a session."""
+    key = (spark.sparkContext.applicationId, d, policy)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, f"index-{policy}-{uuid.uuid4().hex[:12]}")
+        ix.write_index(_index(spark, d, policy), path)
+        _WRITTEN[key] = path
+    return ix.read_index(spark, _WRITTEN[key])
+
+
+def i7_blocks(spark, d):
+    """Blocks built apart and merged give the postings of one build."""
+    path = scratch_path(spark, f"blocks-{uuid.uuid4().hex[:12]}")
+    docs = _docs(spark, d)
+    ix.write_blocks(docs, _MINIMAL, path, 500)
+    return ix.merge_blocks(spark, path, docs, _MINIMAL).postings.select("termino", "doc_id", "tf", F.round("peso", 6).alias("peso"))
+
+
+def i9_reconciled(spark, d):
+    n = table(spark, d, "coleccion").agg(F.count("*").alias("n_docs"))
+    return ix.reconcile_blocks(table(spark, d, "postings"), table(spark, d, "terminos"), n).withColumn("idf", F.round("idf", 9))
+
+
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "evaluacion").select(F.col("item_id").alias("consulta_id"), F.col("texto").alias("consulta"))
 
@@ -181,31 +208,31 @@ def i12_build(spark, d, policy):
 
 def s4_document(spark, d):
     """Point reads by document number."""
-    return _index(spark, d).documentos.where(F.col("doc_id").isin(0, 7, 77)).select("doc_id", "hash_url", "num_tokens")
+    return _stored(spark, d).documentos.where(F.col("doc_id").isin(0, 7, 77)).select("doc_id", "hash_url", "num_tokens")
 
 
 def s7_postings(spark, d):
-    return _index(spark, d).postings.where(F.col("termino") == "guion").select("doc_id", "tf", F.round("peso", 6).alias("peso"))
+    return _stored(spark, d).postings.where(F.col("termino") == "guion").select("doc_id", "tf", F.round("peso", 6).alias("peso"))
 
 
 def s10_layout(spark, d):
-    return ix.layout(_index(spark, d))
+    return ix.layout(_stored(spark, d))
 
 
 def s11_verify(spark, d):
-    return ix.verify(_index(spark, d))
+    return ix.verify(_stored(spark, d))
 
 
 def s12_inspect(spark, d):
     """First terms with their first postings."""
-    index = _index(spark, d)
+    index = _stored(spark, d)
     first = index.terminos.orderBy("termino").limit(5)
     top = Window.partitionBy("termino").orderBy("doc_id")
     return index.postings.join(F.broadcast(first), "termino").withColumn("k", F.row_number().over(top)).where(F.col("k") <= 4).select("termino", "df", "k", "doc_id", "tf")
 
 
 def s13_term(spark, d):
-    index = _index(spark, d)
+    index = _stored(spark, d)
     return se.term_report(index, "guion").unionByName(se.term_report(index, "guioxyz")).withColumn("peso", F.round("peso", 6))
 
 
@@ -215,26 +242,26 @@ def s19_flags(spark, d):
 
 
 def q1_lookup(spark, d):
-    return se.lookup(_index(spark, d), "guion").select("termino", "df", F.round("idf", 9).alias("idf"))
+    return se.lookup(_stored(spark, d), "guion").select("termino", "df", F.round("idf", 9).alias("idf"))
 
 
 def q2_prefix(spark, d):
-    return se.prefix_lookup(_index(spark, d), "gui").select("termino", "df")
+    return se.prefix_lookup(_stored(spark, d), "gui").select("termino", "df")
 
 
 def q3_variants(spark, d, questions=_questions, policy="minimo"):
-    index = _index(spark, d, policy)
+    index = _stored(spark, d, policy)
     return se.resolve(se.query_tokens(questions(spark, d), index), index).select("consulta_id", "token", "termino", "df", "orden")
 
 
 def q4_weights(spark, d, questions=_questions, policy="minimo"):
-    index = _index(spark, d, policy)
+    index = _stored(spark, d, policy)
     w = se.query_weights(se.resolve(se.query_tokens(questions(spark, d), index), index), index)
     return w.select("consulta_id", "termino", F.round("peso_q", 6).alias("peso_q"))
 
 
 def _ranking(spark, d, policy, top=10, questions=_questions):
-    return se.search(questions(spark, d), _index(spark, d, policy), top).select("consulta_id", "puesto", "doc_id", "hash_url", "num_tokens", "similitud")
+    return se.search(questions(spark, d), _stored(spark, d, policy), top).select("consulta_id", "puesto", "doc_id", "hash_url", "num_tokens", "similitud")
 
 
 def q5_scores(spark, d, questions=_questions):
@@ -254,13 +281,13 @@ def q6_advanced(spark, d):
 
 
 def q7_missing(spark, d, questions=_questions):
-    index = _index(spark, d)
+    index = _stored(spark, d)
     return se.missing_terms(se.query_tokens(questions(spark, d), index), index)
 
 
 def q8_suggestions(spark, d):
     """Misspelt single words: the opening letters of evaluation texts with a wrong ending."""
-    index = _index(spark, d)
+    index = _stored(spark, d)
     wrong = _questions(spark, d).select("consulta_id", F.concat(F.substring(F.lower("consulta"), 1, 5), F.lit("qzx")).alias("consulta"))
     return se.suggestions(se.query_tokens(wrong, index), index)
 
@@ -270,7 +297,7 @@ def queries() -> dict[str, Query]:
         "n1_clean": n1_clean, "n2_n4_tags": n2_tags, "n2_n4_lineas": n2_line_tags, "n5_n6_tokens": n5_tokens, "n7_accents": n7_accents, "n8_language": n8_language, "n9_language_text": n9_language_text, "n10_n14_minimal": n10_length,
         "n11_stopwords": n11_stopwords, "n12_thesaurus": n12_thesaurus, "n13_stems": n13_stems, "n14_advanced": n14_advanced, "n15_token_rows": n15_token_rows, "n16_variants": n16_variants,
         "m1_tf": m1_tf, "m2_m4_idf": m2_idf, "m5_similarity": m5_similarity, "i1_frequencies": i1_frequencies, "i2_s6_dictionary": i2_dictionary, "i3_postings": i3_postings, "i4_i5_s5_documents": i4_documents,
-        "i6_q9_totals": i6_totals, "i11_probabilistic": i11_probabilistic, "i12_minimal": partial(i12_build, policy="minimo"), "i12_estandar": partial(i12_build, policy="estandar"), "i12_avanzado": partial(i12_build, policy="avanzado"), "i12_policies": i12_policies, "s4_document": s4_document, "s7_postings": s7_postings, "s10_layout": s10_layout,
+        "i6_q9_totals": i6_totals, "i7_i9_blocks": i7_blocks, "i9_reconciled": i9_reconciled, "i11_probabilistic": i11_probabilistic, "i12_minimal": partial(i12_build, policy="minimo"), "i12_estandar": partial(i12_build, policy="estandar"), "i12_avanzado": partial(i12_build, policy="avanzado"), "i12_policies": i12_policies, "s4_document": s4_document, "s7_postings": s7_postings, "s10_layout": s10_layout,
         "s11_verify": s11_verify, "s12_inspect": s12_inspect, "s13_term": s13_term, "s19_flags": s19_flags, "q1_lookup": q1_lookup, "q2_prefix": q2_prefix, "q3_variants": q3_variants, "q4_weights": q4_weights, "q3_variants_estandar": partial(q3_variants, policy="estandar"), "q4_weights_estandar": partial(q4_weights, policy="estandar"),
         "q5_scores": q5_scores, "q6_ranking": q6_ranking, "q6_standard": q6_standard, "q6_advanced": q6_advanced, "q7_missing": q7_missing, "q8_suggestions": q8_suggestions,
     }
@@ -421,6 +448,10 @@ SELECT consulta_id, puesto::INTEGER AS puesto, termino FROM (SELECT *, row_numbe
         "i1_frequencies": f"WITH {_TF} SELECT * FROM tf",
         "i2_s6_dictionary": f"WITH {_IX} SELECT termino, df, round(idf, 9) AS idf FROM te",
         "i3_postings": f"WITH {_IX} SELECT termino, doc_id, tf, round(peso, 6) AS peso FROM po",
+        "i7_i9_blocks": f"WITH {_IX} SELECT termino, doc_id, tf, round(peso, 6) AS peso FROM po",
+        "i9_reconciled": """WITH p AS (SELECT termino, count(DISTINCT bloque)::INTEGER AS bloques, count(DISTINCT doc_id) AS df FROM postings WHERE termino IS NOT NULL AND doc_id IS NOT NULL GROUP BY termino),
+s AS (SELECT termino, sum(df)::BIGINT AS g FROM (SELECT termino, bloque, max(df) AS df FROM terminos WHERE termino IS NOT NULL GROUP BY ALL) GROUP BY termino)
+SELECT termino, bloques, df, round(ln((SELECT count(*) FROM coleccion)::DOUBLE / df + 1), 9) AS idf, coalesce(g, 0) AS df_guardada FROM p LEFT JOIN s USING (termino)""",
         "i4_i5_s5_documents": f"WITH {_IX} SELECT doc_id, hash_url, num_tokens, round(norma, 6) AS norma FROM dc",
         "i6_q9_totals": f"WITH {_IX} SELECT '{ix.SIGNATURE}' AS firma, 1 AS version, {_MINIMAL.flags()} AS flags, total_docs, total_terminos, total_postings, 64::BIGINT AS offset_docs, od AS offset_diccionario, op AS offset_postings, 'logaritmico' AS esquema_tf, 'estandar' AS esquema_idf, true AS coseno, true AS suavizado FROM me",
         "i11_probabilistic": f"WITH {_TF.replace('tf AS (', 'tf AS MATERIALIZED (')}, n AS (SELECT count(*) AS n FROM coleccion), te AS MATERIALIZED (SELECT termino, count(*) AS df FROM tf GROUP BY termino) SELECT tf.termino, doc_id, round(coalesce(greatest(0, ln(CASE WHEN n > df THEN (n - df)::DOUBLE / df END)), 0), 6) AS peso FROM tf JOIN te USING (termino) CROSS JOIN n",

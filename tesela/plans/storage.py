@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, urls
 from ..operators import acquisition, frontier, reports, store
-from ..session import materialize, table, text_table
+from ..session import materialize, scratch_path, table, text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The instant that freshness is judged at.
@@ -176,6 +177,68 @@ def d5_known(spark, d):
     return by_url.select("hash_url", F.coalesce("guardada", F.lit(False)).alias("guardada"))
 
 
+def d5_content(spark, d):
+    """Whether the store holds the content of every collection text."""
+    texts = text_table(spark, d, "coleccion").select("doc_id", store.content_hash(F.col("texto")).alias("hash_contenido"))
+    held = table(spark, d, "documentos").where(F.col("hash_contenido").isNotNull()).select("hash_contenido").distinct().withColumn("guardado", F.lit(True))
+    return texts.join(held, "hash_contenido", "left").select("doc_id", F.coalesce("guardado", F.lit(False)).alias("guardado"))
+
+
+def s23_schema(spark, d):
+    """The tables of a new store, made twice over."""
+    root = scratch_path(spark, f"store-{uuid.uuid4().hex[:12]}")
+    first = store.bootstrap(spark, root).withColumnRenamed("creada", "primera")
+    return first.join(store.bootstrap(spark, root).select("tabla", F.col("creada").alias("segunda")), "tabla")
+
+
+def a3_slots(spark, d):
+    log = _answers(spark, d).where(F.trim("dominio") != "").withColumn("dominio", F.regexp_replace(F.lower(F.trim("dominio")), r"^www\.", ""))
+    return acquisition.slots(log)
+
+
+#: Robots files by the length of the host's name, and what they mean for the agent in SQL.
+ROBOTS_FILES = ("User-agent: *\nDisallow: /\n", "User-agent: TeselaBot\nDisallow: /foro/\nCrawl-delay: 2\n\nUser-agent: *\nDisallow: /\n", "", "User-agent: *\nAllow: /foro/a\nDisallow: /foro/\nDisallow: /p\nCrawl-delay: 30\n")
+
+
+def a1_files(spark, d):
+    host = urls.native_host(F.col("url"))
+    robots = F.element_at(F.array(*[F.lit(x) for x in ROBOTS_FILES]), F.pmod(F.char_length(host), F.lit(4)) + 1)
+    return _targets(spark, d).select("url", html.robots_allow(robots, F.lit(200), F.col("url")).alias("permitida"), html.robots_delay(robots, F.lit(200)).alias("demora"))
+
+
+def f7_states(spark, d):
+    """The decision for every page under the code and the action of the log row with its number."""
+    action = F.upper(F.trim("accion"))
+    log = _log(spark, d).select(F.col("id").alias("pagina_id"), "codigo_http", (action != "BLOQUEADO_ROBOTS").alias("permitido"), (action != "NO_HTML").alias("es_html"))
+    rows = _quality(spark, d).join(log, "pagina_id").select(
+        "pagina_id", "permitido", "codigo_http", "es_html", F.coalesce("directivas_robots", F.array().cast("array<string>")).alias("directivas"), urls.is_hub(F.col("url"), F.col("titulo")).alias("es_hub"), "rechazo", F.lit(store.STORED).alias("tienda"))
+    return rows.select("pagina_id", frontier.page_action().alias("accion"), frontier.follows_links().alias("sigue_enlaces"))
+
+
+def a6_goal(spark, d):
+    """The crawl with half of all bytes as its goal."""
+    p = _pages(spark, d)
+    sizes = p.select("url", F.octet_length(F.coalesce("texto", F.lit(""))).cast("long").alias("bytes"))
+    goal = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first().b // 2
+    return _crawl(spark, d, sizes=sizes, goal=goal)
+
+
+PAGE_HEAD = '<html><head><base href="https://base.example/dir/x.html"><title> Uno  &amp; {n}\n</title><meta name="ROBOTS" content="NoIndex; nofollow,noindex"><style>p{{}}</style></head><body><header>fuera<p>fuera</p></header><div>Alfa {n}<span> beta</span><p>Gama<p>Delta</div>'
+PAGE_TAIL = '<pre>una\n  dos</pre><ul><li>tres<li>cuatro</ul><table><tr><td>c1<td>c2</td></tr></table>fin<br/>otra <a href="rel/a#f">a</a> <a href="../b?c=1">b</a><a href="mailto:x@y.z">m</a><a href="JavaScript:x">j</a><a href="#z">z</a><a href="//otro.example/d">d</a><a href="ftp://e.example/">e</a><a href="rel/a">a</a><form>fuera</form><footer>fuera</footer><p>cola'
+
+
+def h1_pages(spark, d):
+    """Pages with a base, ignored and nested elements, preformatted text, open tags and links of every kind."""
+    n = F.col("pagina_id").cast("string")
+    page = F.replace(F.lit((PAGE_HEAD + PAGE_TAIL).replace("{{}}", "{}")), F.lit("{n}"), n)
+    r = html.parse_html(page, F.col("url"))
+    return _pages(spark, d).select("pagina_id", r.alias("r")).select("pagina_id", "r.titulo", "r.texto", F.array_join("r.enlaces", " ").alias("enlaces"), F.array_join("r.directivas_robots", " ").alias("directivas"))
+
+
+def r4_lookup(spark, d):
+    return reports.lookup(_ranked(spark, d))
+
+
 def d6_paths(spark, d):
     c = F.col
     return _documents(spark, d).select("id", store.document_path(c("dominio"), c("categoria"), c("hash_contenido")).alias("ruta"), store.safe_component(F.concat(F.lit("..Años  "), c("url"), F.lit("--"))).alias("carpeta"))
@@ -209,10 +272,14 @@ def f5_reconcile(spark, d):
 
 
 def f6_crawl(spark, d):
+    return _crawl(spark, d)
+
+
+def _crawl(spark, d, **bounds):
     p = _pages(spark, d)
     links = p.select("url", F.explode("enlaces").alias("enlace"))
     edges = links.unionByName(p.select(F.concat(F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1), F.lit("/")).alias("url"), F.col("url").alias("enlace")))
-    return frontier.crawl(edges.select("url").where(F.col("url").endswith("/")), edges)
+    return frontier.crawl(edges.select("url").where(F.col("url").endswith("/")), edges, **bounds)
 
 
 def f7_actions(spark, d):
@@ -281,7 +348,7 @@ def queries() -> dict[str, Query]:
         "h7_collection": h7_collection, "h8_responses": h8_responses, "d1_content_hash": d1_content, "d2_raw_hash": d2_raw_hash, "d3_decisions": d3_decisions, "d3_revisits": d3_revisits, "d4_freshness": d4_freshness,
         "d5_known": d5_known, "d6_paths": d6_paths, "d7_audit": d7_audit, "d8_summary": d8_summary, "f1_f3_fold": f1_f3_fold, "f4_queue": f4_queue, "f5_reconcile": f5_reconcile, "f6_a6_crawl": f6_crawl,
         "f7_actions": f7_actions, "a1_robots": a1_robots, "a2_delay": a2_delay, "a4_retries": a4_retries, "a5_size": a5_size, "r1_domains": r1_domains, "r2_words": r2_words, "r3_zipf": r3_zipf, "r4_hapax": r4_hapax,
-        "r5_actions": r5_actions,
+        "r5_actions": r5_actions, "d5_content": d5_content, "s23_schema": s23_schema, "a3_slots": a3_slots, "a1_files": a1_files, "f7_states": f7_states, "a6_goal": a6_goal, "h1_h3_pages": h1_pages, "r4_lookup": r4_lookup,
     }
 
 
@@ -357,14 +424,30 @@ def oracle_sql() -> dict[str, str]:
     query = f"array_to_string(list_transform(list_sort(list_transform({pairs}, lambda p: [p[1], p[2]])), lambda p: url_encode(p[1]) || '=' || url_encode(p[2])), '&')"
     address = f"s || '://' || h || {encode.format(t='p')} || CASE WHEN q <> '' THEN '?' || {query} ELSE '' END"
     admitted = "length({u}) <= " + str(urls.MAX_URL) + " AND NOT contains({u}, '.pdf') AND {u} IS NOT NULL"
+    crawled = f"""WITH RECURSIVE p AS (SELECT url, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/' AS raiz, enlaces FROM resultado_html),
+e AS (SELECT url AS origen, unnest(enlaces) AS url FROM p UNION SELECT raiz, url FROM p),
+c AS (SELECT DISTINCT origen AS url, 0 AS d FROM e WHERE ends_with(origen, '/') UNION SELECT e.url, d + 1 FROM c JOIN e ON e.origen = c.url WHERE d < {frontier.MAX_DEPTH} AND {admitted.format(u='e.url')}),
+m AS (SELECT url, min(d) AS profundidad FROM c GROUP BY url),
+q AS (SELECT m.url, m.profundidad, min(e.origen) AS url_origen FROM m LEFT JOIN (SELECT e.url, e.origen, o.profundidad FROM e JOIN m o ON o.url = e.origen) e ON e.url = m.url AND e.profundidad = m.profundidad - 1 GROUP BY m.url, m.profundidad)"""
+    file_of = f"length({_HOST}) % 4"
+    path_of = "regexp_extract(url, '^[a-z]+://[^/]+(.*)', 1)"
+    hub = f"regexp_matches(url_decode(url), '(?i){urls._HUB}|{urls._HUB_TITLE}') OR regexp_matches(coalesce(titulo, ''), '(?i){urls._HUB}|{urls._HUB_TITLE}')"
+    host_answers = f"(SELECT id, regexp_replace(lower(trim(dominio)), '^www\\.', '') AS dominio, instante, epoch_us(instante) AS llegada, round(least({acquisition.TIMEOUT}e3, greatest(0.0, coalesce(tiempo_respuesta_ms, 0.0))) * 1e3)::BIGINT AS dura FROM {answers} WHERE trim(dominio) <> '')"
     return {
+        "d5_content": f"SELECT doc_id, sha256({_NORMAL}) IN (SELECT hash_contenido FROM documentos WHERE hash_contenido IS NOT NULL) AS guardado FROM coleccion",
+        "s23_schema": "SELECT * FROM (VALUES ('documentos', 12, true, false), ('bitacora_recorrido', 8, true, false), ('frontera', 9, true, false), ('migraciones', 3, true, false)) v(tabla, columnas, primera, segunda)",
+        "a3_slots": f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY dominio ORDER BY instante, id) - 1 AS k FROM {host_answers}),
+b AS (SELECT *, max(llegada - 750000 * k) OVER (PARTITION BY dominio ORDER BY k) + 750000 * k AS turno FROM a),
+c AS (SELECT *, list(turno + dura) OVER (PARTITION BY dominio ORDER BY k ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS fines FROM b)
+SELECT id, dominio, llegada, turno::BIGINT AS turno, coalesce(len(list_filter(fines, lambda x: x > turno)), 0)::INTEGER AS activas, coalesce(len(list_filter(fines, lambda x: x > turno)), 0) < {acquisition.MAX_ACTIVE} AS libre FROM c""",
+        "a1_files": f"SELECT url, CASE {file_of} WHEN 0 THEN false WHEN 1 THEN NOT starts_with({path_of}, '/foro/') WHEN 2 THEN true ELSE starts_with({path_of}, '/foro/a') OR NOT (starts_with({path_of}, '/foro/') OR starts_with({path_of}, '/p')) END AS permitida, CASE {file_of} WHEN 1 THEN 2.0 WHEN 3 THEN 10.0 ELSE 0.75 END::DOUBLE AS demora FROM {_TARGETS}",
+        "f7_states": f"WITH q AS (SELECT *, {reject} AS rechazo, coalesce(directivas_robots, []) AS dr FROM resultado_html), l AS (SELECT id, codigo_http, upper(trim(accion)) AS a FROM {_LOG}) SELECT pagina_id, CASE WHEN a = 'BLOQUEADO_ROBOTS' THEN 'BLOQUEADO_ROBOTS' WHEN codigo_http IS NULL OR codigo_http >= 400 THEN 'ERROR' WHEN codigo_http NOT BETWEEN 200 AND 299 THEN NULL WHEN a = 'NO_HTML' THEN 'NO_HTML' WHEN list_has_any(dr, ['noindex', 'none']) THEN 'NOINDEX' WHEN {hub} THEN NULL WHEN rechazo IS NOT NULL THEN 'BAJA_DENSIDAD' ELSE 'ALMACENADO' END AS accion, NOT list_has_any(dr, ['nofollow', 'none']) AS sigue_enlaces FROM q JOIN l ON id = pagina_id",
+        "a6_goal": crawled + ", t AS (SELECT url, strlen(coalesce(texto, ''))::BIGINT AS b FROM resultado_html), g AS (SELECT profundidad, sum(sum(coalesce(b, 0))) OVER (ORDER BY profundidad) AS hasta FROM q LEFT JOIN t USING (url) GROUP BY profundidad) SELECT url, profundidad, url_origen FROM q WHERE profundidad <= coalesce((SELECT min(profundidad) FROM g WHERE hasta >= (SELECT sum(b) // 2 FROM t)), 99)",
+        "h1_h3_pages": "SELECT pagina_id, 'Uno & ' || pagina_id AS titulo, array_to_string(['Alfa ' || pagina_id || ' beta', 'Gama', 'Delta', '', 'una', 'dos', '', 'tres', 'cuatro', '', 'c1c2', '', 'fin', 'otra a bmjzdea', 'cola'], chr(10)) AS texto, 'https://base.example/dir/rel/a https://base.example/b?c=1 https://otro.example/d' AS enlaces, 'nofollow noindex' AS directivas FROM resultado_html",
+        "r4_lookup": f"WITH r AS {ranked} SELECT p AS palabra, rango, coalesce(frecuencia, 0) AS frecuencia FROM (SELECT unnest([" + ", ".join(f"'{w}'" for w in reports.TRADE_WORDS) + "]) AS p) LEFT JOIN r ON palabra = p",
         "h1_h3_parse": f"SELECT pagina_id, trim(regexp_replace(coalesce(titulo, ''), '\\s+', ' ', 'g')) AS titulo, len(list_distinct(coalesce(enlaces, [])))::INTEGER AS enlaces, md5(array_to_string({body}, chr(10) || chr(10))) AS texto, list_sort(list_distinct(list_transform(coalesce(directivas_robots, []), lambda x: lower(trim(x))))) AS directivas_robots FROM resultado_html",
         "u1_u7_canonical": f"SELECT url, c AS canonica, sha256(c) AS huella FROM (SELECT url, {address} AS c FROM (SELECT url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS s, {_HOST} AS h, CASE WHEN regexp_extract(url, '^[^?#]*?://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[^?#]*?://[^/?#]*([^?#]*)', 1) END AS p, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM {_TARGETS}))",
-        "f6_a6_crawl": f"""WITH RECURSIVE p AS (SELECT url, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/' AS raiz, enlaces FROM resultado_html),
-e AS (SELECT url AS origen, unnest(enlaces) AS url FROM p UNION SELECT raiz, url FROM p),
-c AS (SELECT DISTINCT origen AS url, 0 AS d FROM e WHERE ends_with(origen, '/') UNION SELECT e.url, d + 1 FROM c JOIN e ON e.origen = c.url WHERE d < {frontier.MAX_DEPTH} AND {admitted.format(u='e.url')}),
-m AS (SELECT url, min(d) AS profundidad FROM c GROUP BY url)
-SELECT m.url, m.profundidad, min(e.origen) AS url_origen FROM m LEFT JOIN (SELECT e.url, e.origen, o.profundidad FROM e JOIN m o ON o.url = e.origen) e ON e.url = m.url AND e.profundidad = m.profundidad - 1 GROUP BY m.url, m.profundidad""",
+        "f6_a6_crawl": crawled + " SELECT url, profundidad, url_origen FROM q",
         "s1_scan": "SELECT row_number() OVER (ORDER BY id) - 1 AS doc_id, id, hash_url, strlen(texto)::INTEGER AS bytes FROM (SELECT DISTINCT d.id, d.hash_url, c.texto FROM documentos d JOIN coleccion c ON c.db_id = d.id)",
         "s2_count": "SELECT count(DISTINCT id) AS total, least(count(DISTINCT id), 100) AS con_limite FROM documentos",
         "s15_hash_bytes": f"SELECT id, upper(trim(hash_url)) AS bytes FROM {_DOCS}",

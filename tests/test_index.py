@@ -138,3 +138,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["buscar", str(tmp_path / "i"), "cine guion"]) == 0
     assert "\t2\t" in capsys.readouterr().out
     assert main(["indexar", str(tmp_path / "c"), str(tmp_path / "j"), "-c", str(tmp_path / "none.conf")]) == 1
+
+
+def test_document_numbers_are_checked(index):
+    assert ix.document(index, 0).doc_id == 0
+    for wrong in (-1, 10**6):
+        with pytest.raises(IndexError):
+            ix.document(index, wrong)
+
+
+def test_blocks_give_the_index_of_one_build(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"h{i}", f"cine guion {'escena ' * (i % 3)} palabra{i}") for i in range(20)] + [(20, "h", "x" * 70_000)], "doc_id long, hash_url string, texto string")
+    policy = Policy(stopwords=False, stemming=False, longitud_maxima_token=100_000)
+    path = f"file://{tmp_path}/bloques"
+    ix.write_blocks(docs, policy, path, 6)
+    ix.write_blocks(docs.where("doc_id < 6"), policy, path, 6)  # a block written again replaces its run
+    one, merged = ix.build_index(docs, policy), ix.merge_blocks(spark, path, docs, policy)
+    for name in ("documentos", "terminos", "postings"):
+        assert sorted(map(repr, getattr(one, name).collect())) == sorted(map(repr, getattr(merged, name).collect()))
+    assert one.terminos.where("length(termino) > 65535").count() == 0 and one.documentos.where("doc_id = 20").first().num_tokens == 0

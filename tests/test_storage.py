@@ -247,3 +247,82 @@ def test_action_counts(spark, sf_dir):
     log = spark.read.parquet(f"{sf_dir}/bitacora_recorrido.parquet")
     counted = action_counts(log)
     assert counted.agg(F.sum("n")).first()[0] == log.where("instante is not null").count()
+
+
+def small_ranges(spark, on):
+    for key in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.enabled"):
+        spark.conf.set(key, "false" if on else "true")
+
+
+def test_retries_over_ranges(spark):
+    """One address holds most rows and is split over ranges; attempts must be counted as if it stood in one."""
+    r = random.Random(3)
+    rows = [(i, "u" if i % 8 else (None, "v", "w")[i // 8 % 3], dt.datetime(2024, 1, 1) + dt.timedelta(minutes=r.randrange(4000)), r.choice((503, 503, 503, None, 200, 404))) for i in range(1200)]
+    rows += [(9000 + i, "z", dt.datetime(2024, 2, 1, 0, i), 503) for i in range(50)]
+    streak, want = {}, {}
+    for i, url, at, code in sorted(rows, key=lambda x: (x[1] or "", x[2], x[0])):
+        key = (url, at.date())
+        streak[key] = streak.get(key, 0) + 1
+        again = code is None or code in acquisition.RETRY_CODES
+        n = streak[key]
+        want[i] = (n, "reintento" if again and n <= 3 else "agotado" if again else "definitivo" if code >= 400 else "ok")
+        if not again:
+            streak[key] = 0
+    df = spark.createDataFrame(rows, "id long, url_destino string, instante timestamp, codigo_http int")
+    small_ranges(spark, True)
+    try:
+        got = acquisition.retries(df).collect()
+    finally:
+        small_ranges(spark, False)
+    assert {x.id: (x.intento, x.resultado) for x in got} == want and len(got) == len(rows)
+
+
+def test_slots_over_ranges(spark):
+    r = random.Random(4)
+    rows = [(i, "hot" if i % 10 else "b", dt.datetime(2024, 1, 1, 23, 50) + dt.timedelta(milliseconds=r.randrange(900_000)), float(r.choice((10, 900, 4000, 90_000)))) for i in range(1500)] + [(9000, None, dt.datetime(2024, 1, 1), 1.0), (9001, "b", None, 1.0)]
+    want = {}
+    for host in ("hot", "b"):
+        last, ends = None, []
+        for i, h, at, ms in sorted((x for x in rows if x[1] == host and x[2]), key=lambda x: (x[2], x[0])):
+            t = int((at - dt.datetime(1970, 1, 1)).total_seconds() * 1e6 + 0.5)
+            start = t if last is None else max(t, last + 750_000)
+            last = start
+            want[i] = (start, sum(e > start for e in ends))
+            ends.append(start + round(min(45_000, ms) * 1000))
+    df = spark.createDataFrame(rows, "id long, dominio string, instante timestamp, tiempo_respuesta_ms double")
+    small_ranges(spark, True)
+    try:
+        got = acquisition.slots(df).collect()
+    finally:
+        small_ranges(spark, False)
+    assert {x.id: (x.turno, x.activas) for x in got} == want and all(x.libre == (x.activas < 4) for x in got)
+
+
+@pytest.mark.parametrize("open_rows", [0, 1, 10_000])
+def test_chains_of_conflicts(spark, monkeypatch, open_rows):
+    """Addresses and contents that conflict in turn; by rounds, by rounds and one task, by one task."""
+    monkeypatch.setattr(store, "ONE_BY_ONE", open_rows)
+    rows = [(i, f"u{(i + 1) // 2}", f"c{i // 2}", "r") for i in range(9)] + [(20, "u0", "c9", "r"), (21, "u9", "c9", "r")]
+    urls_, contents, want = set(), set(), {}
+    for i, u, c, _ in rows:
+        want[i] = store.SAME_URL if u in urls_ else store.SAME_CONTENT if c in contents else store.STORED
+        if want[i] == store.STORED:
+            urls_.add(u)
+            contents.add(c)
+    df = spark.createDataFrame(rows, "secuencia int, hash_url string, hash_contenido string, ruta_relativa string")
+    none = spark.createDataFrame([], "hash_url string, hash_contenido string, ruta_relativa string, fecha_revisitacion timestamp")
+    assert {x.secuencia: x.accion for x in store.decide(df, none, F.lit(dt.datetime(2024, 1, 1))).collect()} == want
+
+
+def test_schema_and_commands(spark, tmp_path, capsys):
+    from tesela.__main__ import main
+
+    (tmp_path / "semillas.txt").write_text("https://a.example/ # uno\nhttps://www.b.example/x\n")
+    for created in (True, False):
+        assert {r.creada for r in store.bootstrap(spark, f"file://{tmp_path}/almacen").collect()} == {created}
+    assert main(["verificar", str(tmp_path / "semillas.txt"), f"file://{tmp_path}/almacen"]) == 0
+    out = capsys.readouterr().out
+    assert "seeds: 2" in out and "b.example" in out and "documents: 0" in out
+    with pytest.raises(SystemExit) as e:
+        main(["--version"])
+    assert e.value.code == 0
