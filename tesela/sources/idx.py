@@ -18,7 +18,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from ..functions.policy import Model, Policy
 from ..operators.index import SIGNATURE, Index, layout
@@ -137,57 +137,70 @@ def verify_file(path: str | Path, signature: str = SIGNATURE) -> list[str]:
     return out
 
 
-def _terms(path: str | Path, head: dict) -> Iterator[tuple[str, int, float, int, int]]:
-    with open(path, "rb") as f:
-        f.seek(head["offset_diccionario"])
-        raw = f.read(head["offset_postings"] - head["offset_diccionario"])
-    at = 0
-    for _ in range(head["total_terminos"]):
-        *entry, at = unpack_term(raw, at)
-        yield tuple(entry)
+def _terms(path: str | Path, head: dict, at: int | None = None, count: int | None = None) -> Iterator[tuple[str, int, float, int, int]]:
+    """Dictionary entries from a byte position on, read as they come."""
+    for entry in _placed(path, head, at, count):
+        yield entry[:-1]
+
+
+def _placed(path: str | Path, head: dict, at: int | None = None, count: int | None = None) -> Iterator[tuple[str, int, float, int, int, int]]:
+    """… each with the byte position it stands at."""
+    with open(path, "rb", buffering=1 << 20) as f:
+        at = head["offset_diccionario"] if at is None else at
+        f.seek(at)
+        for _ in range(head["total_terminos"] if count is None else count):
+            size = f.read(2)
+            raw = size + f.read(int.from_bytes(size, "little") + ENTRY.size)
+            *entry, n = unpack_term(raw)
+            yield (*entry, at)
+            at += n
 
 
 class _Range(InputPartition):
-    def __init__(self, start: int, end: int):
-        super().__init__((start, end))
-        self.start, self.end = start, end
+    """Entries from a position on: a document number, or a byte of the dictionary."""
+
+    def __init__(self, start: int, count: int):
+        super().__init__((start, count))
+        self.start, self.count = start, count
 
 
 class _Reader(DataSourceReader):
-    """Documents and terms in one partition each; postings in ranges of whole blocks."""
+    """Documents, terms and postings in ranges. The dictionary is walked once, for its ranges; a task reads its own."""
 
     BLOCK = 1 << 20
+    TERMS = 1 << 18
 
     def __init__(self, path: str, section: str, signature: str):
         self.path, self.section, self.signature = path, section, signature
+        self.term: str | None = None
 
     def partitions(self) -> list[InputPartition]:
         head = read_header(self.path, self.signature)
         if self.section == "documentos":
             step = self.BLOCK
-            return [_Range(i, min(i + step, head["total_docs"])) for i in range(0, head["total_docs"], step)] or [_Range(0, 0)]
-        if self.section == "terminos":
-            return [_Range(0, head["total_terminos"])]
-        parts, start, at = [], 0, 0
-        for i, (_, df, _, _, _) in enumerate(_terms(self.path, head), 1):
-            at += df
-            if at >= self.BLOCK:
-                parts.append(_Range(start, i))
-                start, at = i, 0
-        return [*parts, _Range(start, head["total_terminos"])]
+            return [_Range(i, min(step, head["total_docs"] - i)) for i in range(0, head["total_docs"], step)] or [_Range(0, 0)]
+        parts, start, entries, rows = [], head["offset_diccionario"], 0, 0
+        for term, df, _, _, _, at in _placed(self.path, head):
+            if self.term is not None:
+                if term >= self.term:  # terms are sorted
+                    return [_Range(at, int(term == self.term))]
+                continue
+            if entries >= self.TERMS or self.section == "postings" and rows >= self.BLOCK:
+                parts.append(_Range(start, entries))
+                start, entries, rows = at, 0, 0
+            entries, rows = entries + 1, rows + df
+        return [*parts, _Range(start, entries)]
 
     def read(self, partition: _Range) -> Iterator:
         head = read_header(self.path, self.signature)
         with open(self.path, "rb") as f:
             if self.section == "documentos":
                 f.seek(head["offset_docs"] + DOCUMENT.size * partition.start)
-                for _ in range(partition.start, partition.end):
+                for _ in range(partition.count):
                     doc, digest, n, norm = _unpack(DOCUMENT, f.read(DOCUMENT.size))
                     yield doc, digest.hex(), n, norm
                 return
-            for i, (term, df, idf, offset, length) in enumerate(_terms(self.path, head)):
-                if not partition.start <= i < partition.end:
-                    continue
+            for term, df, idf, offset, length in _terms(self.path, head, partition.start, partition.count):
                 if self.section == "terminos":
                     yield term, df, idf
                     continue
@@ -196,8 +209,22 @@ class _Reader(DataSourceReader):
                     yield term, doc, tf, weight
 
 
+class _TermReader(_Reader):
+    """Reads the entry of one term only where a filter names it."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("termino",):
+                self.term = f.value
+            yield f  # Spark looks at the rows again
+
+
 class IdxSource(DataSource):
-    """``spark.read.format("idx").option("section", "postings").option("signature", …).load(path)``."""
+    """``spark.read.format("idx").option("section", "postings").option("signature", …).load(path)``.
+
+    With the option ``pushdown`` filters on a term reach the file; Spark wants
+    ``spark.sql.python.filterPushdown.enabled`` for that, which ``read_idx`` sets.
+    """
 
     _SCHEMAS = {"documentos": "doc_id long, hash_url string, num_tokens int, norma double", "terminos": "termino string, df long, idf double", "postings": "termino string, doc_id long, tf long, peso double"}
 
@@ -212,14 +239,16 @@ class IdxSource(DataSource):
         return self._SCHEMAS[self._section()]
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], self._section(), self.options.get("signature", SIGNATURE))
+        kind = _TermReader if self.options.get("pushdown", "false") == "true" and self._section() != "documentos" else _Reader
+        return kind(self.options["path"], self._section(), self.options.get("signature", SIGNATURE))
 
 
 def read_idx(spark: SparkSession, path: str | Path, signature: str = SIGNATURE) -> Index:
     """Index over a file: normalisation and model come from its header."""
     spark.dataSource.register(IdxSource)
     head = read_header(path, signature)
-    load = lambda s: spark.read.format("idx").option("section", s).option("signature", signature).load(str(path))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    load = lambda s: spark.read.format("idx").option("section", s).option("signature", signature).option("pushdown", "true").load(str(path))
     model = Model.from_reserved(head["reservado"])
     row = {k: head[k] for k in FIELDS[1:9]} | {"esquema_tf": model.esquema_tf, "esquema_idf": model.esquema_idf, "coseno": model.normalizacion_coseno, "suavizado": model.suavizado_idf}
     meta = spark.createDataFrame(pa.Table.from_pylist([{"firma": signature} | row]).to_pandas())

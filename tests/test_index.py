@@ -157,3 +157,23 @@ def test_blocks_give_the_index_of_one_build(spark, tmp_path):
     for name in ("documentos", "terminos", "postings"):
         assert sorted(map(repr, getattr(one, name).collect())) == sorted(map(repr, getattr(merged, name).collect()))
     assert one.terminos.where("length(termino) > 65535").count() == 0 and one.documentos.where("doc_id = 20").first().num_tokens == 0
+
+
+def test_file_ranges_and_term_filter(spark, index, tmp_path, monkeypatch):
+    """Small ranges give the same rows; a filter on a term reads its entry only."""
+    path = tmp_path / "a.idx"
+    idx.write_idx(index, path)
+    whole = {s: sorted(map(repr, getattr(idx.read_idx(spark, path), s).collect())) for s in ("terminos", "postings")}
+    for section, rows in whole.items():
+        reader = idx._Reader(str(path), section, idx.SIGNATURE)
+        reader.BLOCK = reader.TERMS = 2
+        parts = reader.partitions()
+        assert len(parts) > 1 and len([r for p in parts for r in reader.read(p)]) == len(rows)
+    term = index.terminos.orderBy("termino").collect()[1].termino
+    reader = idx._TermReader(str(path), "postings", idx.SIGNATURE)
+    assert len(list(reader.pushFilters([idx.EqualTo(("termino",), term)]))) == 1 and [p.count for p in reader.partitions()] == [1]
+    assert {r[0] for r in reader.read(reader.partitions()[0])} == {term}
+    reader.term = "zzzz"
+    assert sum(p.count for p in reader.partitions()) == 0
+    got = idx.read_idx(spark, path).postings.where(F.col("termino") == term).count()
+    assert got == index.postings.where(F.col("termino") == term).count() > 0
