@@ -151,8 +151,15 @@ SELECT doc_id, sum(c)::BIGINT AS n_caracteres, sum(words)::BIGINT AS n_palabras,
 """
 
 
+def _runs_sql(key: str, text: str, source: str) -> str:
+    """Distinct runs of 12 words of a table's texts."""
+    words = f"regexp_extract_all(lower(strip_accents({text})), '[\\p{{L}}\\p{{N}}]+')"
+    return f"(SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {leaks.WINDOW - 2}), lambda i: array_to_string(w[i:i + {leaks.WINDOW - 1}], ' '))) AS g FROM (SELECT {key}, {words} AS w FROM {source} WHERE {text} IS NOT NULL AND {key} IS NOT NULL) WHERE len(w) >= {leaks.WINDOW})"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_found": f"SELECT DISTINCT item_id, doc_id FROM {_runs_sql('item_id', 'texto', 'evaluacion')} JOIN {_runs_sql('doc_id', 'text', 'documents')} USING (g)",
         "p2_cuentas": _statistics_sql(),
         "p4_textos": _CLEANED,
         "p2_tamanos": _SIZES,
